@@ -12,11 +12,19 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.numeric import strip, to_float
 from ledgerloom.operators.tables import axis_labels
 
 LABELS_PER_SLICE = 256
+_SIMILAR = T.StructType(
+    [
+        T.StructField("rank", T.DoubleType()),
+        T.StructField("ord", T.LongType()),
+        T.StructField("label", T.StringType()),
+    ]
+)
 MIN_OVERLAP = 0.3
 MIN_SIMILARITY = 0.4
 
@@ -110,7 +118,7 @@ def closest_label(requests: DataFrame, cells: DataFrame, axis: str = "row") -> D
     )
 
 
-@F.pandas_udf("struct<rank: double, ord: long, label: string>")
+@F.pandas_udf(_SIMILAR)
 def _most_similar(needles: pd.Series, slices: pd.Series) -> pd.DataFrame:
     """First label of each slice with the highest similarity ratio above the threshold; rank is its negative."""
     found = []

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.containment import contained_in
 from ledgerloom.operators.tables import axis_labels
 
-SPLIT_ORDER = F.when(F.col("split") == "train", 0).otherwise(1)
+def _split_order() -> Column:
+    return F.when(F.col("split") == "train", 0).otherwise(1)
 
 
 def list_records(records: DataFrame, split: str | None = None, limit: int | None = 10) -> DataFrame:
     """Record ids, train before dev, in file order; the first ``limit`` when one is given."""
     chosen = records.filter(F.col("split") == split) if split else records
-    listed = chosen.select("split", "rec_ord", "record_id").orderBy(SPLIT_ORDER, "rec_ord")
+    listed = chosen.select("split", "rec_ord", "record_id").orderBy(_split_order(), "rec_ord")
     return listed if limit is None else listed.limit(limit)
 
 
@@ -64,7 +65,7 @@ def lookup_records(requests: DataFrame, usable: DataFrame, similar: int = 5) ->
     hay = usable.select(
         F.lower("record_id").alias("hay"),
         F.col("record_id").alias("similar_id"),
-        SPLIT_ORDER.alias("_split_ord"),
+        _split_order().alias("_split_ord"),
         F.col("rec_ord").alias("_ord"),
     )
     rank = Window.partitionBy("needle").orderBy("_split_ord", "_ord")
@@ -125,7 +126,7 @@ def first_records(records: DataFrame, count: int | None) -> DataFrame:
     """The first ``count`` records, train before dev; all of them for None."""
     if count is None:
         return records
-    return records.orderBy(SPLIT_ORDER, "rec_ord").limit(count)
+    return records.orderBy(_split_order(), "rec_ord").limit(count)
 
 
 def corpus_counts(records: DataFrame) -> DataFrame:
