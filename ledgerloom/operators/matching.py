@@ -81,22 +81,36 @@ def _closest(needle: Column) -> Column:
     )
 
 
+def _labels_tried(best: Column, count: int | None = None) -> Column:
+    """Aggregate: the labels of slices without a match, so a request that fails can list its options."""
+    listed = F.col("labels") if count is None else F.slice("labels", 1, count)
+    tried = F.collect_list(F.when(best.isNull(), F.struct("slice", listed.alias("labels"))))
+    names = F.flatten(
+        F.transform(F.array_sort(tried), lambda s: F.transform(s["labels"], lambda l: l["label"]))
+    )
+    return names if count is None else F.slice(names, 1, count)
+
+
 def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
-    """(request_id, record_id, column_identifier) to the column it names: equal, else first containing."""
+    """(request_id, record_id, column_identifier) to the column it names: equal, else first containing.
+
+    ``columns_tried`` lists the table's columns for a request that finds none.
+    """
     wanted = requests.select("record_id", "column_identifier").distinct()
     needle = F.lower(strip(F.col("column_identifier")))
     best = (
         wanted.filter(needle != "")
         .join(label_slices(cells, "col"), "record_id")
+        .withColumn("_match", _first_match(needle))
         .groupBy("record_id", "column_identifier")
-        .agg(F.min(_first_match(needle)).alias("_best"))
-        .filter("_best IS NOT NULL")
+        .agg(F.min("_match").alias("_best"), _labels_tried(F.col("_match")).alias("_tried"))
     )
     return requests.join(best, ["record_id", "column_identifier"], "left").select(
         *requests.columns,
         F.col("_best.ord").alias("col_ord"),
         F.col("_best.label").alias("matched_column"),
         F.when(F.col("_best.rank") == 0, "exact").when(F.col("_best.rank") == 1, "partial").alias("column_match"),
+        F.when(F.col("_best").isNull(), F.col("_tried")).alias("columns_tried"),
     )
 
 
@@ -124,6 +138,9 @@ def _most_similar(needles: pd.Series, slices: pd.Series) -> pd.DataFrame:
     found = []
     for needle, labels in zip(needles, slices):
         best: tuple = (None, None, None)
+        if labels is None:  # already matched
+            found.append(best)
+            continue
         score = MIN_SIMILARITY
         matcher = SequenceMatcher(None, needle, "")
         for item in labels:
@@ -138,86 +155,78 @@ def _most_similar(needles: pd.Series, slices: pd.Series) -> pd.DataFrame:
 
 
 def match_rows(
-    requests: DataFrame, cells: DataFrame, overlap_first: bool = False, fuzzy: bool = True
+    requests: DataFrame,
+    cells: DataFrame,
+    overlap_first: bool = False,
+    fuzzy: bool = True,
+    listed_rows: int = 10,
 ) -> DataFrame:
     """Row labels for (request_id, record_id, row_identifier), with how they matched and the score.
 
     Order of rules: equal (1.0), first containing either way (0.8), then the most similar above 0.4. With
-    ``overlap_first`` the overlap rule (0.5) comes before all of these, as in a cell lookup.
+    ``overlap_first`` the overlap rule (0.5) comes before all of these, as in a cell lookup. ``rows_tried``
+    lists the first rows of the table for a request that finds none.
     """
-    wanted = requests.select("record_id", "row_identifier").distinct()
-    needle = F.lower(strip(F.col("row_identifier")))
-    slices = label_slices(cells, "row")
     keys = ["record_id", "row_identifier"]
-    scored = (
-        wanted.filter(needle != "")
-        .join(slices, "record_id", "left")
-        .groupBy(*keys)
-        .agg(
-            F.min(_first_match(needle)).alias("_direct"),
-            F.min(_closest(F.lower(F.col("row_identifier")))).alias("_overlap"),
-        )
-    )
-    no_match = F.lit(None)
-    kind = (
-        F.when(F.col("_direct.rank") == 0, "exact").when(F.col("_direct.rank") == 1, "partial").otherwise(no_match)
+    needle = F.lower(strip(F.col("row_identifier")))
+    tried = (
+        requests.select(*keys)
+        .distinct()
+        .filter(needle != "")
+        .join(label_slices(cells, "row"), "record_id")
+        .withColumn("_direct", _first_match(needle))
     )
-    ord_, label = F.col("_direct.ord"), F.col("_direct.label")
+    if fuzzy:
+        # Only slices without a direct match carry their labels to the similarity function.
+        open_labels = F.when(F.col("_direct").isNull(), F.col("labels"))
+        tried = tried.withColumn("_similar", _most_similar(needle, open_labels))
+    else:
+        tried = tried.withColumn("_similar", F.lit(None).cast(_SIMILAR))
+    found = tried.groupBy(*keys).agg(
+        F.min("_direct").alias("_direct"),
+        F.min(_closest(F.lower(F.col("row_identifier")))).alias("_overlap"),
+        F.min(F.when(F.col("_similar.label").isNotNull(), F.col("_similar"))).alias("_similar"),
+        _labels_tried(F.col("_direct"), listed_rows).alias("_tried"),
+    )
+    close = F.lit(False)
     if overlap_first:
         close = F.coalesce(F.col("_overlap.rank") < -MIN_OVERLAP, F.lit(False))
-        kind = F.when(close, "overlap").otherwise(kind)
-        ord_ = F.when(close, F.col("_overlap.ord")).otherwise(ord_)
-        label = F.when(close, F.col("_overlap.label")).otherwise(label)
-    score = F.when(kind == "exact", 1.0).when(kind == "partial", 0.8).when(kind == "overlap", 0.5)
-    resolved = scored.select(
+    kind = (
+        F.when(close, "overlap")
+        .when(F.col("_direct.rank") == 0, "exact")
+        .when(F.col("_direct.rank") == 1, "partial")
+        .when(F.col("_similar").isNotNull(), "similar")
+    )
+
+    def picked(field: str) -> Column:
+        return F.when(close, F.col(f"_overlap.{field}")).otherwise(
+            F.coalesce(F.col(f"_direct.{field}"), F.col(f"_similar.{field}"))
+        )
+
+    resolved = found.select(
         *keys,
-        ord_.cast("long").alias("row_ord"),
-        label.alias("matched_row"),
+        picked("ord").cast("long").alias("row_ord"),
+        picked("label").alias("matched_row"),
         kind.alias("row_match"),
-        score.alias("row_score"),
+        F.when(kind == "similar", -F.col("_similar.rank"))
+        .when(kind == "exact", F.lit(1.0))
+        .when(kind == "partial", F.lit(0.8))
+        .when(kind == "overlap", F.lit(0.5))
+        .alias("row_score"),
+        F.when(kind.isNull(), F.col("_tried")).alias("rows_tried"),
     )
-    direct = resolved.filter("row_match IS NOT NULL")
-    if fuzzy:
-        similar = (
-            resolved.filter("row_match IS NULL")
-            .select(*keys)
-            .join(slices, "record_id")
-            .select(*keys, _most_similar(needle, F.col("labels")).alias("_found"))
-            .groupBy(*keys)
-            .agg(F.min(F.when(F.col("_found.label").isNotNull(), F.col("_found"))).alias("_best"))
-            .filter("_best IS NOT NULL")
-            .select(
-                *keys,
-                F.col("_best.ord").alias("row_ord"),
-                F.col("_best.label").alias("matched_row"),
-                F.lit("similar").alias("row_match"),
-                (-F.col("_best.rank")).alias("row_score"),
-            )
-        )
-        direct = direct.unionByName(similar)
-    return requests.join(direct, keys, "left")
+    return requests.join(resolved, keys, "left")
 
 
-def get_values(
-    requests: DataFrame, cells: DataFrame, fuzzy: bool = True, listed_rows: int = 10
-) -> DataFrame:
+def get_values(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Cell lookup for (request_id, record_id, row_identifier, column_identifier).
 
     Formatted amounts come back as numbers, other values as trimmed text. ``status`` tells what was missing,
     and ``available`` the labels there were to choose from.
     """
     located = match_rows(match_columns(requests, cells), cells, overlap_first=True, fuzzy=fuzzy)
-    values = cells.select(
-        "record_id",
-        F.col("col_ord").alias("_col"),
-        F.col("row_ord").cast("long").alias("_row"),
-        "raw",
-    )
-    fetched = (
-        located.withColumn("_col", F.col("col_ord"))
-        .withColumn("_row", F.col("row_ord"))
-        .join(values, ["record_id", "_col", "_row"], "left")
-    )
+    values = cells.select("record_id", "col_ord", F.col("row_ord").cast("long").alias("row_ord"), "raw")
+    fetched = located.join(values, ["record_id", "col_ord", "row_ord"], "left")
     blank = (F.coalesce(strip(F.col("row_identifier")), F.lit("")) == "") | (
         F.coalesce(strip(F.col("column_identifier")), F.lit("")) == ""
     )
@@ -228,17 +237,8 @@ def get_values(
         .when(F.coalesce("raw", F.lit("")) == "", "NULL_VALUE")
         .otherwise("OK")
     )
-    answered = fetched.withColumn("status", status)
-    failed = answered.filter(F.col("status").isin("COLUMN_NOT_FOUND", "ROW_NOT_FOUND"))
-    options = (
-        _available(failed, cells, "col", None)
-        .withColumn("status", F.lit("COLUMN_NOT_FOUND"))
-        .unionByName(
-            _available(failed, cells, "row", listed_rows).withColumn("status", F.lit("ROW_NOT_FOUND"))
-        )
-    )
     ok = F.col("status") == "OK"
-    return answered.join(options, ["record_id", "status"], "left").select(
+    return fetched.withColumn("status", status).select(
         "request_id",
         "record_id",
         "row_identifier",
@@ -249,17 +249,7 @@ def get_values(
         F.when(ok, to_float(F.col("raw"))).alias("value"),
         F.when(ok, strip(F.col("raw"))).alias("value_text"),
         "status",
-        F.col("_labels").alias("available"),
-    )
-
-
-def _available(failed: DataFrame, cells: DataFrame, axis: str, count: int | None) -> DataFrame:
-    """Ordered labels of the records with failed requests; the first ``count`` when given."""
-    slices = label_slices(
-        cells.join(failed.select("record_id").distinct(), "record_id", "left_semi").select(*cells.columns), axis
+        F.when(F.col("status") == "COLUMN_NOT_FOUND", F.col("columns_tried"))
+        .when(F.col("status") == "ROW_NOT_FOUND", F.col("rows_tried"))
+        .alias("available"),
     )
-    if count is not None:
-        slices = slices.withColumn("labels", F.slice("labels", 1, count))
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "labels"))), lambda s: s["labels"]))
-    names = slices.groupBy("record_id").agg(F.transform(listed, lambda l: l["label"]).alias("_labels"))
-    return names if count is None else names.withColumn("_labels", F.slice("_labels", 1, count))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import change, display_number, to_float
@@ -31,34 +31,31 @@ def change_requests(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -
         F.struct(F.lit("old").alias("side"), F.col("old_column").alias("column_identifier")),
         F.struct(F.lit("new").alias("side"), F.col("new_column").alias("column_identifier")),
     )
-    stacked = requests.select("request_id", "record_id", "row_identifier", F.inline(sides)).select(
-        F.struct("request_id", "side").alias("request_id"),
+    # The request travels inside the id of its two lookups, so it need not be joined back.
+    stacked = requests.select(F.struct(*requests.columns).alias("_request"), "*", F.inline(sides)).select(
+        F.struct("_request", "side").alias("request_id"),
         "record_id",
         "row_identifier",
         "column_identifier",
     )
     found = get_values(stacked, cells, fuzzy=fuzzy)
     is_old = F.col("request_id.side") == "old"
-    paired = found.groupBy(F.col("request_id.request_id").alias("request_id")).agg(
+    paired = found.groupBy(F.col("request_id._request").alias("_request")).agg(
         F.max(F.when(is_old, F.col("value"))).alias("old_value"),
         F.max(F.when(~is_old, F.col("value"))).alias("new_value"),
         F.max(F.when(is_old, F.col("status"))).alias("old_status"),
         F.max(F.when(~is_old, F.col("status"))).alias("new_status"),
     )
-    result = change(F.col("old_value"), F.col("new_value"), F.col("change_type"))
+    result = change(F.col("old_value"), F.col("new_value"), F.col("_request.change_type"))
     failed = F.when(F.col("old_status") != "OK", F.col("old_status")).when(
         F.col("new_status") != "OK", F.col("new_status")
     )
-    return (
-        requests.join(paired, "request_id")
-        .withColumn("_change", result)
-        .select(
-            *requests.columns,
-            "old_value",
-            "new_value",
-            F.col("_change.value").alias("change"),
-            F.coalesce(failed, F.col("_change.status")).alias("status"),
-        )
+    return paired.withColumn("_change", result).select(
+        "_request.*",
+        "old_value",
+        "new_value",
+        F.col("_change.value").alias("change"),
+        F.coalesce(failed, F.col("_change.status")).alias("status"),
     )
 
 
@@ -88,85 +85,85 @@ def final_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.withColumn("final_answer", display_number(F.col(column)))
 
 
-def _with_intent(requests: DataFrame, schema: DataFrame) -> DataFrame:
+def _with_intent(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """Requests with their operation and target columns; the table's first columns where none are given."""
     names = requests.columns
     given_op = F.col("operation") if "operation" in names else F.lit(None).cast("string")
     given_cols = F.col("target_columns") if "target_columns" in names else F.lit(None).cast("array<string>")
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy("col_ord"))
     leading = (
-        schema.select("record_id", "col_ord", "col_name")
+        cells.select("record_id", "col_ord", "col_name")
+        .distinct()
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= DEFAULT_COLUMNS)
         .groupBy("record_id")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "col_name"))).alias("_leading"))
     )
-    op = F.coalesce(given_op, operation(F.col("query")))
-    return (
-        requests.join(leading, "record_id")
-        .withColumn("target_columns", F.coalesce(given_cols, F.transform("_leading", lambda c: c["col_name"])))
-        .withColumn("operation", op)
-        .withColumn("query_type", query_type(op))
-        .drop("_leading")
+    return requests.join(leading, "record_id").select(
+        "request_id",
+        "record_id",
+        F.coalesce(given_op, operation(F.col("query"))).alias("operation"),
+        F.coalesce(given_cols, F.transform("_leading", lambda c: c["col_name"])).alias("target_columns"),
     )
 
 
-def query_tables(requests: DataFrame, cells: DataFrame, schema: DataFrame) -> DataFrame:
+def query_tables(requests: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
     """Answer text requests: request_id, record_id, query and optionally operation, target_columns.
 
     Lookups return the target columns, aggregates their totals, and change, calculation and comparison
     requests the first rows of the table for further steps. One row per returned value.
     """
-    known = _with_intent(requests, schema)
-    complex_ops = ["calculate", "analyze_change", "compare"]
     op = F.col("operation")
-    has_targets = F.size("target_columns") > 0
+    tag = F.struct("request_id", "operation").alias("request_id")
+    known = _with_intent(requests, cells).select(tag, "record_id", "operation", "target_columns")
+    complex_ops = ["calculate", "analyze_change", "compare"]
+    totalled = (op == "aggregate") & (F.size("target_columns") > 0)
 
-    totals = column_totals(known.filter((op == "aggregate") & has_targets), cells, schema).select(
+    totals = column_totals(known.filter(totalled), cells, types).select(
         "request_id",
+        "record_id",
         F.col("target_pos").cast("long").alias("position"),
         F.col("total_name").alias("col_name"),
         F.lit(None).cast("long").alias("row_ord"),
         F.lit(None).cast("string").alias("row_name"),
         F.lit(None).cast("string").alias("raw"),
         F.col("total").alias("num"),
-        F.when(F.col("status") != "OK", F.concat(F.lit("Available numeric columns: "), F.col("numeric_columns")))
-        .alias("note"),
+        F.concat(F.lit("Available numeric columns: "), F.col("numeric_columns")).alias("note"),
     )
-    preview = (
-        known.filter(op.isin(complex_ops))
-        .select("request_id", "record_id")
-        .join(table_head(cells, PREVIEW_ROWS), "record_id")
-        .select(
+
+    def values(found: DataFrame, position: str, note: Column) -> DataFrame:
+        return found.select(
             "request_id",
-            F.col("col_ord").cast("long").alias("position"),
+            "record_id",
+            F.col(position).cast("long").alias("position"),
             "col_name",
             F.col("row_ord").cast("long").alias("row_ord"),
             "row_name",
             "raw",
             to_float(F.col("raw")).alias("num"),
-            F.lit("analysis_required").alias("note"),
+            note.alias("note"),
         )
+
+    previews = known.filter(op.isin(complex_ops)).select("request_id", "record_id").join(
+        table_head(cells, PREVIEW_ROWS), "record_id"
     )
-    plain = known.filter(~op.isin(complex_ops) & ~((op == "aggregate") & has_targets))
-    selected = select_columns(plain, cells, schema).select(
-        "request_id",
-        F.col("target_pos").cast("long").alias("position"),
-        "col_name",
-        F.col("row_ord").cast("long").alias("row_ord"),
-        "row_name",
-        "raw",
-        to_float(F.col("raw")).alias("num"),
-        F.when(F.col("fallback"), "Columns not found. Showing all data.").alias("note"),
+    selected = select_columns(known.filter(~op.isin(complex_ops) & ~totalled), cells)
+    answers = (
+        totals.unionByName(values(previews, "col_ord", F.lit("analysis_required")))
+        .unionByName(
+            values(
+                selected, "target_pos", F.when(F.col("fallback"), "Columns not found. Showing all data.")
+            )
+        )
     )
-    answers = totals.unionByName(preview).unionByName(selected)
-    return answers.join(known.select("request_id", "record_id", "operation", "query_type"), "request_id").select(
-        "request_id", "record_id", "operation", "query_type", "position", "col_name", "row_ord", "row_name",
-        "raw", "num", "note",
+    chosen = F.col("request_id.operation")
+    return answers.select(
+        "request_id.request_id", "record_id", chosen.alias("operation"), query_type(chosen).alias("query_type"),
+        "position", "col_name", "row_ord", "row_name", "raw", "num", "note",
     )
 
 
-def compute_requests(requests: DataFrame, cells: DataFrame, schema: DataFrame) -> DataFrame:
+def compute_requests(requests: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
     """Evaluate (request_id, record_id, expression).
 
     Sum or total expressions add up the table's first numeric column; the others, and those on a table
@@ -178,7 +175,7 @@ def compute_requests(requests: DataFrame, cells: DataFrame, schema: DataFrame) -
             "request_id", "record_id", F.array().cast("array<string>").alias("target_columns")
         ),
         cells,
-        schema,
+        types,
     ).select("request_id", "total")
     text = keyword_arithmetic(F.col("expression"))
     return (

@@ -307,9 +307,9 @@ def _targets(requests: DataFrame) -> DataFrame:
     return named.groupBy("request_id", "record_id", "col_name").agg(F.min("target_pos").alias("target_pos"))
 
 
-def choose_columns(requests: DataFrame, schema: DataFrame) -> DataFrame:
+def choose_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """The requested columns that exist; all columns, flagged, for a request where none does."""
-    columns = schema.select("record_id", "col_ord", "col_name")
+    columns = cells.select("record_id", "col_ord", "col_name").distinct()
     found = _targets(requests).join(columns, ["record_id", "col_name"]).withColumn(
         "fallback", F.lit(False)
     )
@@ -323,10 +323,10 @@ def choose_columns(requests: DataFrame, schema: DataFrame) -> DataFrame:
     return found.select(everything.columns).unionByName(everything)
 
 
-def select_columns(requests: DataFrame, cells: DataFrame, schema: DataFrame) -> DataFrame:
+def select_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells of the chosen columns, per request."""
     return (
-        choose_columns(requests, schema)
+        choose_columns(requests, cells)
         .join(cells.select("record_id", "col_ord", "row_ord", "row_name", "raw"), ["record_id", "col_ord"])
         .select(
             "request_id", "record_id", "target_pos", "col_name", "row_ord", "row_name", "raw", "fallback"
@@ -334,9 +334,9 @@ def select_columns(requests: DataFrame, cells: DataFrame, schema: DataFrame) ->
     )
 
 
-def column_sums(cells: DataFrame, schema: DataFrame, faithful: bool = False) -> DataFrame:
+def column_sums(cells: DataFrame, types: DataFrame, faithful: bool = False) -> DataFrame:
     """Sum of every numeric column, missing values skipped."""
-    typed = typed_cells(cells, schema.filter("column_type = 'numeric'"), faithful)
+    typed = typed_cells(cells, types.filter("column_type = 'numeric'"), faithful)
     return (
         typed.withColumn("_exact", to_exact(F.col("raw"), F.col("num")))
         .groupBy("record_id", "col_ord", "col_name")
@@ -345,74 +345,57 @@ def column_sums(cells: DataFrame, schema: DataFrame, faithful: bool = False) ->
 
 
 def column_totals(
-    requests: DataFrame, cells: DataFrame, schema: DataFrame, faithful: bool = False
+    requests: DataFrame, cells: DataFrame, types: DataFrame, faithful: bool = False
 ) -> DataFrame:
     """``{column}_total`` per requested numeric column; one error row listing the numeric columns otherwise.
 
-    Columns are summed once each before they meet the requests.
+    Columns are summed once each before they meet the requests. ``types`` needs KEY, col_ord, col_name and
+    column_type.
     """
     wanted = _targets(requests)
-    asked = wanted.select("record_id", "col_name").distinct()
-    numeric = schema.filter("column_type = 'numeric'")
-    sums = column_sums(
-        cells.join(asked, ["record_id", "col_name"], "left_semi").select(*cells.columns), numeric, faithful
+    sums = column_sums(cells, types, faithful).select("record_id", "col_name", "total")
+    hit = F.struct("target_pos", F.concat("col_name", F.lit("_total")).alias("total_name"), "total")
+    none = F.struct(
+        F.lit(0).alias("target_pos"),
+        F.lit(None).cast("string").alias("total_name"),
+        F.lit(None).cast("double").alias("total"),
+    )
+    per_request = (
+        wanted.join(sums, ["record_id", "col_name"], "left")
+        .groupBy("request_id", "record_id")
+        .agg(F.collect_list(F.when(F.col("total").isNotNull(), hit)).alias("_hits"))
+    )
+    available = (
+        types.filter("column_type = 'numeric'")
+        .groupBy("record_id")
+        .agg(F.array_sort(F.collect_list(F.struct("col_ord", "col_name"))).alias("_names"))
     )
-    hits = wanted.join(sums, ["record_id", "col_name"]).select(
+    missed = F.size("_hits") == 0
+    listed = F.coalesce(F.array_join(F.transform("_names", lambda s: s["col_name"]), ", "), F.lit(""))
+    return per_request.join(available, "record_id", "left").select(
         "request_id",
         "record_id",
-        "target_pos",
-        F.concat("col_name", F.lit("_total")).alias("total_name"),
-        "total",
-        F.lit("OK").alias("status"),
-        F.lit(None).cast("string").alias("numeric_columns"),
-    )
-    available = numeric.groupBy("record_id").agg(
-        F.array_sort(F.collect_list(F.struct("col_ord", "col_name"))).alias("_names")
+        F.inline(F.when(missed, F.array(none)).otherwise(F.col("_hits"))),
+        F.when(missed, "NO_NUMERIC_COLUMNS").otherwise("OK").alias("status"),
+        F.when(missed, listed).alias("numeric_columns"),
     )
-    misses = (
-        requests.select("request_id", "record_id")
-        .join(hits.select("request_id").distinct(), "request_id", "left_anti")
-        .join(available, "record_id", "left")
-        .select(
-            "request_id",
-            "record_id",
-            F.lit(0).alias("target_pos"),
-            F.lit(None).cast("string").alias("total_name"),
-            F.lit(None).cast("double").alias("total"),
-            F.lit("NO_NUMERIC_COLUMNS").alias("status"),
-            F.coalesce(
-                F.array_join(F.transform("_names", lambda s: s["col_name"]), ", "), F.lit("")
-            ).alias("numeric_columns"),
-        )
-    )
-    return hits.unionByName(misses)
 
 
 def first_numeric_sum(
-    requests: DataFrame, cells: DataFrame, schema: DataFrame, faithful: bool = False
+    requests: DataFrame, cells: DataFrame, types: DataFrame, faithful: bool = False
 ) -> DataFrame:
     """Sum of the first requested column that is numeric; a request naming none takes the table's first."""
-    numeric = schema.filter("column_type = 'numeric'").select("record_id", "col_ord", "col_name")
+    sums = column_sums(cells, types, faithful)
     named = F.coalesce(F.size("target_columns"), F.lit(0)) > 0
+    option = F.struct("pos", "col_name", "total")
     by_name = (
         _targets(requests.filter(named))
-        .join(numeric, ["record_id", "col_name"])
+        .join(sums, ["record_id", "col_name"])
+        .withColumn("pos", F.col("target_pos"))
         .groupBy("request_id", "record_id")
-        .agg(F.min(F.struct("target_pos", "col_ord", "col_name")).alias("_pick"))
-        .select("request_id", "record_id", "_pick.col_ord", "_pick.col_name")
-    )
-    first = numeric.groupBy("record_id").agg(F.min(F.struct("col_ord", "col_name")).alias("_pick"))
-    by_default = (
-        requests.filter(~named)
-        .select("request_id", "record_id")
-        .join(first, "record_id")
-        .select("request_id", "record_id", "_pick.col_ord", "_pick.col_name")
-    )
-    picked = by_name.unionByName(by_default)
-    needed = picked.select("record_id", "col_ord").distinct()
-    sums = column_sums(
-        cells.join(needed, ["record_id", "col_ord"], "left_semi").select(*cells.columns), schema, faithful
-    )
-    return picked.join(sums.drop("col_name"), ["record_id", "col_ord"]).select(
-        "request_id", "record_id", "col_name", "total"
+        .agg(F.min(option).alias("_pick"))
     )
+    first = sums.withColumn("pos", F.col("col_ord")).groupBy("record_id").agg(F.min(option).alias("_pick"))
+    by_default = requests.filter(~named).select("request_id", "record_id").join(first, "record_id")
+    both = by_name.unionByName(by_default.select(by_name.columns))
+    return both.select("request_id", "record_id", "_pick.col_name", "_pick.total")

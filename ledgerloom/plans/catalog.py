@@ -18,7 +18,7 @@ from ledgerloom.operators import (
     tables,
 )
 from ledgerloom.plans import demo
-from ledgerloom.session import shared_folder, tune
+from ledgerloom.session import shared_folder, stored, tune
 from ledgerloom.sources import corpus, ledger, turnlog
 from ledgerloom.streaming import incremental
 
@@ -49,6 +49,11 @@ def _joined(column: Column | str) -> Column:
     return F.array_join(column, "|")
 
 
+def _cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells for queries that read them several times."""
+    return stored(demo.cells(spark, folder), "cells")
+
+
 def _schema(spark: SparkSession, folder: str) -> DataFrame:
     return tables.build_schema(demo.cells(spark, folder))
 
@@ -220,9 +225,7 @@ def _(spark, folder):
 
 @_query("p1_select_columns")
 def _(spark, folder):
-    return tables.select_columns(
-        demo.column_requests(spark, folder), demo.cells(spark, folder), _schema(spark, folder)
-    )
+    return tables.select_columns(demo.column_requests(spark, folder), _cells(spark, folder))
 
 
 @_query("p2_table_head")
@@ -237,7 +240,7 @@ def _(spark, folder):
 
 @_query("p4_table_cards")
 def _(spark, folder):
-    cells = demo.cells(spark, folder)
+    cells = _cells(spark, folder)
     cards = tables.show_tables(
         demo.records(spark, folder), cells, tables.build_schema(cells), structure.classify_structure(cells)
     )
@@ -258,7 +261,7 @@ def _(spark, folder):
 
 @_query("p4_table_cards_json")
 def _(spark, folder):
-    cells = demo.cells(spark, folder)
+    cells = _cells(spark, folder)
     return tables.cards_as_json(
         tables.show_tables(
             demo.records(spark, folder), cells, tables.build_schema(cells), structure.structure_guide(cells)
@@ -291,20 +294,21 @@ def _(spark, folder):
 
 @_query("t4_typed_cells")
 def _(spark, folder):
-    return tables.typed_cells(demo.cells(spark, folder), _schema(spark, folder))
+    cells = demo.cells(spark, folder)
+    return tables.typed_cells(cells, tables.infer_column_types(cells))
 
 
 @_query("t4_typed_cells_faithful")
 def _(spark, folder):
-    return tables.typed_cells(demo.cells(spark, folder), _schema(spark, folder), faithful=True)
+    cells = demo.cells(spark, folder)
+    return tables.typed_cells(cells, tables.infer_column_types(cells), faithful=True)
 
 
 @_query("t4_conversion_warnings")
 def _(spark, folder):
-    schema = _schema(spark, folder)
-    return tables.conversion_warnings(
-        tables.typed_cells(demo.cells(spark, folder), schema, faithful=True), schema
-    )
+    cells = _cells(spark, folder)
+    schema = stored(tables.build_schema(cells), "schema")
+    return tables.conversion_warnings(tables.typed_cells(cells, schema, faithful=True), schema)
 
 
 @_query("t5_corpus_counts")
@@ -314,12 +318,16 @@ def _(spark, folder):
 
 @_query("t5_column_type_histogram")
 def _(spark, folder):
-    return records.column_type_histogram(demo.record_keys(spark, folder), _schema(spark, folder), 100)
+    return records.column_type_histogram(
+        demo.record_keys(spark, folder), tables.infer_column_types(demo.cells(spark, folder)), 100
+    )
 
 
 @_query("t5_column_type_histogram_all")
 def _(spark, folder):
-    return records.column_type_histogram(demo.record_keys(spark, folder), _schema(spark, folder), None)
+    return records.column_type_histogram(
+        demo.record_keys(spark, folder), tables.infer_column_types(demo.cells(spark, folder)), None
+    )
 
 
 @_query("t5_table_shapes")
@@ -334,7 +342,7 @@ def _(spark, folder):
 
 @_query("t7_structure_guide")
 def _(spark, folder):
-    cells = demo.cells(spark, folder)
+    cells = _cells(spark, folder)
     guide = structure.structure_guide(cells, tables.build_schema(cells))
     return guide.select(
         "record_id",
@@ -389,7 +397,7 @@ def _(spark, folder):
 
 @_query("j4_get_values")
 def _(spark, folder):
-    return matching.get_values(demo.value_requests(spark, folder), demo.cells(spark, folder)).select(
+    return matching.get_values(demo.value_requests(spark, folder), _cells(spark, folder)).select(
         "request_id", "matched_row", "matched_column", "value", "value_text", "status",
         _joined("available").alias("available"),
     )
@@ -417,7 +425,7 @@ def _(spark, folder):
 
 @_query("j8_change_requests")
 def _(spark, folder):
-    return requests.change_requests(demo.change_jobs(spark, folder), demo.cells(spark, folder)).select(
+    return requests.change_requests(demo.change_jobs(spark, folder), _cells(spark, folder)).select(
         "request_id", "record_id", "change_type", "old_value", "new_value", "change", "status"
     )
 
@@ -432,9 +440,9 @@ def _(spark, folder):
 
 @_query("a1_column_totals")
 def _(spark, folder):
-    return tables.column_totals(
-        demo.column_requests(spark, folder), demo.cells(spark, folder), _schema(spark, folder)
-    ).select("request_id", "total_name", "total", "status", "numeric_columns")
+    cells = _cells(spark, folder)
+    types = stored(tables.infer_column_types(cells), "types")
+    return tables.column_totals(demo.column_requests(spark, folder), cells, types).select("request_id", "total_name", "total", "status", "numeric_columns")
 
 
 @_query("a2_first_numeric_sum")
@@ -442,7 +450,8 @@ def _(spark, folder):
     wanted = demo.column_requests(spark, folder).withColumn(
         "target_columns", F.when(F.col("request_id") % 4 != 0, F.col("target_columns"))
     )
-    return tables.first_numeric_sum(wanted, demo.cells(spark, folder), _schema(spark, folder))
+    cells = _cells(spark, folder)
+    return tables.first_numeric_sum(wanted, cells, stored(tables.infer_column_types(cells), "types"))
 
 
 @_query("a3_accuracy")
@@ -661,9 +670,8 @@ def _(spark, folder):
 
 @_query("f12_compute_requests")
 def _(spark, folder):
-    return requests.compute_requests(
-        demo.compute_jobs(spark, folder), demo.cells(spark, folder), _schema(spark, folder)
-    )
+    cells = _cells(spark, folder)
+    return requests.compute_requests(demo.compute_jobs(spark, folder), cells, tables.infer_column_types(cells))
 
 
 @_query("f13_intents")
@@ -735,9 +743,9 @@ def _(spark, folder):
 
 @_query("f17_query_tables")
 def _(spark, folder):
-    return requests.query_tables(
-        demo.text_requests(spark, folder), demo.cells(spark, folder), _schema(spark, folder)
-    )
+    cells = _cells(spark, folder)
+    types = stored(tables.infer_column_types(cells), "types")
+    return requests.query_tables(demo.text_requests(spark, folder), cells, types)
 
 
 # --- streaming -----------------------------------------------------------------------------------

@@ -731,9 +731,9 @@ def oracle_sql() -> dict[str, str]:
           WHEN {_says('q', ['ratio', 'times', 'multiple'])} THEN 'ratio as decimal' ELSE 'numeric value' END AS expected_format FROM q""")
     add("f17_query_tables", sums + f""", ranked_cols AS (
           SELECT *, row_number() OVER (PARTITION BY rec_ord ORDER BY col_ord) AS rank FROM col_labels),
-        firsts AS (SELECT record_id, list(col_name ORDER BY col_ord) AS leading FROM ranked_cols WHERE rank <= 3 GROUP BY record_id),
+        firsts AS (SELECT record_id, list(col_name ORDER BY col_ord) AS first_columns FROM ranked_cols WHERE rank <= 3 GROUP BY record_id),
         known AS (
-          SELECT request_id, r.record_id, coalesce(operation, {op}) AS operation, coalesce(target_columns, leading) AS targets
+          SELECT request_id, r.record_id, coalesce(operation, {op}) AS operation, coalesce(target_columns, first_columns) AS targets
           FROM text_requests r JOIN firsts f ON f.record_id = r.record_id),
         want AS (
           SELECT request_id, record_id, operation, unnest(targets) AS col_name, generate_subscripts(targets, 1) - 1 AS pos FROM known),

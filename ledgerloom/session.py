@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Splitting a hot join key at run time is what keeps record-keyed joins healthy, so it is forced
 # even where it costs the plan one more exchange.
@@ -45,3 +45,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that a job reads several times, and read it back.
+
+    The work behind it is done once, the lineage is cut at durable files, and Spark knows the real size when it
+    picks joins.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
