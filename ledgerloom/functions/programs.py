@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import SIMPLE_NUMBER, _any_of, to_float
+from ledgerloom.functions.numeric import SIMPLE_NUMBER, _any_of, parse_float, to_float
 
 # The named constants programs may use.
 CONSTANTS = {
@@ -54,115 +54,167 @@ def constant(name: Column) -> Column:
     return F.try_element_at(table, name)
 
 
-def call(name: Column, a: Column, b: Column) -> Column:
-    """struct(value, status) of one arithmetic call; division by zero is a status, not a null."""
+def _apply(name: Column, a: Column, b: Column) -> Column:
+    """Value of a call; null for an unknown function, a missing argument or a zero divisor."""
     value = F.lit(None).cast("double")
     for function, build in FUNCTIONS.items():
         value = F.when(name == function, build(a, b)).otherwise(value)
+    return value
+
+
+def call(name: Column, a: Column, b: Column) -> Column:
+    """struct(value, status) of one arithmetic call; division by zero is a status, not a null."""
     status = (
         F.when(~name.isin(*FUNCTIONS), "UNKNOWN_FUNCTION")
         .when(a.isNull() | (b.isNull() & (name != "exp")), "BAD_ARGUMENT")
         .when((name == "divide") & (b == 0), "DIV_ZERO")
         .otherwise("OK")
     )
-    return F.struct(value.alias("value"), status.alias("status"))
+    return F.struct(_apply(name, a, b).alias("value"), status.alias("status"))
 
 
-def _argument(token: Column, results: Column) -> Column:
-    """struct(value, status): ``#k`` is the k-th earlier result, ``const_x`` a constant, else a number."""
-    is_step, is_constant = token.startswith("#"), token.startswith("const_")
-    value = (
-        F.when(is_step, F.get(results, token.substr(2, 9).try_cast("int")))
-        .when(is_constant, constant(token))
-        .otherwise(to_float(token))
-    )
-    status = (
-        F.when(value.isNotNull() | (token == ""), "OK")
-        .when(is_step, "BAD_REFERENCE")
-        .when(is_constant, "UNKNOWN_CONSTANT")
-        .otherwise("BAD_ARGUMENT")
-    )
-    return F.struct(value.alias("value"), status.alias("status"))
+def _token_number(token: Column) -> Column:
+    """Number or constant an argument stands for; null for a back reference or anything else."""
+    plain = parse_float(F.translate(token, "$% ", ""))
+    return F.when(token.startswith("const_"), constant(token)).otherwise(plain)
+
+
+def _token_reference(token: Column) -> Column:
+    """k of a ``#k`` argument, else null."""
+    return F.when(token.startswith("#"), token.substr(2, 9).try_cast("int"))
 
 
 def evaluate_program(program: Column) -> Column:
-    """struct(value, status) of a whole program; the first failing step decides the status."""
-    steps = F.arrays_zip(
-        *[F.regexp_extract_all(program, F.lit(_CALL), F.lit(g)) for g in (1, 2, 3)]
+    """struct(value, status) of a whole program; the first failing step decides the status.
+
+    Arguments are parsed before the fold over the steps, so each is parsed once and the fold only looks up
+    earlier results and computes.
+    """
+    names, left, right = (F.regexp_extract_all(program, F.lit(_CALL), F.lit(g)) for g in (1, 2, 3))
+    tokens = F.arrays_zip(names, left, right)
+    steps = F.transform(
+        tokens,
+        lambda t: F.struct(
+            F.lower(t["0"]).alias("name"),
+            F.trim(t["1"]).alias("a"),
+            _token_number(F.trim(t["1"])).alias("a_number"),
+            _token_reference(F.trim(t["1"])).alias("a_step"),
+            F.trim(t["2"]).alias("b"),
+            _token_number(F.trim(t["2"])).alias("b_number"),
+            _token_reference(F.trim(t["2"])).alias("b_step"),
+        ),
     )
 
-    def run(state: Column, step: Column) -> Column:
-        a = _argument(F.trim(step["1"]), state["results"])
-        b = _argument(F.trim(step["2"]), state["results"])
-        done = call(F.lower(step["0"]), a["value"], b["value"])
-        status = (
-            F.when(done["status"] == "UNKNOWN_FUNCTION", done["status"])
-            .when(a["status"] != "OK", a["status"])
-            .when(b["status"] != "OK", b["status"])
-            .otherwise(done["status"])
+    def run(results: Column, step: Column) -> Column:
+        a = F.coalesce(step["a_number"], F.get(results, step["a_step"]))
+        b = F.coalesce(step["b_number"], F.get(results, step["b_step"]))
+        return F.concat(results, F.array(_apply(step["name"], a, b)))
+
+    def reason(step: Column, position: Column) -> Column:
+        """Why a step without a value failed."""
+
+        def argument(side: str) -> Column:
+            number, earlier = step[f"{side}_number"], step[f"{side}_step"]
+            return (
+                F.when(number.isNotNull() | ((earlier >= 0) & (earlier < position)), None)
+                .when(step[side].startswith("#"), "BAD_REFERENCE")
+                .when(step[side].startswith("const_"), "UNKNOWN_CONSTANT")
+                .otherwise("BAD_ARGUMENT")
+            )
+
+        return F.when(~step["name"].isin(*FUNCTIONS), "UNKNOWN_FUNCTION").otherwise(
+            F.coalesce(
+                argument("a"),
+                F.when(step["name"] != "exp", argument("b")),
+                F.lit("DIV_ZERO"),
+            )
+        )
+
+    start = F.array().cast("array<double>")
+
+    def outcome(results: Column) -> Column:
+        failed = F.array_min(
+            F.transform(results, lambda r, i: F.when(r.isNull(), i))
         )
-        advanced = F.struct(
-            F.concat(state["results"], F.array(done["value"])).alias("results"),
-            status.alias("status"),
+        return F.struct(
+            F.when(failed.isNull(), F.try_element_at(results, F.lit(-1))).alias("value"),
+            failed.alias("failed"),
         )
-        return F.when(state["status"] == "OK", advanced).otherwise(state)
 
-    start = F.struct(
-        F.array().cast("array<double>").alias("results"), F.lit("OK").alias("status")
-    )
-    stepped = F.aggregate(
-        steps,
-        start,
-        run,
-        lambda s: F.struct(
-            F.when(s["status"] == "OK", F.try_element_at(s["results"], F.lit(-1))).alias("value"),
-            s["status"].alias("status"),
-        ),
-    )
+    folded = F.aggregate(steps, start, run, outcome)
+    failures = F.transform(steps, reason)
     number = to_float(program)
-    literal = F.struct(
-        number.alias("value"),
-        F.when(number.isNotNull(), "OK").otherwise("UNPARSEABLE").alias("status"),
+    is_calls = F.contains(program, F.lit("(")) & (F.size(names) > 0)
+    # One array element stands for a local variable: the fold is evaluated once for value and status.
+    return F.when(
+        is_calls,
+        F.get(
+            F.transform(
+                F.array(folded),
+                lambda r: F.struct(
+                    r["value"].alias("value"),
+                    F.when(r["failed"].isNull(), "OK").otherwise(F.get(failures, r["failed"])).alias("status"),
+                ),
+            ),
+            F.lit(0),
+        ),
+    ).otherwise(
+        F.struct(
+            number.alias("value"),
+            F.when(number.isNotNull(), "OK").otherwise("UNPARSEABLE").alias("status"),
+        )
     )
-    return F.when(F.contains(program, F.lit("(")) & (F.size(steps) > 0), stepped).otherwise(literal)
 
 
-def keyword_arithmetic(text: Column) -> Column:
-    """struct(value, status) for arithmetic stated in words or symbols.
+def with_arithmetic(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: struct(value, status) for arithmetic stated in words or symbols.
 
     One bare binary expression is computed as written. Otherwise the first two numbers are combined by
     the first keyword group present; a pure expression with more operands is refused, not guessed.
     """
-    number = r"[+-]?\s*(?:\d+\.?\d*|\.\d+)"
-    binary = rf"^\s*\(?\s*({number})\s*([-+*/])\s*({number})\s*\)?\s*\z"
-    spaceless = F.regexp_replace(text, r"\s", "")
-    left = F.regexp_extract(spaceless, binary, 1).try_cast("double")
-    sign = F.regexp_extract(spaceless, binary, 2)
-    right = F.regexp_extract(spaceless, binary, 3).try_cast("double")
+    number = r"[+-]?(?:\d+\.?\d*|\.\d+)"
+    binary = rf"^\(?({number})([-+*/])({number})\)?\z"
+    symbols_only = F.col(text).rlike(r"^[\d\s+\-*/().]+\z")
+    found = F.regexp_extract_all(F.col(text), F.lit(SIMPLE_NUMBER), F.lit(1))
+    # Each step is a column of its own, so that no pattern is matched twice.
+    parsed = (
+        df.withColumn("_numbers", found)
+        .withColumn("_symbols", F.when(symbols_only, F.regexp_replace(text, r"\s", "")))
+        .withColumn("_sign", F.regexp_extract("_symbols", binary, 2))
+    )
+    left = F.regexp_extract("_symbols", binary, 1).try_cast("double")
+    right = F.regexp_extract("_symbols", binary, 3).try_cast("double")
     written = (
-        F.when(sign == "+", left + right)
-        .when(sign == "-", left - right)
-        .when(sign == "*", left * right)
-        .when(sign == "/", F.try_divide(left, right))
+        F.when(F.col("_sign") == "+", left + right)
+        .when(F.col("_sign") == "-", left - right)
+        .when(F.col("_sign") == "*", left * right)
+        .otherwise(F.try_divide(left, right))
     )
-
-    numbers = F.regexp_extract_all(text, F.lit(SIMPLE_NUMBER), F.lit(1))
-    first = F.get(numbers, F.lit(0)).try_cast("double")
-    second = F.get(numbers, F.lit(1)).try_cast("double")
-    lowered = F.lower(text)
+    first = F.get("_numbers", F.lit(0)).try_cast("double")
+    second = F.get("_numbers", F.lit(1)).try_cast("double")
     named = first
     for function, words in reversed(TEXT_OPERATIONS):
-        said = _any_of([F.contains(lowered, F.lit(w)) for w in words])
+        said = _any_of([F.contains(F.lower(text), F.lit(w)) for w in words])
         named = F.when(said, FUNCTIONS[function](first, second)).otherwise(named)
 
-    is_written = text.rlike(binary)
-    too_long = text.rlike(r"^[\d\s+\-*/().]+\z") & (F.size(numbers) > 2)
-    value = F.when(is_written, written).when(F.size(numbers) == 1, first).otherwise(named)
-    zero_division = value.isNull() & (F.size(numbers) >= 2)
+    count = F.size("_numbers")
+    is_written = F.coalesce(F.col("_sign") != "", F.lit(False))
+    value = F.when(is_written, written).when(count == 1, first).otherwise(named)
+    too_long = F.col("_symbols").isNotNull() & ~is_written & (count > 2)
     status = (
         F.when(too_long, "UNSUPPORTED_EXPRESSION")
-        .when(F.size(numbers) == 0, "UNABLE_TO_COMPUTE")
-        .when(zero_division, "DIV_ZERO")
+        .when(count == 0, "UNABLE_TO_COMPUTE")
+        .when(F.col("_value").isNull(), "DIV_ZERO")
         .otherwise("OK")
     )
-    return F.struct(F.when(status == "OK", value).alias("value"), status.alias("status"))
+    return (
+        parsed.withColumn("_value", value)
+        .withColumn("_status", status)
+        .withColumn(
+            out,
+            F.struct(
+                F.when(F.col("_status") == "OK", F.col("_value")).alias("value"), F.col("_status").alias("status")
+            ),
+        )
+        .drop("_numbers", "_symbols", "_sign", "_value", "_status")
+    )

@@ -27,6 +27,7 @@ _SIMILAR = T.StructType(
 )
 MIN_OVERLAP = 0.3
 MIN_SIMILARITY = 0.4
+MATCHERS_KEPT = 4096
 
 
 def label_slices(cells: DataFrame, axis: str) -> DataFrame:
@@ -135,16 +136,20 @@ def closest_label(requests: DataFrame, cells: DataFrame, axis: str = "row") -> D
 @F.pandas_udf(_SIMILAR)
 def _most_similar(needles: pd.Series, slices: pd.Series) -> pd.DataFrame:
     """First label of each slice with the highest similarity ratio above the threshold; rank is its negative."""
+    # A matcher indexes its label once; labels recur across tables, so matchers are kept while they are few.
+    matchers: dict[str, SequenceMatcher] = {}
     found = []
     for needle, labels in zip(needles, slices):
         best: tuple = (None, None, None)
-        if labels is None:  # already matched
-            found.append(best)
-            continue
         score = MIN_SIMILARITY
-        matcher = SequenceMatcher(None, needle, "")
-        for item in labels:
-            matcher.set_seq2(item["low"])
+        for item in () if labels is None else labels:
+            low = item["low"]
+            matcher = matchers.get(low)
+            if matcher is None:
+                if len(matchers) >= MATCHERS_KEPT:
+                    matchers.clear()
+                matcher = matchers[low] = SequenceMatcher(None, "", low)
+            matcher.set_seq1(needle)
             if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score:
                 ratio = matcher.ratio()
                 if ratio > score:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import change, display_number, to_float
-from ledgerloom.functions.programs import keyword_arithmetic
+from ledgerloom.functions.programs import with_arithmetic
 from ledgerloom.functions.text import expression_intent, operation, query_type
 from ledgerloom.operators.matching import get_values
 from ledgerloom.operators.tables import (
@@ -177,10 +177,9 @@ def compute_requests(requests: DataFrame, cells: DataFrame, types: DataFrame) ->
         cells,
         types,
     ).select("request_id", "total")
-    text = keyword_arithmetic(F.col("expression"))
     return (
-        tagged.join(sums, "request_id", "left")
-        .withColumn("_text", text)
+        with_arithmetic(tagged, "expression", "_text")
+        .join(sums, "request_id", "left")
         .select(
             "request_id",
             "record_id",

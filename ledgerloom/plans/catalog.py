@@ -662,8 +662,7 @@ def _(spark, folder):
 
 @_query("f12_keyword_arithmetic")
 def _(spark, folder):
-    result = programs.keyword_arithmetic(F.col("expression"))
-    return demo.expressions(spark, folder).withColumn("_r", result).select(
+    return programs.with_arithmetic(demo.expressions(spark, folder), "expression", "_r").select(
         "request_id", "expression", F.col("_r.value").alias("value"), F.col("_r.status").alias("status")
     )
 
