@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Substring lengths used as join keys; a needle uses the longest that fits it.
 GRAM_LENGTHS = [1, 2, 4, 8, 16]
+# A substring common to very many texts is spread over this many tasks.
+SALTS = 32
 
 
 def _grams(text: Column, length: Column) -> Column:
@@ -49,5 +51,7 @@ def contained_in(needles: DataFrame, hay: DataFrame, on: list[str] | None = None
         .filter("_rarest.freq > 0")
         .select(*on, "needle", "_rarest._gram")
     )
-    pairs = hay_grams.join(chosen, [*on, "_gram"]).filter(F.contains("hay", F.col("needle")))
-    return pairs.drop("_gram")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = hay_grams.withColumn("_salt", F.pmod(F.xxhash64("hay"), F.lit(SALTS)).cast("int"))
+    pairs = salted.join(chosen.select("*", every_salt), [*on, "_gram", "_salt"])
+    return pairs.filter(F.contains("hay", F.col("needle"))).drop("_gram", "_salt")

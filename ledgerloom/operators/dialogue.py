@@ -56,7 +56,7 @@ def recent_context(log: DataFrame, depth: int = 5, slice_rows: int = SLICE_ROWS)
     line = F.concat(
         F.lit("User: "), F.col("user_message"), F.lit("\nAssistant: "), F.col("assistant_response")
     )
-    seen = with_previous(numbered, SESSION, "turn_no", depth, line, "_lines", slice_rows)
+    seen = with_previous(numbered, SESSION, "turn_no", depth, line, "_lines", slice_rows, keep_slice=True)
     names = F.transform(
         _filled("tool_calls"), lambda c: F.coalesce(F.try_element_at(c, F.lit("tool_name")), F.lit("unknown"))
     )

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 65_536
 
 
+def _slice_of(position: str, slice_rows: int) -> Column:
+    """Integer division, exact for every long."""
+    return F.expr(f"({position}) div {slice_rows}")
+
+
 def _attach(df: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(carried, keys, "left")
 
@@ -26,7 +31,7 @@ def number_rows(
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add ``out``: 1, 2, ... inside each group by the integer column ``order``, unique in its group."""
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    sliced = df.withColumn("_slice", _slice_of(order, slice_rows))
     keys = [*group, "_slice"]
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -51,16 +56,18 @@ def with_previous(
     item: Column,
     out: str,
     slice_rows: int = SLICE_ROWS,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add ``out``: array of ``item`` over the up to ``depth`` rows before each row, oldest first.
 
     ``number`` must count 1, 2, ... in the group. The last ``depth`` rows of a slice are also handed to the
-    next one, so no window ever spans more than ``slice_rows + depth`` rows.
+    next one, so no window ever spans more than ``slice_rows + depth`` rows. ``keep_slice`` leaves the column
+    ``_slice`` in place, so that ``carry_forward`` can go on without another shuffle.
     """
     if depth >= slice_rows:
         raise ValueError("depth must be smaller than slice_rows")
     position = F.col(number) - 1
-    home = F.floor(position / slice_rows)
+    home = _slice_of(f"{number} - 1", slice_rows)
     both = F.array(home, home + 1)
     handed_on = numbered.withColumn("_home", home).withColumn(
         "_slice",
@@ -74,7 +81,7 @@ def with_previous(
     return (
         handed_on.withColumn(out, F.collect_list(item).over(recent))
         .filter("_home = _slice")
-        .drop("_home", "_slice")
+        .drop("_home", *([] if keep_slice else ["_slice"]))
     )
 
 
@@ -85,9 +92,14 @@ def carry_forward(
     items: dict[str, Column],
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add one column per item: its latest non-null value among the rows *before* each row."""
+    """Add one column per item: its latest non-null value among the rows *before* each row.
+
+    A ``_slice`` column kept by ``with_previous`` is used, and dropped.
+    """
     keys = [*group, "_slice"]
-    sliced = numbered.withColumn("_slice", F.floor((F.col(number) - 1) / slice_rows))
+    sliced = numbered
+    if "_slice" not in numbered.columns:
+        sliced = numbered.withColumn("_slice", _slice_of(f"{number} - 1", slice_rows))
     for name, item in items.items():
         sliced = sliced.withColumn(f"_item_{name}", item)
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +120,7 @@ def carry_forward(
         "*", *[F.last(f"_item_{n}", ignorenulls=True).over(local).alias(f"_local_{n}") for n in items]
     )
     return _attach(windowed, carried, keys).select(
-        *numbered.columns,
+        *[c for c in numbered.columns if c != "_slice"],
         *[F.coalesce(f"_local_{n}", f"_carried_{n}").alias(n) for n in items],
     )
 
@@ -123,7 +135,7 @@ def running_totals(
     """Add cumulative sums ``{out: column}`` up to and including each row, by the integer ``order``."""
     group = group or []
     keys = [*group, "_slice"]
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    sliced = df.withColumn("_slice", _slice_of(order, slice_rows))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sliced.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in totals.items()])
     carried = sums.select(*keys, *[F.sum(f"_sum_{o}").over(before).alias(f"_before_{o}") for o in totals])

@@ -77,18 +77,18 @@ def lookup_records(requests: DataFrame, usable: DataFrame, similar: int = 5) ->
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "similar_id"))).alias("_top"))
         .select("needle", F.transform("_top", lambda s: s["similar_id"]).alias("similar_records"))
     )
-    available = ids.agg(F.count(F.lit(1)).alias("available_count"))
+    available = ids.agg(F.count(F.lit(1))).scalar()
     return (
-        answered.withColumn("needle", F.when(F.col("rec_ord").isNull(), F.lower("record_id")))
+        # Every row has a needle, so the answered ones do not pile up under one null key.
+        answered.withColumn("needle", F.lower("record_id"))
         .join(top, "needle", "left")
-        .join(F.broadcast(available), how="cross")  # one row
         .select(
             "request_id",
             "record_id",
             F.when(F.col("rec_ord").isNull(), "NOT_FOUND").otherwise("OK").alias("status"),
             "split",
             "rec_ord",
-            F.when(F.col("rec_ord").isNull(), F.col("available_count")).alias("available_count"),
+            F.when(F.col("rec_ord").isNull(), available).alias("available_count"),
             F.when(
                 F.col("rec_ord").isNull(),
                 F.coalesce("similar_records", F.array().cast("array<string>")),
@@ -145,16 +145,14 @@ def column_type_histogram(
     if sample is None:
         chosen = schema
     else:
-        chosen = schema.join(
-            F.broadcast(first_records(records.select("split", "rec_ord"), sample)), "rec_ord", "left_semi"
-        )
+        chosen = schema.join(first_records(records.select("split", "rec_ord"), sample), "rec_ord", "left_semi")
     return chosen.groupBy("column_type").agg(F.count(F.lit(1)).alias("columns"))
 
 
 def table_shapes(records: DataFrame, cells: DataFrame, sample: int = 10) -> DataFrame:
     """Rows and columns of the tables of the first ``sample`` records that have one."""
     chosen = first_records(records.select("split", "rec_ord"), sample)
-    wanted = cells.join(F.broadcast(chosen), "rec_ord", "left_semi")
+    wanted = cells.join(chosen, "rec_ord", "left_semi")
     return (
         axis_labels(wanted)
         .groupBy("rec_ord", "record_id")

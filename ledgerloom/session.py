@@ -33,6 +33,7 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> Sp
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # A local run has few, small partitions; keep them all busy instead of merging them.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .getOrCreate()

@@ -123,3 +123,39 @@ def test_no_pairwise_join(spark):
     asked = spark.createDataFrame([(1, "r", "a", "2007")], "request_id long, record_id string, row_identifier string, column_identifier string")
     plan = matching.get_values(asked, cells)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_hot_record_is_split(spark):
+    """A record with a third of all requests is spread over several tasks of the label join."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    row = (F.col("id") / 200).cast("int")
+    record = F.concat(F.lit("rec"), (F.col("id") % 200).cast("string"))
+    cells = spark.range(2000).select(
+        (F.col("id") % 200).alias("rec_ord"), record.alias("record_id"), F.lit(0).alias("col_ord"),
+        F.lit("2007").alias("col_name"), row.alias("row_ord"),
+        F.concat(F.lit("row "), row.cast("string")).alias("row_name"), F.lit("1").alias("raw"),
+    )
+    asked = spark.range(60000).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") % 3 == 0, "rec7").otherwise(record).alias("record_id"),
+        F.concat(F.lit("the row "), (F.col("id") % 10).cast("string"), F.lit(" "), F.col("id").cast("string"))
+        .alias("row_identifier"),
+    )
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = matching.match_rows(asked, cells, fuzzy=False)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert len(rows) == 60000 and all(r.matched_row == f"row {r.request_id % 10}" for r in rows)
+    assert "skew=true" in plan
