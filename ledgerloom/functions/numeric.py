@@ -34,6 +34,8 @@ CANDIDATE_PATTERNS = [
     r"([-+]?\d+)",
 ]
 SIMPLE_NUMBER = r"(-?\d+\.?\d*)"
+# The same with ``$`` and ``,`` allowed anywhere inside.
+_LOOSE_NUMBER = r"(-?(?:[$,]*\d)+(?:[$,]*\.(?:[$,]*\d)*)?)"
 MATCH_TOLERANCE = 1e-6
 
 
@@ -96,17 +98,17 @@ def _last_match(text: Column, pattern: str) -> Column:
 
 
 def last_number(text: Column) -> Column:
-    """The last plain number, commas and dollar signs dropped first; null when there is none."""
-    return _last_match(F.translate(text, "$,", ""), SIMPLE_NUMBER)
+    """The last plain number, commas and dollar signs ignored; null when there is none.
+
+    The signs are skipped inside the pattern and dropped from the one match, not from the whole text.
+    """
+    return F.translate(_last_match(text, _LOOSE_NUMBER), "$,", "")
 
 
 def primary_number(text: Column) -> Column:
     """The answer a text states: a number alone on its line, else the longest, decimals preferred."""
-    trimmed = strip(text)
     found = F.flatten(
-        F.array(
-            *[F.regexp_extract_all(trimmed, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS]
-        )
+        F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS])
     )
     bare = F.transform(found, lambda m: _negate_parentheses(F.translate(m, ",$%", "")))
     numbers = F.filter(bare, lambda m: m.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"))
@@ -120,9 +122,7 @@ def primary_number(text: Column) -> Column:
 
     start = F.struct(F.lit(None).cast("string").alias("best"), F.lit(0).alias("score"))
     folded = F.aggregate(numbers, start, keep_better, lambda held: held["best"])
-    return F.when(
-        trimmed.rlike(r"\d"), F.coalesce(_last_match(trimmed, _ANSWER_LINE), folded)
-    )
+    return F.when(text.rlike(r"\d"), F.coalesce(_last_match(text, _ANSWER_LINE), folded))
 
 
 def numeric_match(actual: Column, expected: Column) -> Column:

@@ -65,8 +65,14 @@ def mentions(text: Column, words: list[str]) -> Column:
 def financial_terms(text: Column) -> Column:
     """Sorted array of the financial terms a text contains."""
     lowered = F.lower(text)
-    found = [F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in sorted(FINANCIAL_TERMS)]
-    return F.array_compact(F.array(*found))
+    # Joined one-word arrays stay in generated code, where the lower-casing is done once.
+    return F.concat(
+        *[_word_if(F.contains(lowered, F.lit(w)), w) for w in sorted(FINANCIAL_TERMS)]
+    )
+
+
+def _word_if(condition: Column, word: str) -> Column:
+    return F.when(condition, F.array(F.lit(word))).otherwise(F.array().cast("array<string>"))
 
 
 def has_financial_content(text: Column) -> Column:
@@ -90,7 +96,7 @@ def is_time_label(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Entities a response refers to without a language model: the table, when it names one."""
-    return F.array_compact(F.array(F.when(mentions(text, ["table"]), F.lit("financial_table"))))
+    return _word_if(mentions(text, ["table"]), "financial_table")
 
 
 def operation(question: Column) -> Column:

@@ -196,3 +196,15 @@ def test_selection_check(spark):
     assert [g["validation_status"] for g in got] == ["warnings_found", "warnings_found", "looks_good"]
     assert [len(g["suggestions"]) for g in got] == [1, 0, 1]
     assert got[2]["recommendation"] == text.PROCEED
+
+
+def test_loose_pattern_equals_removing_signs_first():
+    import random
+    import re
+
+    rng = random.Random(7)
+    for _ in range(100_000):
+        value = "".join(rng.choice("12$,.-a ") for _ in range(rng.randint(1, 14)))
+        plain = re.findall(r"-?\d+\.?\d*", value.replace("$", "").replace(",", ""))
+        loose = [m.replace("$", "").replace(",", "") for m in re.findall(numeric._LOOSE_NUMBER, value)]
+        assert plain == loose, value
