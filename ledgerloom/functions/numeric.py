@@ -102,7 +102,8 @@ def last_number(text: Column) -> Column:
 
     The signs are skipped inside the pattern and dropped from the one match, not from the whole text.
     """
-    return F.translate(_last_match(text, _LOOSE_NUMBER), "$,", "")
+    found = F.translate(_last_match(text, _LOOSE_NUMBER), "$,", "")
+    return F.when(text.rlike("[0-9]"), found)
 
 
 def primary_number(text: Column) -> Column:
@@ -122,7 +123,7 @@ def primary_number(text: Column) -> Column:
 
     start = F.struct(F.lit(None).cast("string").alias("best"), F.lit(0).alias("score"))
     folded = F.aggregate(numbers, start, keep_better, lambda held: held["best"])
-    return F.when(text.rlike(r"\d"), F.coalesce(_last_match(text, _ANSWER_LINE), folded))
+    return F.when(text.rlike("[0-9]"), F.coalesce(_last_match(text, _ANSWER_LINE), folded))
 
 
 def numeric_match(actual: Column, expected: Column) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.numeric import strip, to_float
-from ledgerloom.operators.tables import axis_labels
 
 LABELS_PER_SLICE = 256
 _SIMILAR = T.StructType(
@@ -32,15 +31,15 @@ MATCHERS_KEPT = 4096
 
 def label_slices(cells: DataFrame, axis: str) -> DataFrame:
     """Labels of one axis as arrays of struct(ord, label, low): record_id, slice, labels."""
-    return (
-        axis_labels(cells)
-        .filter(F.col("axis") == axis)
-        .groupBy("record_id", F.floor(F.col("ord") / LABELS_PER_SLICE).alias("slice"))
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("ord", "label", F.lower("label").alias("low")))
-            ).alias("labels")
-        )
+    ordinal, name = ("col_ord", "col_name") if axis == "col" else ("row_ord", "row_name")
+    distinct = F.array_sort(F.collect_set(F.struct(F.col(ordinal).alias("ord"), F.col(name).alias("label"))))
+    return cells.groupBy("record_id", F.expr(f"{ordinal} div {LABELS_PER_SLICE}").alias("slice")).agg(
+        F.transform(
+            distinct,
+            lambda l: F.struct(
+                l["ord"].alias("ord"), l["label"].alias("label"), F.lower(l["label"]).alias("low")
+            ),
+        ).alias("labels")
     )
 
 
@@ -115,6 +114,22 @@ def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
+def match_column_lists(requests: DataFrame, cells: DataFrame) -> DataFrame:
+    """Replace every wanted name in ``target_columns`` by the column it matches; names without one go."""
+    named = requests.select(
+        "request_id", "record_id", F.posexplode_outer("target_columns").alias("_pos", "column_identifier")
+    )
+    hit = F.when(F.col("matched_column").isNotNull(), F.struct("_pos", "matched_column"))
+    return (
+        match_columns(named, cells)
+        .groupBy("request_id", "record_id")
+        .agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+        .select(
+            "request_id", "record_id", F.transform("_hits", lambda h: h["matched_column"]).alias("target_columns")
+        )
+    )
+
+
 def closest_label(requests: DataFrame, cells: DataFrame, axis: str = "row") -> DataFrame:
     """(request_id, record_id, row_identifier) to the label with the largest length overlap above 0.3."""
     wanted = requests.select("record_id", "row_identifier").distinct()

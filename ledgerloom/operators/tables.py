@@ -62,7 +62,7 @@ def densify(cells: DataFrame) -> DataFrame:
     The rows of a table are cut into blocks and its columns sent to each block, so even a very tall table
     is expanded by many tasks.
     """
-    block = F.floor(F.col("row_ord") / ROWS_PER_PART).alias("_block")
+    block = F.expr(f"row_ord div {ROWS_PER_PART}").alias("_block")
     rows = _rows(cells).select("*", block)
     blocks = cells.select(*KEY, block).distinct()
     columns = _columns(cells).join(blocks, KEY)
@@ -205,9 +205,12 @@ def conversion_warnings(typed: DataFrame, schema: DataFrame) -> DataFrame:
     )
 
 
-def list_tables(schema: DataFrame) -> DataFrame:
-    """Per table: name, rows, columns and the ordered column names; very wide tables come in parts."""
-    part = F.floor(F.col("col_ord") / (10 * ROWS_PER_PART))
+def list_tables(schema: DataFrame, compact: bool = False) -> DataFrame:
+    """Per table: name, rows, columns and the ordered column names; very wide tables come in parts.
+
+    ``compact`` keeps the name and the column names.
+    """
+    part = F.expr(f"col_ord div {10 * ROWS_PER_PART}")
     counts = schema.groupBy(*KEY).agg(
         F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("column_count")
     )
@@ -216,9 +219,12 @@ def list_tables(schema: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("col_ord", "col_name"))).alias("_cols"))
         .select(*KEY, "part", F.transform("_cols", lambda c: c["col_name"]).alias("column_names"))
     )
+    table_name = F.concat("record_id", F.lit("_table")).alias("table_name")
+    if compact:
+        return names.select(table_name, "part", "column_names")
     return names.join(counts, KEY).select(
         *KEY,
-        F.concat("record_id", F.lit("_table")).alias("table_name"),
+        table_name,
         "row_count",
         "column_count",
         "part",
@@ -241,7 +247,7 @@ def show_tables(
     ``part`` counts blocks of ROWS_PER_PART rows; an ordinary table has part 0 only.
     """
     packed = (
-        cells.withColumn("part", F.floor(F.col("row_ord") / ROWS_PER_PART))
+        cells.withColumn("part", F.expr(f"row_ord div {ROWS_PER_PART}"))
         .groupBy(*KEY, "part")
         .agg(
             F.array_sort(
@@ -281,6 +287,20 @@ def show_tables(
     )
 
 
+def compact_cards(cells: DataFrame) -> DataFrame:
+    """Short table cards: column names, row names and the data in row and column order, in parts of rows."""
+
+    def names(order: str, name: str) -> Column:
+        return F.transform(F.array_sort(F.collect_set(F.struct(order, name))), lambda l: l[name])
+
+    values = F.array_sort(F.collect_list(F.struct("row_ord", "col_ord", "row_name", "col_name", "raw")))
+    return cells.groupBy(*KEY, F.expr(f"row_ord div {ROWS_PER_PART}").alias("part")).agg(
+        names("col_ord", "col_name").alias("cols"),
+        names("row_ord", "row_name").alias("rows"),
+        values.alias("data"),
+    )
+
+
 def cards_as_json(cards: DataFrame) -> DataFrame:
     """Each card as one JSON text, nulls kept."""
     return cards.select(

@@ -223,6 +223,17 @@ def _(spark, folder):
 # --- projections, filters, packaging -------------------------------------------------------------
 
 
+@_query("s7_malformed_records")
+def _(spark, folder):
+    """Every 11th record cut short, every 13th without its dialogue."""
+    key = F.col("rec_ord")
+    packed = _corpus(spark, folder).withColumn("dialogue", F.when(key % 13 != 0, F.col("dialogue")))
+    line = F.to_json(F.struct("*"))
+    cut = F.when(key % 11 == 0, F.concat(F.lit('{"rec_ord": '), key.cast("string"), F.lit(', "id"'))).otherwise(line)
+    broken = corpus.malformed_records(packed.select(cut.alias("value")))
+    return broken.groupBy(F.col("detail").isNotNull().alias("cut_short")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @_query("p1_select_columns")
 def _(spark, folder):
     return tables.select_columns(demo.column_requests(spark, folder), _cells(spark, folder))
@@ -259,6 +270,24 @@ def _(spark, folder):
     )
 
 
+@_query("p3_list_tables_compact")
+def _(spark, folder):
+    return tables.list_tables(_schema(spark, folder), compact=True).withColumn(
+        "column_names", _joined("column_names")
+    )
+
+
+@_query("p4_compact_cards")
+def _(spark, folder):
+    return tables.compact_cards(demo.cells(spark, folder)).select(
+        "record_id",
+        "part",
+        _joined("cols").alias("cols"),
+        _joined("rows").alias("rows"),
+        _joined(F.transform("data", lambda v: v["raw"])).alias("data"),
+    )
+
+
 @_query("p4_table_cards_json")
 def _(spark, folder):
     cells = _cells(spark, folder)
@@ -374,6 +403,17 @@ def _(spark, folder):
     )
 
 
+@_query("j1_match_column_lists")
+def _(spark, folder):
+    wanted = demo.column_requests(spark, folder).withColumn(
+        "target_columns",
+        F.transform("target_columns", lambda n: F.concat(F.lit(" Fiscal "), n)),
+    )
+    return matching.match_column_lists(wanted, demo.cells(spark, folder)).withColumn(
+        "target_columns", _joined("target_columns")
+    )
+
+
 @_query("j2_closest_label")
 def _(spark, folder):
     return matching.closest_label(demo.value_requests(spark, folder), demo.cells(spark, folder)).select(

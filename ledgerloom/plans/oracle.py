@@ -444,6 +444,9 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT DISTINCT rec_ord, record_id, col_ord, col_name FROM messy_cells)
           GROUP BY rec_ord, record_id, col_name HAVING count(*) > 1""")
 
+    add("s7_malformed_records", """SELECT rec_ord % 11 = 0 AS cut_short, count(*) AS lines FROM keys
+        WHERE rec_ord % 11 = 0 OR rec_ord % 13 = 0 OR rec_ord NOT IN (SELECT rec_ord FROM turns) GROUP BY 1""")
+
     add("p1_select_columns", """, found AS (
           SELECT w.request_id, w.record_id, w.target_pos, w.col_name, c.col_ord FROM wanted w
           JOIN col_labels c ON c.record_id = w.record_id AND c.col_name = w.col_name),
@@ -460,6 +463,12 @@ def oracle_sql() -> dict[str, str]:
     add("p3_list_tables", """SELECT rec_ord, record_id, record_id || '_table' AS table_name, max(row_count) AS row_count,
         count(*) AS column_count, 0 AS part, string_agg(col_name, '|' ORDER BY col_ord) AS column_names
         FROM catalog GROUP BY rec_ord, record_id""")
+    add("p3_list_tables_compact", """SELECT record_id || '_table' AS table_name, 0 AS part,
+        string_agg(col_name, '|' ORDER BY col_ord) AS column_names FROM catalog GROUP BY record_id""")
+    add("p4_compact_cards", """SELECT record_id, 0 AS part,
+        (SELECT string_agg(col_name, '|' ORDER BY col_ord) FROM col_labels k WHERE k.rec_ord = c.rec_ord) AS cols,
+        (SELECT string_agg(row_name, '|' ORDER BY row_ord) FROM row_labels r WHERE r.rec_ord = c.rec_ord) AS rows,
+        string_agg(raw, '|' ORDER BY row_ord, col_ord) AS data FROM cells c GROUP BY rec_ord, record_id""")
     add("p4_table_cards", f""", packed AS (
           SELECT rec_ord, record_id, string_agg(row_name || '/' || col_name || '/' || raw, '|' ORDER BY row_ord, col_ord) AS data
           FROM cells GROUP BY ALL),
@@ -529,6 +538,14 @@ def oracle_sql() -> dict[str, str]:
     add("j1_match_columns", _column_match() + """
         SELECT q.request_id, b.col_name AS matched_column, CASE b.rank WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' END AS column_match
         FROM value_requests q LEFT JOIN col_best b USING (request_id)""")
+    add("j1_match_column_lists", """, tries AS (
+          SELECT w.request_id, w.target_pos, c.col_name, c.col_ord, 'fiscal ' || lower(w.col_name) AS needle
+          FROM wanted w JOIN col_labels c USING (record_id)),
+        firsts AS (
+          SELECT request_id, target_pos, arg_min(col_name, (CASE WHEN lower(col_name) = needle THEN 0 ELSE 1 END, col_ord)) AS col_name
+          FROM tries WHERE contains(needle, lower(col_name)) OR contains(lower(col_name), needle) GROUP BY ALL)
+        SELECT q.request_id, q.record_id, coalesce((SELECT string_agg(col_name, '|' ORDER BY target_pos) FROM firsts f
+          WHERE f.request_id = q.request_id), '') AS target_columns FROM column_requests q""")
     add("j2_closest_label", _row_match() + """
         SELECT q.request_id, b.row_name AS matched_label, CASE WHEN b.row_name IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence
         FROM value_requests q LEFT JOIN overlap_best b USING (request_id)""")

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import number_rows
 
-_RECORD = (
+RECORD_FIELDS = (
     "id STRING, "
     "doc STRUCT<pre_text: STRING, post_text: STRING, table: MAP<STRING, MAP<STRING, STRING>>>, "
     "dialogue STRUCT<conv_questions: ARRAY<STRING>, conv_answers: ARRAY<STRING>, "
     "turn_program: ARRAY<STRING>, executed_answers: ARRAY<STRING>, qa_split: ARRAY<BOOLEAN>>, "
     "features MAP<STRING, STRING>"
 )
-RECORD_FIELDS = _RECORD
-LINE_SCHEMA = f"split STRING, rec_ord BIGINT, {_RECORD}"
-_RECORD_TYPE = "STRUCT<" + _RECORD.replace("id STRING", "id: STRING", 1).replace(
+LINE_SCHEMA = f"split STRING, rec_ord BIGINT, {RECORD_FIELDS}"
+_RECORD_TYPE = "STRUCT<" + RECORD_FIELDS.replace("id STRING", "id: STRING", 1).replace(
     "doc STRUCT", "doc: STRUCT", 1
 ).replace("dialogue STRUCT", "dialogue: STRUCT", 1).replace("features MAP", "features: MAP", 1) + ">"
 OBJECT_SCHEMA = f"train ARRAY<{_RECORD_TYPE}>, dev ARRAY<{_RECORD_TYPE}>"
@@ -69,19 +68,45 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(parsed.alias("_record")).select("_record.*")
 
 
-def _from_objects(whole: DataFrame, path: str) -> DataFrame:
-    from pyspark.errors import SparkRuntimeException
-    from py4j.protocol import Py4JJavaError
+def _is_incomplete(record: Column) -> Column:
+    """Whether a record lacks a required part; only ``features`` may be missing."""
+    required = ["id", "doc.pre_text", "doc.post_text", "doc.table"] + [
+        f"dialogue.{name}"
+        for name in ("conv_questions", "conv_answers", "turn_program", "executed_answers", "qa_split")
+    ]
+    missing = F.lit(False)
+    for path in required:
+        part = record
+        for name in path.split("."):
+            part = part[name]
+        missing = missing | part.isNull()
+    return missing
+
+
+def malformed_records(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are no complete record, one issue row each; for auditing before ``parse_records``."""
+    parsed = F.from_json(
+        column, f"{LINE_SCHEMA}, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    )
+    read = lines.select(parsed.alias("_record"))
+    broken = F.col("_record._broken").isNotNull() | _is_incomplete(F.col("_record"))
+    return read.filter(broken).select(
+        F.col("_record.rec_ord").alias("rec_ord"),
+        F.col("_record.id").alias("record_id"),
+        F.lit("VALIDATION_FAILED").alias("issue"),
+        F.col("_record._broken").alias("detail"),
+    )
 
+
+def _from_objects(whole: DataFrame, path: str) -> DataFrame:
     check = whole.agg(
         F.count(F.lit(1)).alias("objects"),
         F.count_if(F.col("train").isNull()).alias("no_train"),
         F.count_if(F.col("dev").isNull()).alias("no_dev"),
+        F.count_if(F.exists("train", _is_incomplete) | F.exists("dev", _is_incomplete)).alias("incomplete"),
     )
     try:
         found = check.first()
-    except (SparkRuntimeException, Py4JJavaError) as error:
-        raise CorpusError(f"corpus {path} is not valid JSON of the expected shape") from error
     except Exception as error:  # parse failures surface as several exception classes
         raise CorpusError(f"corpus {path} is not valid JSON of the expected shape") from error
     if found["objects"] == 0:
@@ -91,6 +116,8 @@ def _from_objects(whole: DataFrame, path: str) -> DataFrame:
     missing = [k for k in ("train", "dev") if found[f"no_{k}"]]
     if missing:
         raise CorpusError(f"corpus {path} lacks required keys: {missing}")
+    if found["incomplete"]:
+        raise CorpusError(f"corpus {path} holds records without their required parts")
 
     def split(name: str, offset: Column) -> DataFrame:
         return whole.select(offset.alias("_offset"), F.posexplode(name).alias("_pos", "_record")).select(

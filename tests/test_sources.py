@@ -76,7 +76,8 @@ def test_tall_tables_take_the_shuffled_path(spark, corpus_file, monkeypatch):
     check(corpus.read_corpus(spark, corpus_file))
 
 
-@pytest.mark.parametrize("content", ["", "[1]", '{"train": []}', "{broken", '{"train": {}, "dev": 3}'])
+@pytest.mark.parametrize("content", ["", "[1]", '{"train": []}', "{broken", '{"train": {}, "dev": 3}',
+                                     '{"train": [{"id": "x"}], "dev": []}'])
 def test_bad_corpora(spark, tmp_path, content):
     path = tmp_path / "bad.json"
     path.write_text(content)
@@ -84,6 +85,14 @@ def test_bad_corpora(spark, tmp_path, content):
         corpus.read_corpus(spark, str(path))
 
 
+def test_malformed_records(spark):
+    good = {"split": "train", "rec_ord": 1, **TRAIN[0]}
+    lines = [json.dumps(good), json.dumps({**good, "rec_ord": 2, "doc": None}), '{"rec_ord": 3, "id"']
+    frame = spark.createDataFrame([(line,) for line in lines], "value string")
+    found = {r.rec_ord: r.detail for r in corpus.malformed_records(frame).collect()}
+    assert len(found) == 2 and found[2] is None and lines[2] in found.values()
+
+
 def test_missing_corpus(spark, tmp_path):
     with pytest.raises(corpus.CorpusError):
         corpus.read_corpus(spark, str(tmp_path / "none.json"))
