@@ -81,20 +81,15 @@ def _closest(needle: Column) -> Column:
     )
 
 
-def _labels_tried(best: Column, count: int | None = None) -> Column:
-    """Aggregate: the labels of slices without a match, so a request that fails can list its options."""
-    listed = F.col("labels") if count is None else F.slice("labels", 1, count)
-    tried = F.collect_list(F.when(best.isNull(), F.struct("slice", listed.alias("labels"))))
-    names = F.flatten(
-        F.transform(F.array_sort(tried), lambda s: F.transform(s["labels"], lambda l: l["label"]))
-    )
-    return names if count is None else F.slice(names, 1, count)
+def _names(labels: str | Column) -> Column:
+    return F.transform(labels, lambda l: l["label"])
 
 
 def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """(request_id, record_id, column_identifier) to the column it names: equal, else first containing.
 
-    ``columns_tried`` lists the table's columns for a request that finds none.
+    ``columns_tried`` lists the table's columns for a request that finds none: only slices without a match
+    pass on their names.
     """
     wanted = requests.select("record_id", "column_identifier").distinct()
     needle = F.lower(strip(F.col("column_identifier")))
@@ -103,14 +98,20 @@ def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
         .join(label_slices(cells, "col"), "record_id")
         .withColumn("_match", _first_match(needle))
         .groupBy("record_id", "column_identifier")
-        .agg(F.min("_match").alias("_best"), _labels_tried(F.col("_match")).alias("_tried"))
+        .agg(
+            F.min("_match").alias("_best"),
+            F.array_sort(
+                F.collect_list(F.when(F.col("_match").isNull(), F.struct("slice", _names("labels").alias("names"))))
+            ).alias("_tried"),
+        )
     )
+    all_names = F.flatten(F.transform("_tried", lambda s: s["names"]))
     return requests.join(best, ["record_id", "column_identifier"], "left").select(
         *requests.columns,
         F.col("_best.ord").alias("col_ord"),
         F.col("_best.label").alias("matched_column"),
         F.when(F.col("_best.rank") == 0, "exact").when(F.col("_best.rank") == 1, "partial").alias("column_match"),
-        F.when(F.col("_best").isNull(), F.col("_tried")).alias("columns_tried"),
+        F.when(F.col("_best").isNull(), all_names).alias("columns_tried"),
     )
 
 
@@ -206,7 +207,8 @@ def match_rows(
         F.min("_direct").alias("_direct"),
         F.min(_closest(F.lower(F.col("row_identifier")))).alias("_overlap"),
         F.min(F.when(F.col("_similar.label").isNotNull(), F.col("_similar"))).alias("_similar"),
-        _labels_tried(F.col("_direct"), listed_rows).alias("_tried"),
+        # The first slice is enough for the first rows; for a request without a match it is the table's first.
+        F.min(F.struct("slice", _names(F.slice("labels", 1, listed_rows)).alias("names"))).alias("_tried"),
     )
     close = F.lit(False)
     if overlap_first:
@@ -233,7 +235,7 @@ def match_rows(
         .when(kind == "partial", F.lit(0.8))
         .when(kind == "overlap", F.lit(0.5))
         .alias("row_score"),
-        F.when(kind.isNull(), F.col("_tried")).alias("rows_tried"),
+        F.when(kind.isNull(), F.col("_tried.names")).alias("rows_tried"),
     )
     return requests.join(resolved, keys, "left")
 
