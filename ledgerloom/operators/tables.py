@@ -36,6 +36,8 @@ DATE_LAYOUTS = [
     ("time of day", r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}\z", "yyyy-M-d HH:mm:ss", None),
     ("iso time", r"^\d{4}-\d{1,2}-\d{1,2}T\d{2}:\d{2}:\d{2}\z", "yyyy-M-d'T'HH:mm:ss", None),
 ]
+_DATE_LIKE = r"(?i)^\s*(\d|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_NUMBER_LIKE = r"^[\s0-9.,$()+\-eE]*\z"
 _DATE_HINT = r"\d{4}|\d{2}/\d{2}|\d{2}-\d{2}"
 
 
@@ -81,47 +83,66 @@ def _date_text(value: Column) -> Column:
 
 
 def _date_layout(text: Column) -> Column:
-    """Name of the layout a date-like text has; null for other texts."""
-    layout = F.lit(None)
-    for name, pattern, _, _ in reversed(DATE_LAYOUTS):
-        layout = F.when(text.rlike(pattern), F.lit(name)).otherwise(layout)
+    """Number of the layout a date-like text has; null for other texts."""
+    layout = F.lit(None).cast("int")
+    for number, (_, pattern, _, _) in reversed(list(enumerate(DATE_LAYOUTS))):
+        layout = F.when(text.rlike(pattern), F.lit(number)).otherwise(layout)
     return F.when(text.rlike(r"\d"), layout)
 
 
 def _is_real_date(text: Column, layout: Column, day_first: bool) -> Column:
     """Whether the text names an existing day when read in its layout, month-first or day-first."""
     real = F.lit(None).cast("boolean")
-    for name, _, reader, day_reader in DATE_LAYOUTS:
+    for number, (_, _, reader, day_reader) in enumerate(DATE_LAYOUTS):
         reader = day_reader if day_first else reader
         if reader:
             read = F.try_to_timestamp(text, F.lit(reader)).isNotNull()
-            real = F.when(layout == name, read).otherwise(real)
+            if day_first:  # a month above 12 need not be tried
+                read = (F.regexp_extract(text, r"^\d+\D(\d+)", 1).cast("int") <= 12) & read
+            real = F.when(layout == number, read).otherwise(real)
     return real
 
 
 def infer_column_types(cells: DataFrame) -> DataFrame:
-    """Type of every column from its values, and how many values it has: one shuffle, partial aggregates."""
-    raw = F.col("raw")
+    """Type of every column from its values, and how many values it has.
+
+    One shuffle; all aggregates are fixed-width, so they run as hash aggregates without a sort.
+    """
+    raw, plain = F.col("raw"), F.col("_plain")
+    # Each step is a column of its own and cheap tests come first: plain numbers skip the rest, words skip
+    # the number formats, and only what starts like a date is tried as one.
     # An empty string reads as a missing number, as it does for a data-frame reader.
-    plain = (raw == "") | raw.rlike(PLAIN_NUMBER)
-    unformatted = F.regexp_replace(F.translate(raw, "$,", ""), r"\(([0-9.,]+)\)", "-$1")
-    formatted = plain | (unformatted == "") | unformatted.rlike(PLAIN_NUMBER)
-    unpercented = F.translate(raw, "%", "")
-    percented = plain | (unpercented == "") | unpercented.rlike(PLAIN_NUMBER)
-    dated = cells.withColumn("_text", _date_text(F.when(~plain, raw))).withColumn(
-        "_layout", _date_layout(F.col("_text"))
-    )
-    checks = dated.select(
+    step = cells.select(
+        *KEY, "col_ord", "col_name", "row_ord", "raw", ((raw == "") | raw.rlike(PLAIN_NUMBER)).alias("_plain")
+    )
+    unsigned = F.translate(raw, "$,", "")
+    step = step.select(
+        "*",
+        F.when(
+            ~plain & raw.rlike(_NUMBER_LIKE),
+            F.when(
+                F.contains(raw, F.lit("(")), F.regexp_replace(unsigned, r"\(([0-9.,]+)\)", "-$1")
+            ).otherwise(unsigned),
+        ).alias("_unformatted"),
+        F.when(~plain & F.contains(raw, F.lit("%")), F.translate(raw, "%", "")).alias("_unpercented"),
+        F.when(~plain & raw.rlike(_DATE_LIKE), _date_text(raw)).alias("_text"),
+    )
+    step = step.withColumn("_layout", _date_layout(F.col("_text")))
+
+    def numeric(text: str) -> Column:
+        return F.coalesce((F.col(text) == "") | F.col(text).rlike(PLAIN_NUMBER), F.lit(False))
+
+    checks = step.select(
         *KEY,
         "col_ord",
         "col_name",
         "row_ord",
         raw.alias("_raw"),
-        plain.alias("_plain"),
-        formatted.alias("_formatted"),
-        F.contains(raw, F.lit("%")).alias("_percent"),
-        percented.alias("_percented"),
-        raw.rlike(_DATE_HINT).alias("_hint"),
+        plain,
+        (plain | numeric("_unformatted")).alias("_formatted"),
+        F.col("_unpercented").isNotNull().alias("_percent"),
+        (plain | numeric("_unpercented")).alias("_percented"),
+        F.when(F.col("_layout").isNotNull(), raw.rlike(_DATE_HINT)).alias("_hint"),
         (raw != "").alias("_filled"),
         "_layout",
         _is_real_date(F.col("_text"), F.col("_layout"), day_first=False).alias("_month_first"),
@@ -140,11 +161,16 @@ def infer_column_types(cells: DataFrame) -> DataFrame:
         F.max("_layout").alias("_last_layout"),
         F.bool_and("_month_first").alias("_month_first"),
         F.bool_and("_day_first").alias("_day_first"),
-        F.min(F.when(F.col("_filled"), F.struct("row_ord", "_month_first"))).alias("_first"),
+        F.min(
+            F.when(
+                F.col("_filled"),
+                F.col("row_ord").cast("long") * 2 + F.when(F.col("_month_first"), 0).otherwise(1),
+            )
+        ).alias("_first"),
     )
     one_layout = (F.col("_dated") == F.col("_filled")) & (F.col("_first_layout") == F.col("_last_layout"))
     # The first value settles whether the day comes first; the others must then agree.
-    day_first_column = F.col("_day_first") & ~F.col("_first._month_first")
+    day_first_column = F.col("_day_first") & (F.col("_first") % 2 == 1)
     is_date = F.col("_hint") & one_layout & (F.col("_month_first") | F.coalesce(day_first_column, F.lit(False)))
     kind = (
         F.when(F.col("value_count") == 0, "text")
