@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality_rules, sql
+from ledgerloom.llm import decontaminate, quality_rules, sql
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"]
+    )
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, folder, "documents"), ["doc_id"]))
     base_failed = F.coalesce(
@@ -29,7 +36,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {"op4_decontamination": op4_decontamination, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
