@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, quality_rules, sql
+from ledgerloom.llm import bytebpe, decontaminate, quality_rules, sql
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +24,17 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bytebpe.encode(_table(spark, folder, "documents"), path, ["doc_id"], offsets=False)
+    return bytebpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, folder, "documents"), ["doc_id"]))
     base_failed = F.coalesce(
@@ -36,7 +50,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontamination": op4_decontamination, "op8_quality_rules": op8_quality_rules}
+    return {
+        "op4_decontamination": op4_decontamination,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
