@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, decontaminate, quality_rules, sql
+from ledgerloom.llm import bytebpe, decontaminate, quality_rules, secrets, sql
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,16 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        *[secrets.count("strong", name).alias(f"n_{name}") for name in ("assign", "access", "hex")],
+        F.sha2(secrets.listed("strong"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     encoded = bytebpe.encode(_table(spark, folder, "documents"), path, ["doc_id"], offsets=False)
@@ -52,6 +62,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": op4_decontamination,
+        "op5_secrets": op5_secrets,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
     }

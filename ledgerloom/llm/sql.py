@@ -65,6 +65,71 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
+_GIVEN = r"""[""\x27]?\x20*[:=]\x20*[""\x27]?""".replace('""', '"')
+# kind, role, pattern, group, least characters of the group
+_SECRETS = (
+    (
+        "assign",
+        "secret",
+        "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+        f"|[aA][pP][iI]_?[kK][eE][yY]){_GIVEN}([A-Za-z0-9+/_.=-]+)",
+        2,
+        6,
+    ),
+    ("access", "identifier", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "secret", "[0-9a-f]+", 0, 24),
+    (
+        "key_id",
+        "identifier",
+        f"(?:access|client|account|key)[_-](?:id|name|key_id){_GIVEN}[A-Za-z0-9_.@-]{{4,}}",
+        0,
+        1,
+    ),
+    ("opaque", "secret", r"\b[A-Za-z0-9+/]{40}\b", 0, 1),
+    (
+        "endpoint",
+        "endpoint",
+        r"""(?:https?|jdbc:[a-z]+|redis|mongodb|postgresql|mysql|amqp|s3)://[^\x00-\x20"\x27<>]+""",
+        0,
+        1,
+    ),
+)
+
+
+def _matches(order: int, kind: str, role: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+SELECT rid, {order} AS o, '{kind}' AS kind, '{role}' AS role, s, s + length(m) AS e FROM (
+  SELECT rid, m, g, CAST(sum(length(gap)) OVER (PARTITION BY rid ORDER BY i)
+         + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+                                         AND 1 PRECEDING), 0) AS BIGINT) AS s
+  FROM (SELECT rid, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[:len(ms)]) AS gap
+        FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs,
+                     string_split_regex(t, '{pattern}') AS gaps FROM d)))
+WHERE length(g) >= {least}"""
+
+
+OP5 = (
+    "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), p AS ("
+    + " UNION ALL ".join(_matches(i, *k) for i, k in enumerate(_SECRETS))
+    + """),
+strong AS (SELECT * FROM p WHERE o < 3),
+weak AS (SELECT * FROM p w WHERE o >= 3 AND NOT EXISTS (
+    SELECT 1 FROM strong x WHERE x.rid = w.rid AND x.s < w.e AND w.s < x.e)),
+parts AS (SELECT * FROM strong UNION ALL SELECT * FROM weak),
+linked AS (SELECT * FROM weak w WHERE EXISTS (
+    SELECT 1 FROM parts x WHERE x.rid = w.rid AND x.s < w.e + 200 AND w.s < x.e + 200
+       AND x.role = CASE w.role WHEN 'secret' THEN 'identifier' ELSE 'secret' END)),
+base AS (SELECT rid, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access,
+                count(*) FILTER (o = 2) AS n_hex,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS listed FROM strong GROUP BY rid),
+every AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS listed
+          FROM (SELECT * FROM strong UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base.listed, '')) AS base_sha256, coalesce(every.listed, '') AS spans
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op8_quality_rules": OP8}
+    return {"op4_decontamination": OP4, "op5_secrets": OP5, "op8_quality_rules": OP8}
