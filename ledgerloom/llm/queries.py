@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, decontaminate, quality_rules, secrets, sql
+from ledgerloom.llm import bytebpe, decontaminate, quality_rules, secrets, sql, warc
+from ledgerloom.session import shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +18,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = shared_folder(spark, "warc")
+    warc.write(_table(spark, folder, "pages"), archive, "page_id", "url", "html")
+    return warc.read(spark, archive).select(
+        F.col("id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"]
@@ -61,6 +74,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
         "op6_byte_bpe": op6_byte_bpe,

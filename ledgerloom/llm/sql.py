@@ -41,6 +41,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+f AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least FROM f)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN least IS NOT NULL AND (page_id IS NULL OR page_id > least) THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > least THEN least END AS refers_to
+FROM g
+"""
+
 OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -132,4 +143,4 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op5_secrets": OP5, "op8_quality_rules": OP8}
+    return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op8_quality_rules": OP8}
