@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, decontaminate, quality_rules, secrets, sql, warc
+from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, secrets, sql, warc
 from ledgerloom.session import shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -58,6 +58,19 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    placed = chatcollapse.positions(_table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    collapsed = chatcollapse.collapse(chatcollapse.prefixes(placed))
+    shown = (
+        chatcollapse.render(placed, collapsed)
+        .groupBy(F.col("conv").alias("conv_"))
+        .agg(F.sum(F.char_length("rendered")).alias("rendered_chars"))
+    )
+    return collapsed.join(shown, F.col("conv").eqNullSafe(F.col("conv_")), "left").select(
+        F.col("conv").alias("conv_id"), "n_turns", "is_snapshot", "kept", "rendered_chars"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, folder, "documents"), ["doc_id"]))
     base_failed = F.coalesce(
@@ -78,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_chat_collapse": op7_chat_collapse,
         "op8_quality_rules": op8_quality_rules,
     }
 

@@ -9,6 +9,21 @@ STOP_WORDS = (
     "al con del el ella es las lo los más no para por se su una y"
 )
 
+OP7 = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
+                                     text NULLS FIRST) AS i FROM conversations),
+p AS (SELECT conv_id, i, count(*) OVER (PARTITION BY conv_id) AS n,
+             string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY i) AS prefix,
+             sum(length(role) + length(text) + 6) OVER (PARTITION BY conv_id) AS chars FROM t),
+inner_ AS (SELECT DISTINCT i, prefix FROM p WHERE i < n),
+f AS (SELECT p.conv_id, n, p.prefix, chars, inner_.i IS NOT NULL AS is_snapshot
+      FROM p LEFT JOIN inner_ ON inner_.i = p.n AND inner_.prefix = p.prefix WHERE p.i = p.n),
+k AS (SELECT *, NOT is_snapshot AND conv_id IS NOT DISTINCT FROM min(conv_id) OVER (PARTITION BY n, prefix) AS kept
+      FROM f)
+SELECT conv_id, n AS n_turns, is_snapshot, kept, CASE WHEN kept THEN chars END AS rendered_chars FROM k
+"""
+
 OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -143,4 +158,4 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op8_quality_rules": OP8}
+    return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op7_chat_collapse": OP7, "op8_quality_rules": OP8}
