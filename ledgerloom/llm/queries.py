@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, secrets, sql, warc
+from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, secrets, sql, surrogates, warc
 from ledgerloom.session import shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: Of the demonstration; a real run takes its own.
+SURROGATE_KEY = "demonstration"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +87,17 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = surrogates.replace_personal_data(_table(spark, folder, "documents"), SURROGATE_KEY, ["doc_id"])
+    values, given = F.transform("entities", lambda e: e["value"]), F.transform("entities", lambda e: e["surrogate"])
+    return replaced.select(
+        "doc_id",
+        *[surrogates.count(kind).alias(f"n_{kind}") for kind in surrogates.KINDS],
+        (F.size(F.array_distinct(values)) == F.size(F.array_distinct(given))).alias("distinct_kept"),
+        "text",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -93,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_chat_collapse": op7_chat_collapse,
         "op8_quality_rules": op8_quality_rules,
+        "op9_surrogates": op9_surrogates,
     }
 
 
