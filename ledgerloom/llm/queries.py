@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, secrets, sql, surrogates, warc
+from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, warc
+from ledgerloom.llm.labelled import fold
 from ledgerloom.session import shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -98,6 +99,18 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = qualityscore.score(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels"), fold("doc_id", 4) != 2
+    )
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -107,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_collapse": op7_chat_collapse,
         "op8_quality_rules": op8_quality_rules,
         "op9_surrogates": op9_surrogates,
+        "op10_quality_score": op10_quality_score,
     }
 
 
