@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, warc
+from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, toxicity, warc
 from ledgerloom.llm.labelled import fold
 from ledgerloom.session import shared_folder
 
@@ -33,6 +33,17 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"]
@@ -114,6 +125,7 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
         "op6_byte_bpe": op6_byte_bpe,
