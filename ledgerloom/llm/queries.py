@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, toxicity, warc
+from ledgerloom.llm import bagminhash, bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, toxicity, warc
 from ledgerloom.llm.labelled import fold
 from ledgerloom.session import shared_folder
 
@@ -33,6 +33,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
@@ -125,6 +129,7 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_bagminhash": op2_bagminhash,
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,

@@ -48,6 +48,15 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the accented capitals from U+00C0 to U+00DE in lower case."""
+    out = lower_ascii(data)
+    if len(out) > 1:
+        after = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][after] |= 0x20
+    return out
+
+
 @dataclass
 class Words:
     """Runs of bytes for which ``inside`` holds; a run ends at the end of its text.
