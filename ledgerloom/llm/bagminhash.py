@@ -26,16 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.batches import joined, pass_through
 from ledgerloom.llm.components import components
 from ledgerloom.llm.labelled import stored
-from ledgerloom.llm.warc import salted_left
+from ledgerloom.llm.warc import SALTS, salted_left
 from ledgerloom.llm.words import Words, lower_latin, mixed
 
+# Fixed value: the white space between words.
+WHITE = " \t\n\x0b\f\r"
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
@@ -51,7 +53,7 @@ _NEXT = np.uint64(0xE7037ED1A0B428DB)
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles, and the text that each is in, in order of place."""
     white = np.zeros(256, bool)
-    white[list(b" \t\n\x0b\x0c\r")] = True
+    white[list(WHITE.encode())] = True
     words = Words(lower_latin(data), offsets, ~white[data])
     n_words = np.diff(words.cuts)
     padded = np.concatenate([words.hash, np.zeros(SHINGLE, np.uint64)])
@@ -267,13 +269,21 @@ def _across(buckets: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFra
     return found.distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (digest of the text; null without words), class_id (smallest id of the class) and class_size."""
+def node_of(text: str) -> Column:
+    """The node of a text: a digest of it; texts without words have one, but no class."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) of every row, and (node, class_id, class_size, head) of every node with words.
+
+    ``head`` is the node that stands for the class: of the smallest id, and then of the smallest digest.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("node", F.unhex(F.md5("text")))
+    keyed = rows.withColumn("node", node_of("text"))
     signed = stored(sign(keyed), "signed")
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(
-        F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("held")
+        F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band")
@@ -282,34 +292,57 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     texts = stored(
         keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts"
     )
-    links = stored(verified(_starred(buckets), texts), "links")
-    labels = components(links)
-    few = nodes.join(wanted, "node", "left_semi")
-    more = verified(_across(buckets, labels, few), texts)
-    known = labels.select(F.col("node").alias("x"), "label")
+    labels = components(verified(_starred(buckets), texts))
+    across = _across(buckets, labels, nodes.join(wanted, "node", "left_semi"))
+    more = stored(verified(across, texts), "links")
     raised = (
-        more.join(known.withColumnsRenamed({"x": "a", "label": "la"}), "a", "left")
-        .join(known.withColumnsRenamed({"x": "b", "label": "lb"}), "b", "left")
+        more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
     top = components(raised).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    every = (
-        nodes.select("node")
+    class_of = (
+        signed.filter("n_shingles > 0")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held"))
         .join(labels, "node", "left")
-        .select("node", F.coalesce("label", "node").alias("label"))
+        .select("node", "first", "held", F.coalesce("label", "node").alias("label"))
         .join(top, "label", "left")
-        .select("node", F.coalesce("root", "label").alias("class"))
+        .select("node", "first", "held", F.coalesce("root", "label").alias("class"))
     )
-    class_of = stored(every, "classes")
-    own = signed.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")
+    class_of = stored(class_of, "classes")
+    best = F.min(F.struct(F.isnull("first").alias("none"), F.col("first"), F.col("node"))).alias("best")
+    heads = class_of.groupBy("class").agg(best, F.sum("held").alias("class_size"))
+    facts = class_of.select("node", "class").join(heads, "class").select(
+        "node", F.col("best.first").alias("class_id"), "class_size", F.col("best.node").alias("head")
     )
-    heads = own.join(class_of, "node").groupBy("class").agg(F.min("first").alias("class_id"), F.sum("held").alias("class_size"))
-    facts = class_of.join(heads, "class").select("node", "class_id", "class_size")
-    plain = signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    some = plain.filter("node IS NOT NULL")
-    found = salted_left(some, facts, "node", F.xxhash64("doc_id")).select("doc_id", "node", "class_id", "class_size")
-    alone = plain.filter("node IS NULL").select(
-        "doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+    return signed.select("doc_id", "node", "n_shingles"), facts
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest id of the class) and class_size of every row."""
+    rows, facts = _classed(docs, doc_id, text)
+    some = salted_left(rows.filter("n_shingles > 0"), facts, "node", F.xxhash64("doc_id"))
+    alone = rows.filter("n_shingles = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+    )
+    return some.select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class stays, that of the smallest id.
+
+    Of rows that repeat both id and text one stays; rows without words all stay.
+    """
+    _, facts = _classed(docs, doc_id, text)
+    heads = facts.filter("node = head").select("node", "class_id")
+    wordless = F.trim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WHITE)) == ""
+    whole = F.struct("*").alias("doc")
+    some = docs.filter(~wordless).select(
+        whole, F.col(doc_id).alias("id"), node_of(text).alias("node"),
+        F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    return found.unionByName(alone)
+    dealt = heads.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
+    stay = some.join(dealt, ["node", "salt"]).filter(F.col("id").eqNullSafe(F.col("class_id")))
+    once = stay.groupBy("node", "salt").agg(F.first("doc").alias("doc")).select("doc")
+    return once.unionByName(docs.filter(wordless).select(whole)).select("doc.*")

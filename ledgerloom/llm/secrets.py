@@ -177,6 +177,20 @@ def _is_linked(w: Column) -> Column:
     return out
 
 
+def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
+    """The text with ``mark`` in place of the spans (ordered by start); spans that overlap share one mark."""
+
+    def step(done: Column, s: Column) -> Column:
+        apart = s["start"] >= done["at"]
+        gap = F.substr(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
+        added = F.when(apart, F.concat(done["text"], gap, F.lit(mark))).otherwise(done["text"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), added.alias("text"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+    rest = lambda done: F.concat(done["text"], F.substr(text, (done["at"] + 1).cast("int")))
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.aggregate(spans, start, step, rest))
+
+
 def listed(spans: str) -> Column:
     """The spans as text: kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k.name) for k in KINDS])
