@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import arithmetic
 from ledgerloom.functions.numeric import SIMPLE_NUMBER, _any_of, parse_float, to_float
 
 # The named constants programs may use.
@@ -37,8 +38,11 @@ FUNCTIONS = {
     "exp": lambda a, b: F.exp(a),
 }
 
+# One call, and a whole program: calls separated by commas.
 _CALL = r"([A-Za-z_]+)\(([^(),]*)(?:,([^(),]*))?\)"
 
+_PROGRAM = r"^\s*[A-Za-z_]+\([^(),]*(?:,[^(),]*)?\)(?:\s*,\s*[A-Za-z_]+\([^(),]*(?:,[^(),]*)?\))*\s*\z"
+
 # Operation keywords of free-text arithmetic, tried in this order.
 TEXT_OPERATIONS = [
     ("add", ["+", "add", "plus", "sum"]),
@@ -144,7 +148,7 @@ def evaluate_program(program: Column) -> Column:
     folded = F.aggregate(steps, start, run, outcome)
     failures = F.transform(steps, reason)
     number = to_float(program)
-    is_calls = F.contains(program, F.lit("(")) & (F.size(names) > 0)
+    is_calls = program.rlike(_PROGRAM)
     # One array element stands for a local variable: the fold is evaluated once for value and status.
     return F.when(
         is_calls,
@@ -167,28 +171,18 @@ def evaluate_program(program: Column) -> Column:
 
 
 def with_arithmetic(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: struct(value, status) for arithmetic stated in words or symbols.
+    """Add ``out``: struct(value, status) for arithmetic stated in symbols or words.
 
-    One bare binary expression is computed as written. Otherwise the first two numbers are combined by
-    the first keyword group present; a pure expression with more operands is refused, not guessed.
+    A pure expression is computed as written. Where the text is none, or has no finite value, its first two numbers
+    are combined by the first keyword group present.
     """
-    number = r"[+-]?(?:\d+\.?\d*|\.\d+)"
-    binary = rf"^\(?({number})([-+*/])({number})\)?\z"
-    symbols_only = F.col(text).rlike(r"^[\d\s+\-*/().]+\z")
     found = F.regexp_extract_all(F.col(text), F.lit(SIMPLE_NUMBER), F.lit(1))
     # Each step is a column of its own, so that no pattern is matched twice.
     parsed = (
         df.withColumn("_numbers", found)
-        .withColumn("_symbols", F.when(symbols_only, F.regexp_replace(text, r"\s", "")))
-        .withColumn("_sign", F.regexp_extract("_symbols", binary, 2))
-    )
-    left = F.regexp_extract("_symbols", binary, 1).try_cast("double")
-    right = F.regexp_extract("_symbols", binary, 3).try_cast("double")
-    written = (
-        F.when(F.col("_sign") == "+", left + right)
-        .when(F.col("_sign") == "-", left - right)
-        .when(F.col("_sign") == "*", left * right)
-        .otherwise(F.try_divide(left, right))
+        .withColumn("_tokens", arithmetic.tokens(F.col(text)))
+        .withColumn("_signed", arithmetic.signed(F.col("_tokens")))
+        .withColumn("_written", arithmetic.value(F.col("_signed")))
     )
     first = F.get("_numbers", F.lit(0)).try_cast("double")
     second = F.get("_numbers", F.lit(1)).try_cast("double")
@@ -198,14 +192,9 @@ def with_arithmetic(df: DataFrame, text: str, out: str) -> DataFrame:
         named = F.when(said, FUNCTIONS[function](first, second)).otherwise(named)
 
     count = F.size("_numbers")
-    is_written = F.coalesce(F.col("_sign") != "", F.lit(False))
-    value = F.when(is_written, written).when(count == 1, first).otherwise(named)
-    too_long = F.col("_symbols").isNotNull() & ~is_written & (count > 2)
+    value = F.coalesce("_written", F.when(count == 1, first).otherwise(named))
     status = (
-        F.when(too_long, "UNSUPPORTED_EXPRESSION")
-        .when(count == 0, "UNABLE_TO_COMPUTE")
-        .when(F.col("_value").isNull(), "DIV_ZERO")
-        .otherwise("OK")
+        F.when(count == 0, "UNABLE_TO_COMPUTE").when(F.col("_value").isNull(), "DIV_ZERO").otherwise("OK")
     )
     return (
         parsed.withColumn("_value", value)
@@ -216,5 +205,5 @@ def with_arithmetic(df: DataFrame, text: str, out: str) -> DataFrame:
                 F.when(F.col("_status") == "OK", F.col("_value")).alias("value"), F.col("_status").alias("status")
             ),
         )
-        .drop("_numbers", "_symbols", "_sign", "_value", "_status")
+        .drop("_numbers", "_tokens", "_signed", "_written", "_value", "_status")
     )

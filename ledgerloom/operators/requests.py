@@ -99,9 +99,10 @@ def _with_intent(requests: DataFrame, cells: DataFrame) -> DataFrame:
         .groupBy("record_id")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "col_name"))).alias("_leading"))
     )
-    return requests.join(leading, "record_id").select(
+    return requests.join(leading, "record_id", "left").select(
         "request_id",
         "record_id",
+        F.col("_leading").isNotNull().alias("has_table"),
         F.coalesce(given_op, operation(F.col("query"))).alias("operation"),
         F.coalesce(given_cols, F.transform("_leading", lambda c: c["col_name"])).alias("target_columns"),
     )
@@ -111,11 +112,13 @@ def query_tables(requests: DataFrame, cells: DataFrame, types: DataFrame) -> Dat
     """Answer text requests: request_id, record_id, query and optionally operation, target_columns.
 
     Lookups return the target columns, aggregates their totals, and change, calculation and comparison
-    requests the first rows of the table for further steps. One row per returned value.
+    requests the first rows of the table for further steps. One row per returned value; a request on a record that
+    is unknown or has no table gets one row that says so.
     """
     op = F.col("operation")
     tag = F.struct("request_id", "operation").alias("request_id")
-    known = _with_intent(requests, cells).select(tag, "record_id", "operation", "target_columns")
+    asked = _with_intent(requests, cells).select(tag, "record_id", "operation", "target_columns", "has_table")
+    known = asked.filter("has_table")
     complex_ops = ["calculate", "analyze_change", "compare"]
     totalled = (op == "aggregate") & (F.size("target_columns") > 0)
 
@@ -156,6 +159,13 @@ def query_tables(requests: DataFrame, cells: DataFrame, types: DataFrame) -> Dat
             )
         )
     )
+    unknown = asked.filter("NOT has_table").select(
+        "request_id",
+        "record_id",
+        *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in answers.columns[2:-1]],
+        F.lit("No table for this record.").alias("note"),
+    )
+    answers = answers.unionByName(unknown)
     chosen = F.col("request_id.operation")
     return answers.select(
         "request_id.request_id", "record_id", chosen.alias("operation"), query_type(chosen).alias("query_type"),

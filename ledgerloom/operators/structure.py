@@ -175,7 +175,7 @@ def apply_axis_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Axis roles from given labels (record_id, table_type, time_axis, metric_axis, confidence).
 
     When the time axis is the columns every column is a time, when the metric axis is the rows every row is
-    a metric; otherwise none is.
+    a metric; otherwise none is. A table without a label is ``unknown``, of low confidence.
     """
     is_col = F.col("axis") == "col"
     counts = axis_labels(cells).groupBy(*KEY).agg(
@@ -188,7 +188,7 @@ def apply_axis_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
     given = labels.select(
         "record_id", "table_type", "time_axis", "metric_axis", word.alias("_word")
     )
-    return counts.join(given, "record_id").select(
+    return counts.join(given, "record_id", "left").select(
         *KEY,
         F.coalesce("table_type", F.lit("unknown")).alias("structure"),
         F.when(F.col("time_axis") == "columns", F.col("column_count")).otherwise(0).alias("time_columns"),

@@ -395,7 +395,7 @@ def column_totals(
 ) -> DataFrame:
     """``{column}_total`` per requested numeric column; one error row listing the numeric columns otherwise.
 
-    Columns are summed once each before they meet the requests. ``types`` needs KEY, col_ord, col_name and
+    Every request has a row, also one on an unknown table or without a list of columns. Columns are summed once each before they meet the requests. ``types`` needs KEY, col_ord, col_name and
     column_type.
     """
     wanted = _targets(requests)
@@ -406,17 +406,18 @@ def column_totals(
         F.lit(None).cast("string").alias("total_name"),
         F.lit(None).cast("double").alias("total"),
     )
-    per_request = (
-        wanted.join(sums, ["record_id", "col_name"], "left")
-        .groupBy("request_id", "record_id")
+    hits = (
+        wanted.join(sums, ["record_id", "col_name"])
+        .groupBy("request_id")
         .agg(F.collect_list(F.when(F.col("total").isNotNull(), hit)).alias("_hits"))
     )
+    per_request = requests.select("request_id", "record_id").join(hits, "request_id", "left")
     available = (
         types.filter("column_type = 'numeric'")
         .groupBy("record_id")
         .agg(F.array_sort(F.collect_list(F.struct("col_ord", "col_name"))).alias("_names"))
     )
-    missed = F.size("_hits") == 0
+    missed = F.coalesce(F.size("_hits"), F.lit(0)) <= 0
     listed = F.coalesce(F.array_join(F.transform("_names", lambda s: s["col_name"]), ", "), F.lit(""))
     return per_request.join(available, "record_id", "left").select(
         "request_id",
@@ -430,7 +431,10 @@ def column_totals(
 def first_numeric_sum(
     requests: DataFrame, cells: DataFrame, types: DataFrame, faithful: bool = False
 ) -> DataFrame:
-    """Sum of the first requested column that is numeric; a request naming none takes the table's first."""
+    """Sum of the first requested column that is numeric; a request naming none takes the table's first.
+
+    Every request has a row; ``status`` says where there is no numeric column to add up.
+    """
     sums = column_sums(cells, types, faithful)
     named = F.coalesce(F.size("target_columns"), F.lit(0)) > 0
     option = F.struct("pos", "col_name", "total")
@@ -438,10 +442,20 @@ def first_numeric_sum(
         _targets(requests.filter(named))
         .join(sums, ["record_id", "col_name"])
         .withColumn("pos", F.col("target_pos"))
-        .groupBy("request_id", "record_id")
+        .groupBy("request_id")
         .agg(F.min(option).alias("_pick"))
     )
-    first = sums.withColumn("pos", F.col("col_ord")).groupBy("record_id").agg(F.min(option).alias("_pick"))
-    by_default = requests.filter(~named).select("request_id", "record_id").join(first, "record_id")
-    both = by_name.unionByName(by_default.select(by_name.columns))
-    return both.select("request_id", "record_id", "_pick.col_name", "_pick.total")
+    first = sums.withColumn("pos", F.col("col_ord")).groupBy("record_id").agg(F.min(option).alias("_first"))
+    picked = F.when(F.col("_named"), F.col("_pick")).otherwise(F.col("_first"))
+    return (
+        requests.select("request_id", "record_id", named.alias("_named"))
+        .join(by_name, "request_id", "left")
+        .join(first, "record_id", "left")
+        .select(
+            "request_id",
+            "record_id",
+            picked["col_name"].alias("col_name"),
+            picked["total"].alias("total"),
+            F.when(picked["col_name"].isNull(), "NO_NUMERIC_COLUMNS").otherwise("OK").alias("status"),
+        )
+    )

@@ -18,7 +18,7 @@ from ledgerloom.operators import (
     tables,
 )
 from ledgerloom.plans import demo
-from ledgerloom.session import shared_folder, stored, tune
+from ledgerloom.session import shared_folder, tune
 from ledgerloom.sources import corpus, ledger, turnlog
 from ledgerloom.streaming import incremental
 
@@ -49,11 +49,6 @@ def _joined(column: Column | str) -> Column:
     return F.array_join(column, "|")
 
 
-def _cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells for queries that read them several times."""
-    return stored(demo.cells(spark, folder), "cells")
-
-
 def _schema(spark: SparkSession, folder: str) -> DataFrame:
     return tables.build_schema(demo.cells(spark, folder))
 
@@ -236,7 +231,7 @@ def _(spark, folder):
 
 @_query("p1_select_columns")
 def _(spark, folder):
-    return tables.select_columns(demo.column_requests(spark, folder), _cells(spark, folder))
+    return tables.select_columns(demo.column_requests(spark, folder), demo.cells(spark, folder))
 
 
 @_query("p2_table_head")
@@ -251,7 +246,7 @@ def _(spark, folder):
 
 @_query("p4_table_cards")
 def _(spark, folder):
-    cells = _cells(spark, folder)
+    cells = demo.cells(spark, folder)
     cards = tables.show_tables(
         demo.records(spark, folder), cells, tables.build_schema(cells), structure.classify_structure(cells)
     )
@@ -290,7 +285,7 @@ def _(spark, folder):
 
 @_query("p4_table_cards_json")
 def _(spark, folder):
-    cells = _cells(spark, folder)
+    cells = demo.cells(spark, folder)
     return tables.cards_as_json(
         tables.show_tables(
             demo.records(spark, folder), cells, tables.build_schema(cells), structure.structure_guide(cells)
@@ -335,8 +330,8 @@ def _(spark, folder):
 
 @_query("t4_conversion_warnings")
 def _(spark, folder):
-    cells = _cells(spark, folder)
-    schema = stored(tables.build_schema(cells), "schema")
+    cells = demo.cells(spark, folder)
+    schema = tables.build_schema(cells)
     return tables.conversion_warnings(tables.typed_cells(cells, schema, faithful=True), schema)
 
 
@@ -371,7 +366,7 @@ def _(spark, folder):
 
 @_query("t7_structure_guide")
 def _(spark, folder):
-    cells = _cells(spark, folder)
+    cells = demo.cells(spark, folder)
     guide = structure.structure_guide(cells, tables.build_schema(cells))
     return guide.select(
         "record_id",
@@ -437,7 +432,7 @@ def _(spark, folder):
 
 @_query("j4_get_values")
 def _(spark, folder):
-    return matching.get_values(demo.value_requests(spark, folder), _cells(spark, folder)).select(
+    return matching.get_values(demo.value_requests(spark, folder), demo.cells(spark, folder)).select(
         "request_id", "matched_row", "matched_column", "value", "value_text", "status",
         _joined("available").alias("available"),
     )
@@ -465,7 +460,7 @@ def _(spark, folder):
 
 @_query("j8_change_requests")
 def _(spark, folder):
-    return requests.change_requests(demo.change_jobs(spark, folder), _cells(spark, folder)).select(
+    return requests.change_requests(demo.change_jobs(spark, folder), demo.cells(spark, folder)).select(
         "request_id", "record_id", "change_type", "old_value", "new_value", "change", "status"
     )
 
@@ -480,8 +475,8 @@ def _(spark, folder):
 
 @_query("a1_column_totals")
 def _(spark, folder):
-    cells = _cells(spark, folder)
-    types = stored(tables.infer_column_types(cells), "types")
+    cells = demo.cells(spark, folder)
+    types = tables.infer_column_types(cells)
     return tables.column_totals(demo.column_requests(spark, folder), cells, types).select("request_id", "total_name", "total", "status", "numeric_columns")
 
 
@@ -490,8 +485,8 @@ def _(spark, folder):
     wanted = demo.column_requests(spark, folder).withColumn(
         "target_columns", F.when(F.col("request_id") % 4 != 0, F.col("target_columns"))
     )
-    cells = _cells(spark, folder)
-    return tables.first_numeric_sum(wanted, cells, stored(tables.infer_column_types(cells), "types"))
+    cells = demo.cells(spark, folder)
+    return tables.first_numeric_sum(wanted, cells, tables.infer_column_types(cells))
 
 
 @_query("a3_accuracy")
@@ -709,7 +704,7 @@ def _(spark, folder):
 
 @_query("f12_compute_requests")
 def _(spark, folder):
-    cells = _cells(spark, folder)
+    cells = demo.cells(spark, folder)
     return requests.compute_requests(demo.compute_jobs(spark, folder), cells, tables.infer_column_types(cells))
 
 
@@ -782,8 +777,8 @@ def _(spark, folder):
 
 @_query("f17_query_tables")
 def _(spark, folder):
-    cells = _cells(spark, folder)
-    types = stored(tables.infer_column_types(cells), "types")
+    cells = demo.cells(spark, folder)
+    types = tables.infer_column_types(cells)
     return requests.query_tables(demo.text_requests(spark, folder), cells, types)
 
 
@@ -792,7 +787,7 @@ def _(spark, folder):
 
 @_query("st1_stream_scores")
 def _(spark, folder):
-    preds = demo.preds(spark, folder).filter("error IS NULL").select("record_id", "turn", "actual")
+    preds = demo.preds(spark, folder).select("record_id", "turn", "actual", "error")
     base = shared_folder(spark, "scores")
     preds.write.parquet(f"{base}/preds")
     turns = demo.turns(spark, folder)

@@ -104,21 +104,21 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Three questions per row that has both 1997 and 1998: a lookup, a change, a percentage change."""
-
-    def value_of(year: int) -> Column:
-        return F.get(F.filter("years", lambda y: y["yr"] == year), F.lit(0))["amt"]
-
+    """Three questions per row and pair of adjacent years: a lookup, a change, a percentage change."""
     pairs = (
         yearly(spark, folder)
-        .withColumn("old", value_of(1997))
-        .withColumn("new", value_of(1998))
+        .select("rec_ord", "record_id", "row_ord", "row_name", "years", F.explode("years").alias("year"))
+        .withColumn("yr", F.col("year.yr"))
+        .withColumn("old", F.col("year.amt"))
+        .withColumn("new", F.get(F.filter("years", lambda y: y["yr"] == F.col("yr") + 1), F.lit(0))["amt"])
         .filter("old IS NOT NULL AND new IS NOT NULL")
     )
     old, new = F.col("old").cast("string"), F.col("new").cast("string")
+    since, until = F.col("yr").cast("string"), (F.col("yr") + 1).cast("string")
     rise = F.col("new") - F.col("old")
     share = F.round(rise.cast("double") / F.col("old").cast("double"), 5).cast("decimal(18,5)").cast("string")
-    first = (F.col("row_ord") + 1) * 3 - 2
+    # The last digit of the year tells the pairs of a row apart.
+    first = (F.col("row_ord") * 10 + F.col("yr") % 10) * 3 + 1
 
     def turn(number: Column, question: Column, answer: Column, program: Column) -> Column:
         return F.struct(
@@ -130,8 +130,8 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
     subtract = _text("subtract(", new, ", ", old, ")")
     three = F.array(
-        turn(first, _text("what was ", F.col("row_name"), " in 1997?"), old, old),
-        turn(first + 1, F.lit("and what was the change from 1997 to 1998?"), rise.cast("string"), subtract),
+        turn(first, _text("what was ", F.col("row_name"), " in ", since, "?"), old, old),
+        turn(first + 1, _text("and what was the change from ", since, " to ", until, "?"), rise.cast("string"), subtract),
         turn(
             first + 2,
             F.lit("so what was the percentage change?"),
@@ -273,7 +273,7 @@ def change_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Per record a list of wanted columns: some, one that is text and one unknown, or only unknown ones."""
+    """Per record a list of wanted columns: some, one that is text and one unknown, only unknown ones, or none."""
     key = F.col("rec_ord")
 
     def names(*words: str) -> Column:
@@ -282,7 +282,9 @@ def column_requests(spark: SparkSession, folder: str) -> DataFrame:
     return record_keys(spark, folder).select(
         key.alias("request_id"),
         "record_id",
-        F.when(key % 3 == 0, names("1998", "1996", "1997"))
+        F.when(key % 12 == 5, F.lit(None).cast("array<string>"))
+        .when(key % 12 == 2, F.array().cast("array<string>"))
+        .when(key % 3 == 0, names("1998", "1996", "1997"))
         .when(key % 3 == 1, names("note", "1999", "none"))
         .otherwise(names("none", "nothing"))
         .alias("target_columns"),
@@ -309,15 +311,20 @@ def expressions(spark: SparkSession, folder: str) -> DataFrame:
     """A computation per order, in words, as a call or as plain arithmetic."""
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     key, day = F.col("o_orderkey"), F.dayofmonth("o_orderdate").cast("string")
+    kind = key % 13
     spoken = (
-        F.when(key % 9 == 0, _text("add(", price, ", ", day, ")"))
-        .when(key % 9 == 1, _text(price, " / ", day))
-        .when(key % 9 == 2, _text("difference of ", price, " and ", day))
-        .when(key % 9 == 3, _text(price, " times ", day))
-        .when(key % 9 == 4, _text("divide(", price, ", 0)"))
-        .when(key % 9 == 5, "nothing to compute")
-        .when(key % 9 == 6, _text("only ", price))
-        .when(key % 9 == 7, _text(day, " * -3"))
+        F.when(kind == 0, _text("add(", price, ", ", day, ")"))
+        .when(kind == 1, _text(price, " / ", day))
+        .when(kind == 2, _text("difference of ", price, " and ", day))
+        .when(kind == 3, _text(price, " times ", day))
+        .when(kind == 4, _text("divide(", price, ", 0)"))
+        .when(kind == 5, "nothing to compute")
+        .when(kind == 6, _text("only ", price))
+        .when(kind == 7, _text(day, " * -3"))
+        .when(kind == 8, _text("(", price, " - ", day, ") / ", day))
+        .when(kind == 9, _text("-(", price, " + ", day, ") * 2"))
+        .when(kind == 10, _text("abs(", day, " - ", price, ") + 2 ** 3 ** 1"))
+        .when(kind == 11, _text(price, " - ", day, " - ", day, " * 2"))
         .otherwise(_text(price, " over ", day))
     )
     return table(spark, folder, "orders").select(key.alias("request_id"), spoken.alias("expression"))

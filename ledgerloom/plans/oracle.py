@@ -154,16 +154,16 @@ cells AS (
   UNION ALL
   SELECT rec_ord, record_id, row_ord, row_name, 9999, 'note', 'see ' || row_name FROM labels_of_rows),
 pairs AS (
-  SELECT a.rec_ord, a.record_id, a.row_ord, a.row_name, a.amt AS old_v, b.amt AS new_v
-  FROM named a JOIN named b ON a.rec_ord = b.rec_ord AND a.row_ord = b.row_ord
-  WHERE a.yr = 1997 AND b.yr = 1998),
+  SELECT a.rec_ord, a.record_id, a.row_ord, a.row_name, a.yr, a.amt AS old_v, b.amt AS new_v,
+         (a.row_ord * 10 + a.yr % 10) * 3 AS place
+  FROM named a JOIN named b ON a.rec_ord = b.rec_ord AND a.row_ord = b.row_ord AND b.yr = a.yr + 1),
 asked AS (
-  SELECT rec_ord, record_id, row_ord * 3 + 1 AS turn, 'what was ' || row_name || ' in 1997?' AS question,
+  SELECT rec_ord, record_id, place + 1 AS turn, 'what was ' || row_name || ' in ' || yr || '?' AS question,
          CAST(old_v AS VARCHAR) AS answer, CAST(old_v AS VARCHAR) AS program FROM pairs
-  UNION ALL SELECT rec_ord, record_id, row_ord * 3 + 2, 'and what was the change from 1997 to 1998?',
+  UNION ALL SELECT rec_ord, record_id, place + 2, 'and what was the change from ' || yr || ' to ' || (yr + 1) || '?',
          CAST(new_v - old_v AS VARCHAR),
          'subtract(' || CAST(new_v AS VARCHAR) || ', ' || CAST(old_v AS VARCHAR) || ')' FROM pairs
-  UNION ALL SELECT rec_ord, record_id, row_ord * 3 + 3, 'so what was the percentage change?',
+  UNION ALL SELECT rec_ord, record_id, place + 3, 'so what was the percentage change?',
          CAST(CAST(round(CAST(new_v - old_v AS DOUBLE) / CAST(old_v AS DOUBLE), 5) AS DECIMAL(18,5)) AS VARCHAR),
          'subtract(' || CAST(new_v AS VARCHAR) || ', ' || CAST(old_v AS VARCHAR) || '), divide(#0, '
          || CAST(old_v AS VARCHAR) || ')' FROM pairs),
@@ -238,7 +238,8 @@ structures AS (
   FROM shapes),
 column_requests AS (
   SELECT rec_ord AS request_id, record_id,
-         CASE WHEN rec_ord % 3 = 0 THEN ['1998', '1996', '1997'] WHEN rec_ord % 3 = 1 THEN ['note', '1999', 'none']
+         CASE WHEN rec_ord % 12 = 5 THEN NULL WHEN rec_ord % 12 = 2 THEN CAST([] AS VARCHAR[])
+              WHEN rec_ord % 3 = 0 THEN ['1998', '1996', '1997'] WHEN rec_ord % 3 = 1 THEN ['note', '1999', 'none']
               ELSE ['none', 'nothing'] END AS target_columns FROM keys),
 wanted AS (
   SELECT request_id, record_id, unnest(target_columns) AS col_name,
@@ -349,26 +350,13 @@ FROM state"""
 
 
 def _spoken() -> str:
-    number = r"[+-]?(?:\d+\.?\d*|\.\d+)"
-    binary = rf"'^\(?({number})([-+*/])({number})\)?$'"
-    flat = r"regexp_replace(expression, '\s', '', 'g')"
+    """Values of the demo expressions, each kind written out as what it means."""
     n = f"regexp_extract_all(expression, {_SIMPLE})"
-    a, b = f"CAST({n}[1] AS DOUBLE)", f"CAST({n}[2] AS DOUBLE)"
-    left, sign, right = (
-        f"TRY_CAST(regexp_extract({flat}, {binary}, 1) AS DOUBLE)",
-        f"regexp_extract({flat}, {binary}, 2)",
-        f"TRY_CAST(regexp_extract({flat}, {binary}, 3) AS DOUBLE)",
-    )
     return f""", said AS (
-  SELECT *, CASE WHEN regexp_matches({flat}, {binary})
-      THEN CASE {sign} WHEN '+' THEN {left} + {right} WHEN '-' THEN {left} - {right}
-           WHEN '*' THEN {left} * {right} ELSE {left} / nullif({right}, 0) END
-    WHEN len({n}) = 1 THEN {a}
-    WHEN {_says('expression', ['+', 'add', 'plus', 'sum'])} THEN {a} + {b}
-    WHEN {_says('expression', ['-', 'subtract', 'minus', 'difference'])} THEN {a} - {b}
-    WHEN {_says('expression', ['*', 'multiply', 'times', '×'])} THEN {a} * {b}
-    WHEN {_says('expression', ['/', 'divide', '÷'])} THEN {a} / nullif({b}, 0)
-    ELSE {a} END AS value, len({n}) AS n FROM spoken)"""
+  SELECT *, CASE request_id % 13 WHEN 0 THEN price + day WHEN 1 THEN price / day WHEN 2 THEN price - day
+    WHEN 3 THEN price * day WHEN 6 THEN price WHEN 7 THEN day * -3 WHEN 8 THEN (price - day) / day
+    WHEN 9 THEN -(price + day) * 2 WHEN 10 THEN abs(day - price) + 8 WHEN 11 THEN price - day - day * 2
+    WHEN 12 THEN price END AS value, len({n}) AS n FROM spoken)"""
 
 
 def _guide_names(axis: str, count: int | None) -> str:
@@ -526,10 +514,10 @@ def oracle_sql() -> dict[str, str]:
             rec_ord % 2 = 0 AS times_in_columns, rec_ord % 3 <> 0 AS metrics_in_rows,
             CASE rec_ord % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM keys WHERE rec_ord % 10 <> 9)"""
     add("t8_axis_roles", roles + """
-        SELECT s.rec_ord, s.record_id, r.table_type AS structure,
+        SELECT s.rec_ord, s.record_id, coalesce(r.table_type, 'unknown') AS structure,
           CASE WHEN times_in_columns THEN column_count ELSE 0 END AS time_columns,
-          CASE WHEN metrics_in_rows THEN row_count ELSE 0 END AS metric_rows, r.confidence
-        FROM shapes s JOIN roles r ON r.rec_ord = s.rec_ord""")
+          CASE WHEN metrics_in_rows THEN row_count ELSE 0 END AS metric_rows, coalesce(r.confidence, 0.3) AS confidence
+        FROM shapes s LEFT JOIN roles r ON r.rec_ord = s.rec_ord""")
     add("t8_labelled_axes", roles + """
         SELECT a.rec_ord, a.record_id, CASE axis WHEN 'col' THEN 'time' ELSE 'metric' END AS role, a.ord, a.label
         FROM axes a JOIN roles r ON r.rec_ord = a.rec_ord
@@ -611,12 +599,15 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT request_id, NULL, NULL, 'NO_NUMERIC_COLUMNS',
           coalesce((SELECT string_agg(col_name, ', ' ORDER BY col_ord) FROM catalog c WHERE c.record_id = q.record_id AND column_type = 'numeric'), '')
         FROM column_requests q WHERE request_id NOT IN (SELECT request_id FROM hits)""")
-    add("a2_first_numeric_sum", sums + """, options AS (
-          SELECT w.request_id, w.record_id, w.target_pos AS pos, s.col_name, s.total FROM wanted w JOIN sums s USING (record_id, col_name)
-          WHERE w.request_id % 4 <> 0
-          UNION ALL SELECT q.request_id, q.record_id, s.col_ord, s.col_name, s.total FROM column_requests q JOIN sums s USING (record_id)
-          WHERE q.request_id % 4 = 0)
-        SELECT request_id, record_id, arg_min(col_name, pos) AS col_name, arg_min(total, pos) AS total FROM options GROUP BY request_id, record_id""")
+    add("a2_first_numeric_sum", sums + """, summed AS (
+          SELECT *, request_id % 4 = 0 OR target_columns IS NULL OR len(target_columns) = 0 AS open FROM column_requests),
+        options AS (
+          SELECT w.request_id, w.target_pos AS pos, s.col_name, s.total FROM wanted w JOIN sums s USING (record_id, col_name)
+          JOIN summed a ON a.request_id = w.request_id WHERE NOT a.open
+          UNION ALL SELECT a.request_id, s.col_ord, s.col_name, s.total FROM summed a JOIN sums s USING (record_id) WHERE a.open)
+        SELECT a.request_id, a.record_id, arg_min(o.col_name, pos) AS col_name, arg_min(o.total, pos) AS total,
+          CASE WHEN count(o.request_id) = 0 THEN 'NO_NUMERIC_COLUMNS' ELSE 'OK' END AS status
+        FROM summed a LEFT JOIN options o ON o.request_id = a.request_id GROUP BY a.request_id, a.record_id""")
     add("a3_accuracy", """SELECT count(*) FILTER (is_correct) AS correct, count(*) AS total,
         coalesce(count(*) FILTER (is_correct) / nullif(count(*), 0) * 100, 0.0) AS accuracy FROM results""")
     add("a4_accuracy_breakdown", breakdown)
@@ -691,10 +682,13 @@ def oracle_sql() -> dict[str, str]:
         SELECT record_id, turn, program, value, 'OK' AS status, abs(value - CAST(executed_answer AS DOUBLE)) < 1e-6 AS agrees FROM run""")
     price, day, key = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "CAST(day(o_orderdate) AS VARCHAR)", "o_orderkey"
     sql["f12_keyword_arithmetic"] = f"""WITH spoken AS (
-        SELECT o_orderkey AS request_id, CASE {key} % 9 WHEN 0 THEN 'add(' || {price} || ', ' || {day} || ')'
+        SELECT o_orderkey AS request_id, CAST({price} AS DOUBLE) AS price, CAST(day(o_orderdate) AS DOUBLE) AS day,
+          CASE {key} % 13 WHEN 0 THEN 'add(' || {price} || ', ' || {day} || ')'
           WHEN 1 THEN {price} || ' / ' || {day} WHEN 2 THEN 'difference of ' || {price} || ' and ' || {day}
           WHEN 3 THEN {price} || ' times ' || {day} WHEN 4 THEN 'divide(' || {price} || ', 0)' WHEN 5 THEN 'nothing to compute'
-          WHEN 6 THEN 'only ' || {price} WHEN 7 THEN {day} || ' * -3' ELSE {price} || ' over ' || {day} END AS expression FROM orders)
+          WHEN 6 THEN 'only ' || {price} WHEN 7 THEN {day} || ' * -3' WHEN 8 THEN '(' || {price} || ' - ' || {day} || ') / ' || {day}
+          WHEN 9 THEN '-(' || {price} || ' + ' || {day} || ') * 2' WHEN 10 THEN 'abs(' || {day} || ' - ' || {price} || ') + 2 ** 3 ** 1'
+          WHEN 11 THEN {price} || ' - ' || {day} || ' - ' || {day} || ' * 2' ELSE {price} || ' over ' || {day} END AS expression FROM orders)
         {_spoken()}
         SELECT request_id, expression, value, CASE WHEN n = 0 THEN 'UNABLE_TO_COMPUTE' WHEN n >= 2 AND value IS NULL THEN 'DIV_ZERO' ELSE 'OK' END AS status FROM said"""
     add("f12_compute_requests", sums + """, jobs AS (
@@ -750,36 +744,41 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, row_number() OVER (PARTITION BY rec_ord ORDER BY col_ord) AS rank FROM col_labels),
         firsts AS (SELECT record_id, list(col_name ORDER BY col_ord) AS first_columns FROM ranked_cols WHERE rank <= 3 GROUP BY record_id),
         known AS (
-          SELECT request_id, r.record_id, coalesce(operation, {op}) AS operation, coalesce(target_columns, first_columns) AS targets
-          FROM text_requests r JOIN firsts f ON f.record_id = r.record_id),
+          SELECT request_id, r.record_id, coalesce(operation, {op}) AS operation, coalesce(target_columns, first_columns) AS targets,
+            first_columns IS NOT NULL AS has_table
+          FROM text_requests r LEFT JOIN firsts f ON f.record_id = r.record_id),
+        plans AS (
+          SELECT *, CASE WHEN operation = 'aggregate' AND len(targets) = 0 THEN 'lookup' ELSE operation END AS step
+          FROM known WHERE has_table),
         want AS (
-          SELECT request_id, record_id, operation, unnest(targets) AS col_name, generate_subscripts(targets, 1) - 1 AS pos FROM known),
+          SELECT request_id, record_id, step, unnest(targets) AS col_name, generate_subscripts(targets, 1) - 1 AS pos FROM plans),
         tot AS (
           SELECT w.request_id, w.pos AS position, w.col_name || '_total' AS col_name, s.total AS num, CAST(NULL AS VARCHAR) AS note
-          FROM want w JOIN sums s USING (record_id, col_name) WHERE operation = 'aggregate'),
+          FROM want w JOIN sums s USING (record_id, col_name) WHERE step = 'aggregate'),
         untot AS (
           SELECT k.request_id, 0 AS position, CAST(NULL AS VARCHAR) AS col_name, CAST(NULL AS DOUBLE) AS num,
             'Available numeric columns: ' || coalesce((SELECT string_agg(col_name, ', ' ORDER BY col_ord) FROM catalog c
               WHERE c.record_id = k.record_id AND column_type = 'numeric'), '') AS note
-          FROM known k WHERE operation = 'aggregate' AND request_id NOT IN (SELECT request_id FROM tot)),
+          FROM plans k WHERE step = 'aggregate' AND request_id NOT IN (SELECT request_id FROM tot)),
         row_rank AS (SELECT rec_ord, row_ord, row_number() OVER (PARTITION BY rec_ord ORDER BY row_ord) AS rank FROM row_labels),
         found AS (
-          SELECT w.request_id, w.record_id, w.pos, c.col_ord FROM want w JOIN col_labels c USING (record_id, col_name) WHERE operation = 'lookup'),
+          SELECT w.request_id, w.record_id, w.pos, c.col_ord FROM want w JOIN col_labels c USING (record_id, col_name) WHERE step = 'lookup'),
         picked AS (
           SELECT *, CAST(NULL AS VARCHAR) AS note FROM found
-          UNION ALL SELECT k.request_id, k.record_id, c.col_ord, c.col_ord, 'Columns not found. Showing all data.' FROM known k
-          JOIN col_labels c USING (record_id) WHERE operation = 'lookup' AND request_id NOT IN (SELECT request_id FROM found)),
+          UNION ALL SELECT k.request_id, k.record_id, c.col_ord, c.col_ord, 'Columns not found. Showing all data.' FROM plans k
+          JOIN col_labels c USING (record_id) WHERE step = 'lookup' AND request_id NOT IN (SELECT request_id FROM found)),
         answers AS (
           SELECT request_id, position, col_name, CAST(NULL AS BIGINT) AS row_ord, CAST(NULL AS VARCHAR) AS row_name,
             CAST(NULL AS VARCHAR) AS raw, num, note FROM (SELECT * FROM tot UNION ALL SELECT * FROM untot)
           UNION ALL SELECT k.request_id, c.col_ord, c.col_name, c.row_ord, c.row_name, c.raw, {_to_float('c.raw')}, 'analysis_required'
-            FROM known k JOIN cells c USING (record_id) JOIN row_rank r ON r.rec_ord = c.rec_ord AND r.row_ord = c.row_ord AND r.rank <= 5
+            FROM plans k JOIN cells c USING (record_id) JOIN row_rank r ON r.rec_ord = c.rec_ord AND r.row_ord = c.row_ord AND r.rank <= 5
             WHERE operation IN ('calculate', 'analyze_change', 'compare')
           UNION ALL SELECT p.request_id, p.pos, c.col_name, c.row_ord, c.row_name, c.raw, {_to_float('c.raw')}, p.note
-            FROM picked p JOIN cells c ON c.record_id = p.record_id AND c.col_ord = p.col_ord)
+            FROM picked p JOIN cells c ON c.record_id = p.record_id AND c.col_ord = p.col_ord
+          UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, 'No table for this record.' FROM known WHERE NOT has_table)
         SELECT a.request_id, k.record_id, k.operation, {kind_of.format(op='k.operation')} AS query_type, position, col_name, row_ord,
           row_name, raw, num, note FROM answers a JOIN known k USING (request_id)""")
-    add("st1_stream_scores", """, given AS (SELECT r.* FROM results r JOIN preds p ON p.record_id = r.record_id AND p.turn = r.turn WHERE p.error IS NULL)"""
+    add("st1_stream_scores", """, given AS (SELECT r.* FROM results r JOIN preds p ON p.record_id = r.record_id AND p.turn = r.turn)"""
         + _BREAKDOWN.format(source="given"))
     add("st2_stream_sessions", """SELECT session_id, count(*) AS turn_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at,
         strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM log GROUP BY session_id""")

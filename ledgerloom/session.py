@@ -1,11 +1,10 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings and shared folders."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Splitting a hot join key at run time is what keeps record-keyed joins healthy, so it is forced
 # even where it costs the plan one more exchange.
@@ -43,19 +42,6 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> Sp
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table that a job reads several times, and read it back.
-
-    The work behind it is done once, the lineage is cut at durable files, and Spark knows the real size when it
-    picks joins.
-    """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.operators.evaluation import score
 from ledgerloom.sources.turnlog import TURN_LOG_SCHEMA
 
-PREDS_SCHEMA = "record_id STRING, turn INT, actual STRING"
+PREDS_SCHEMA = "record_id STRING, turn INT, actual STRING, error STRING"
 
 
 def stream_scores(
@@ -20,7 +20,10 @@ def stream_scores(
     checkpoint: str,
     policy: str = "basic",
 ) -> StreamingQuery:
-    """Score new prediction files into the ledger, each file once, also across restarts."""
+    """Score new prediction files into the ledger, each file once, also across restarts.
+
+    Files without an ``error`` column hold no failed predictions.
+    """
     arriving = spark.readStream.schema(PREDS_SCHEMA).parquet(preds_folder)
     results = score(arriving, turns, policy, drop_failed=True)
     return (

@@ -167,6 +167,11 @@ def test_text_arithmetic(spark):
         "difference of 10 and 4": (6.0, "OK"), "6 times 7": (42.0, "OK"), "8 ÷ 2": (4.0, "OK"), "7": (7.0, "OK"),
         "10 over 3": (10.0, "OK"), "multiply(2,-3)": (5.0, "OK"), "none": (None, "UNABLE_TO_COMPUTE"),
         "divide(1, 0)": (None, "DIV_ZERO"),
+        "2**3": (8.0, "OK"), "-(5+3)": (-8.0, "OK"), "abs(3-10)": (7.0, "OK"), "abs(-5)": (5.0, "OK"), "1+2+3": (6.0, "OK"),
+        "(506.5 - 488.8) / 488.8": ((506.5 - 488.8) / 488.8, "OK"), "-2**2": (-4.0, "OK"), "2**-1": (0.5, "OK"),
+        "2**3**2": (512.0, "OK"), "10/4/5": (0.5, "OK"), "8-3-2": (3.0, "OK"), "2--3": (5.0, "OK"), "((1))": (1.0, "OK"),
+        "-abs(-(2))*3": (-6.0, "OK"), ".5+1.": (1.5, "OK"), "5/0": (None, "DIV_ZERO"), "(1+2": (3.0, "OK"),
+        "1 2": (1.0, "OK"), "abs 5": (5.0, "OK"), "(-8)**0.5": (-8.5, "OK"),
     }
     frame = spark.createDataFrame(list(enumerate(cases)), "i int, e string")
     rows = programs.with_arithmetic(frame, "e", "r").orderBy("i").collect()
