@@ -11,9 +11,9 @@ made in order and only up to the time at which all components are filled, so a t
 and a fixed number of points. Two texts agree in a component with a probability equal to their overlap.
 
 Work is done on distinct texts, so copies of a text are one node. Texts that share a band meet in a bucket. First every
-text is verified against one text drawn per bucket; then, in buckets whose texts are not all in one class
-yet, texts of different classes are compared by signature in blocks, and those that could reach the similarity are
-verified. No bucket is capped, and none is held by one task.
+text is verified against one text drawn per bucket; then, in buckets whose texts are not all in one class yet, texts
+of different classes are compared in cells of bounded size: by the units they share with any other, by signature,
+and at last exactly. No bucket is capped, none is held by one task, and no list of all pairs is made.
 
 The chance that a pair at the similarity shares no band is (1 - 0.8 ** 5) ** 32 = 3e-6, and that signatures of such a
 pair agree in fewer than ``LEAST_AGREEING`` components 3e-7; both fall quickly above it.
@@ -45,6 +45,8 @@ SIZE = BANDS * ROWS
 LEAST_AGREEING = round(SIZE * (SIMILARITY - 0.16))
 #: Texts of one bucket that are compared with as many others in one step.
 BLOCK = 256
+#: Pairs of a cell that are verified in one step.
+VERIFIED_AT_ONCE = 2048
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _NEXT = np.uint64(0xE7037ED1A0B428DB)
@@ -125,14 +127,13 @@ def _points(out: np.ndarray, hashes: np.ndarray, text_of: np.ndarray, counts: np
 SIGNED = T.StructType(
     [
         T.StructField("n_shingles", T.LongType()),
-        T.StructField("signature", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def sign(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Replace ``text`` by the columns of ``SIGNED``: the signature as 32-bit numbers, and a hash per band."""
+    """Replace ``text`` by the columns of ``SIGNED``: the number of shingles, and a hash per band of the signature."""
 
     def work(batch: pa.RecordBatch) -> dict:
         data, offsets = joined(batch, text)
@@ -140,7 +141,6 @@ def sign(rows: DataFrame, text: str = "text") -> DataFrame:
         n = len(offsets) - 1
         sizes = np.bincount(text_of, minlength=n)
         times = signatures(*counted(hashes, text_of), n)
-        short = (mixed(times.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
         bands = np.zeros((n, BANDS), np.uint64)
         parts = mixed(times.view(np.uint64)).reshape(n, BANDS, ROWS)
         for k in range(ROWS):
@@ -151,7 +151,6 @@ def sign(rows: DataFrame, text: str = "text") -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
         return {
             "n_shingles": sizes,
-            "signature": [x.tobytes() for x in short],
             "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(kept)),
         }
 
@@ -206,67 +205,134 @@ def _starred(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of texts of one bucket, in different classes, whose signatures agree often enough.
+def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) between texts of one bucket that the stars left in different classes.
 
-    In each bucket, the class of its most common label is the body; all others are strays. Strays are compared
-    with the body and with each other, block by block; a pair that shares several bands is given once.
+    In each bucket, the class with the most texts is the body; all others are strays. The buckets of one body form
+    a family, in which every text is held once. Strays are compared with the body and with each other in cells of
+    ``BLOCK`` by ``BLOCK`` texts. A cell returns no more links than it takes to connect its texts, so the output
+    grows with the number of texts and not with that of their pairs.
     """
     labelled = buckets.join(labels.withColumnRenamed("label", "found"), "node", "left").select(
         "band", "node", F.coalesce("found", "node").alias("label")
     )
     sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("held"))
-    mixed_up = (
+    bodies = (
         sizes.groupBy("band")
-        .agg(
-            F.count(F.lit(1)).alias("labels"),
-            F.sum("held").alias("every"),
-            F.max(F.struct("held", "label")).alias("body"),
-        )
+        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("held", "label")).alias("body"))
         .filter("labels > 1")
-        .select(
-            "band",
-            F.col("body.label").alias("body"),
-            F.ceil(F.col("every") / BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("every") - F.col("body.held")) / BLOCK).cast("int").alias("stray_blocks"),
-        )
+        .select("band", F.col("body.label").alias("body"))
     )
-    rows = labelled.join(mixed_up, "band").join(signed.select("node", "signature"), "node")
+    members = stored(labelled.join(bodies, "band").select("body", "node", "label").distinct(), "families")
     stray = F.col("label") != F.col("body")
+    blocks = members.groupBy("body").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.sum(stray.cast("int")) / BLOCK).cast("int").alias("stray_blocks"),
+    )
+    rows = members.join(blocks, "body").join(texts, "node")
     place = F.xxhash64("node", F.lit("place"))
+    columns = ["body", "node", "label", "text"]
     targets = rows.select(
-        "band", "node", "label", "signature", (~stray).alias("in_body"), F.lit(False).alias("asks"),
+        *columns, (~stray).alias("in_body"), F.lit(False).alias("asks"),
         F.pmod(place, F.col("blocks")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("j"),
     )
     askers = rows.filter(stray).select(
-        "band", "node", "label", "signature", F.lit(False).alias("in_body"), F.lit(True).alias("asks"),
+        *columns, F.lit(False).alias("in_body"), F.lit(True).alias("asks"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"),
         F.pmod(place, F.col("stray_blocks")).cast("int").alias("j"),
     )
-
-    def compare(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["asks"].combine_chunks())
-        values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(asks), SIZE)
-        nodes = np.array(table["node"].to_pylist(), dtype=object)
-        label = np.array(table["label"].to_pylist(), dtype=object)
-        in_body = np.asarray(table["in_body"].combine_chunks())
-        target = np.flatnonzero(~asks)
-        a, b = [], []
-        for s in np.flatnonzero(asks):
-            agree = values[target] == values[s]
-            enough = agree.sum(axis=1) >= LEAST_AGREEING
-            enough &= label[target] != label[s]
-            # A pair of strays is met from both sides; one of them reports it.
-            enough &= in_body[target] | (nodes[target] > nodes[s])
-            for t in target[enough]:
-                a.append(max(nodes[s], nodes[t]))
-                b.append(min(nodes[s], nodes[t]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    dealt = targets.unionByName(askers)
-    found = dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
-    return found.distinct()
+    cells = targets.unionByName(askers).groupBy("body", "i", "j")
+    return cells.applyInArrow(_linked_in_cell, "a binary, b binary").distinct()
+
+
+class _Cell:
+    """The texts of a cell as sets of units: a shingle that a text has three times is three units."""
+
+    def __init__(self, table: pa.Table):
+        batch = table.select(["text"]).combine_chunks().to_batches()[0]
+        hashes, text_of = shingles(*joined(batch, "text"))
+        self.distinct = counted(hashes, text_of)
+        order = np.lexsort((hashes, text_of))
+        hashes, self.text_of = hashes[order], text_of[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (self.text_of[1:] != self.text_of[:-1])
+        places = np.arange(len(hashes))
+        time = places - np.maximum.accumulate(np.where(fresh, places, 0))
+        self.units = mixed(hashes + time.astype(np.uint64) * _NEXT)
+        self.size = np.bincount(self.text_of, minlength=table.num_rows)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.node = np.array(table["node"].to_pylist(), dtype=object)
+        self.label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
+        self.asks = np.asarray(table["asks"].combine_chunks())
+        self.in_body = np.asarray(table["in_body"].combine_chunks())
+
+    def possible(self) -> tuple[np.ndarray, np.ndarray]:
+        """(asker, target) pairs of different labels that could be links.
+
+        No text overlaps another more than it shares units with all targets together; of the rest, signatures
+        must agree often enough.
+        """
+        asked = ~self.asks[self.text_of]
+        units, times = np.unique(self.units[asked], return_counts=True)
+        place = np.minimum(np.searchsorted(units, self.units), len(units) - 1)
+        others = np.where(units[place] == self.units, times[place], 0)
+        also_target = np.isin(self.node, self.node[~self.asks])[self.text_of]
+        shared = np.bincount(self.text_of, weights=others > also_target, minlength=len(self.size))
+        alive = shared >= SIMILARITY * self.size - 1e-9
+        askers, targets = np.flatnonzero(self.asks & alive), np.flatnonzero(~self.asks)
+        if not len(askers):
+            return askers, askers
+        chosen = np.isin(self.distinct[1], np.concatenate([askers, targets]))
+        times = signatures(*[x[chosen] for x in self.distinct], len(self.size))
+        left, right, agreeing = [], [], []
+        for s in askers:
+            near = self.label[targets] != self.label[s]
+            low, high = np.minimum(self.size[targets], self.size[s]), np.maximum(self.size[targets], self.size[s])
+            near &= low >= SIMILARITY * high - 1e-9
+            # A pair of strays is met from both sides; one of them looks at it.
+            near &= self.in_body[targets] | (self.node[targets] > self.node[s])
+            some = targets[near]
+            agree = (times[some] == times[s]).sum(axis=1)
+            enough = agree >= LEAST_AGREEING
+            left.append(np.full(enough.sum(), s))
+            right.append(some[enough])
+            agreeing.append(agree[enough])
+        order = np.argsort(-np.concatenate(agreeing), kind="stable")
+        return np.concatenate(left)[order], np.concatenate(right)[order]
+
+    def overlap(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        texts = np.column_stack([left, right]).ravel()
+        sizes = self.size[texts]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(self.start[texts], sizes)
+        units, pair = self.units[at], np.repeat(np.arange(len(texts)) // 2, sizes)
+        order = np.lexsort((units, pair))
+        units, pair = units[order], pair[order]
+        same = (units[1:] == units[:-1]) & (pair[1:] == pair[:-1])
+        shared = np.bincount(pair[1:][same], minlength=len(left))
+        return shared / (self.size[left] + self.size[right] - shared)
+
+
+def _linked_in_cell(table: pa.Table) -> pa.Table:
+    a, b = [], []
+    if table.column("asks").to_pylist().count(False) not in (0, table.num_rows):
+        cell = _Cell(table)
+        left, right = cell.possible()
+        joined_label = np.arange(cell.label.max() + 1)
+        while len(left):
+            now, left = left[:VERIFIED_AT_ONCE], left[VERIFIED_AT_ONCE:]
+            then, right = right[:VERIFIED_AT_ONCE], right[VERIFIED_AT_ONCE:]
+            linked = cell.overlap(now, then) >= SIMILARITY - 1e-12
+            for s, t in zip(now[linked], then[linked], strict=True):
+                old, new = joined_label[cell.label[s]], joined_label[cell.label[t]]
+                if old != new:
+                    joined_label[joined_label == old] = new
+                    a.append(cell.node[s])
+                    b.append(cell.node[t])
+            apart = joined_label[cell.label[left]] != joined_label[cell.label[right]]
+            left, right = left[apart], right[apart]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def node_of(text: str) -> Column:
@@ -282,9 +348,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("node", node_of("text"))
     signed = stored(sign(keyed), "signed")
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(
-        F.first("bands").alias("bands"), F.first("signature").alias("signature")
-    )
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"))
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band")
     buckets = stored(bands.join(shared, "band", "left_semi"), "buckets")
@@ -293,8 +357,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
         keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts"
     )
     labels = components(verified(_starred(buckets), texts))
-    across = _across(buckets, labels, nodes.join(wanted, "node", "left_semi"))
-    more = stored(verified(across, texts), "links")
+    more = stored(_across(buckets, labels, texts), "links")
     raised = (
         more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
