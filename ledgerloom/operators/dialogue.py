@@ -25,8 +25,9 @@ def number_turns(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 def pair_messages(messages: DataFrame) -> DataFrame:
     """Question-answer turns from single messages (conv_id, turn, role, text).
 
-    A user message and the assistant message right after it form a turn. The pairing is an equi-join on
-    (conv_id, turn), so one long conversation spreads over all tasks.
+    A user message and the assistant message right after it form a turn; a user message without one is a turn that
+    waits, with a null response. The pairing is an equi-join on (conv_id, turn), so one long conversation spreads
+    over all tasks.
     """
     users = messages.filter("role = 'user'").select(
         "conv_id", F.col("turn").alias("seq"), (F.col("turn") + 1).alias("_next"),
@@ -35,7 +36,7 @@ def pair_messages(messages: DataFrame) -> DataFrame:
     replies = messages.filter("role = 'assistant'").select(
         "conv_id", F.col("turn").alias("_next"), F.col("text").alias("assistant_response")
     )
-    return users.join(replies, ["conv_id", "_next"]).drop("_next")
+    return users.join(replies, ["conv_id", "_next"], "left").drop("_next")
 
 
 def with_entities(log: DataFrame) -> DataFrame:
@@ -43,19 +44,30 @@ def with_entities(log: DataFrame) -> DataFrame:
     return log.withColumn("referenced_entities", entities(F.col("assistant_response")))
 
 
+def _with_next(numbered: DataFrame) -> DataFrame:
+    """Add a row per session for the question to come: the next turn number, ``turn_id`` next, all else null."""
+    coming = numbered.groupBy(*SESSION).agg((F.max("turn_no") + 1).alias("turn_no"), F.lit("next").alias("turn_id"))
+    return numbered.unionByName(coming, allowMissingColumns=True)
+
+
 def _filled(array: str) -> Column:
     return F.when(F.size(array) > 0, F.col(array))
 
 
 def recent_context(log: DataFrame, depth: int = 5, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Per turn, the context text before it: the last ``depth`` turns, then what was last called and computed."""
-    numbered = number_turns(log, slice_rows).select(
-        "session_id", "turn_no", "turn_id", "user_message", "assistant_response", "tool_calls",
-        "computation_results",
-    )
-    line = F.concat(
-        F.lit("User: "), F.col("user_message"), F.lit("\nAssistant: "), F.col("assistant_response")
+    """Per turn, the context text before it: the last ``depth`` turns, then what was last called and computed.
+
+    The row ``next`` of a session holds the context for its coming question, newest turn included. A turn without a
+    response is shown as its question alone.
+    """
+    numbered = _with_next(
+        number_turns(log, slice_rows).select(
+            "session_id", "turn_no", "turn_id", "user_message", "assistant_response", "tool_calls",
+            "computation_results",
+        )
     )
+    reply = F.concat(F.lit("\nAssistant: "), F.col("assistant_response"))
+    line = F.concat(F.lit("User: "), F.col("user_message"), F.coalesce(reply, F.lit("")))
     seen = with_previous(numbered, SESSION, "turn_no", depth, line, "_lines", slice_rows, keep_slice=True)
     names = F.transform(
         _filled("tool_calls"), lambda c: F.coalesce(F.try_element_at(c, F.lit("tool_name")), F.lit("unknown"))
@@ -98,18 +110,20 @@ def recent_context(log: DataFrame, depth: int = 5, slice_rows: int = SLICE_ROWS)
 
 
 def qa_context(log: DataFrame, depth: int = 3, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Per turn, ``Q1: ... | A1: ... | Q2: ...`` over the last ``depth`` turns; empty at the start."""
-    numbered = number_turns(log, slice_rows).select(
-        "session_id", "turn_no", "turn_id", "user_message", "assistant_response"
+    """Per turn, ``Q1: ... | A1: ... | Q2: ...`` over the last ``depth`` turns; empty at the start.
+
+    The row ``next`` of a session is for its coming question. A turn without a response has no ``A`` part.
+    """
+    numbered = _with_next(
+        number_turns(log, slice_rows).select("session_id", "turn_no", "turn_id", "user_message", "assistant_response")
     )
     pair = F.struct("user_message", "assistant_response")
     seen = with_previous(numbered, SESSION, "turn_no", depth, pair, "_pairs", slice_rows)
 
     def labelled(p: Column, i: Column) -> Column:
         n = (i + 1).cast("string")
-        return F.concat(
-            F.lit("Q"), n, F.lit(": "), p["user_message"], F.lit(" | A"), n, F.lit(": "), p["assistant_response"]
-        )
+        answer = F.concat(F.lit(" | A"), n, F.lit(": "), p["assistant_response"])
+        return F.concat(F.lit("Q"), n, F.lit(": "), p["user_message"], F.coalesce(answer, F.lit("")))
 
     return seen.select(
         "session_id", "turn_id", F.array_join(F.transform("_pairs", labelled), " | ").alias("context")

@@ -207,8 +207,15 @@ def match_rows(
         F.min("_direct").alias("_direct"),
         F.min(_closest(F.lower(F.col("row_identifier")))).alias("_overlap"),
         F.min(F.when(F.col("_similar.label").isNotNull(), F.col("_similar"))).alias("_similar"),
-        # The first slice is enough for the first rows; for a request without a match it is the table's first.
-        F.min(F.struct("slice", _names(F.slice("labels", 1, listed_rows)).alias("names"))).alias("_tried"),
+        # The first rows of every slice, of which the first of all are listed.
+        F.flatten(
+            F.collect_list(
+                F.when(
+                    F.col("_direct").isNull(),
+                    F.transform(F.slice("labels", 1, listed_rows), lambda l: F.struct(l["ord"], l["label"])),
+                )
+            )
+        ).alias("_tried"),
     )
     close = F.lit(False)
     if overlap_first:
@@ -235,7 +242,7 @@ def match_rows(
         .when(kind == "partial", F.lit(0.8))
         .when(kind == "overlap", F.lit(0.5))
         .alias("row_score"),
-        F.when(kind.isNull(), F.col("_tried.names")).alias("rows_tried"),
+        F.when(kind.isNull(), _names(F.slice(F.array_sort("_tried"), 1, listed_rows))).alias("rows_tried"),
     )
     return requests.join(resolved, keys, "left")
 

@@ -139,7 +139,7 @@ def corpus_counts(records: DataFrame) -> DataFrame:
 
 
 def column_type_histogram(
-    records: DataFrame, schema: DataFrame, sample: int | None = 100
+    records: DataFrame, schema: DataFrame, sample: int | None = None
 ) -> DataFrame:
     """How many columns of each type the first ``sample`` records have; None covers the whole corpus."""
     if sample is None:
@@ -149,10 +149,12 @@ def column_type_histogram(
     return chosen.groupBy("column_type").agg(F.count(F.lit(1)).alias("columns"))
 
 
-def table_shapes(records: DataFrame, cells: DataFrame, sample: int = 10) -> DataFrame:
-    """Rows and columns of the tables of the first ``sample`` records that have one."""
-    chosen = first_records(records.select("split", "rec_ord"), sample)
-    wanted = cells.join(chosen, "rec_ord", "left_semi")
+def table_shapes(records: DataFrame, cells: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rows and columns of the tables of the first ``sample`` records that have one; None covers the whole corpus."""
+    wanted = cells
+    if sample is not None:
+        chosen = first_records(records.select("split", "rec_ord"), sample)
+        wanted = cells.join(chosen, "rec_ord", "left_semi")
     return (
         axis_labels(wanted)
         .groupBy("rec_ord", "record_id")

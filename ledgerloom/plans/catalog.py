@@ -574,7 +574,7 @@ def _(spark, folder):
 @_query("u1_union_splits")
 def _(spark, folder):
     keys = demo.record_keys(spark, folder)
-    train, dev = (records.list_records(keys, name, None) for name in ("train", "dev"))
+    train, dev = (keys.filter(F.col("split") == name) for name in ("train", "dev"))
     return train.unionByName(dev)
 
 

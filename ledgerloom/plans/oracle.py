@@ -264,8 +264,9 @@ chats AS (
   SELECT CAST(u.conv_id AS VARCHAR) AS session_id, u.turn AS seq, u.text AS user_message,
          a.text AS assistant_response,
          row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS turn_no
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')
+  FROM conversations u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')
 """
 
 
@@ -327,19 +328,22 @@ direct_best AS (
 def _context(source: str, tools: str, computed: str) -> str:
     """Context of the five turns before, with the state lines in the order they first appeared."""
     before = "OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f""", seen AS (
-  SELECT session_id, turn_no,
-         list('User: ' || user_message || chr(10) || 'Assistant: ' || assistant_response)
-           OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS lines,
-         last_value({tools} IGNORE NULLS) {before} AS last_tools,
-         bool_or({computed} IS NOT NULL) {before} AS computed_before,
-         min(CASE WHEN {tools} IS NOT NULL THEN turn_no END) OVER (PARTITION BY session_id) AS first_tool,
-         min(CASE WHEN {computed} IS NOT NULL THEN turn_no END) OVER (PARTITION BY session_id) AS first_computed
-  FROM {source}),
+    return f""", shown AS (
+  SELECT session_id, turn_no, 'turn_' || turn_no AS turn_id, {tools} AS called, {computed} AS result,
+         'User: ' || user_message || coalesce(chr(10) || 'Assistant: ' || assistant_response, '') AS line FROM {source}
+  UNION ALL SELECT session_id, max(turn_no) + 1, 'next', NULL, NULL, NULL FROM {source} GROUP BY session_id),
+seen AS (
+  SELECT session_id, turn_no, turn_id,
+         list(line) OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS lines,
+         last_value(called IGNORE NULLS) {before} AS last_tools,
+         bool_or(result IS NOT NULL) {before} AS computed_before,
+         min(CASE WHEN called IS NOT NULL THEN turn_no END) OVER (PARTITION BY session_id) AS first_tool,
+         min(CASE WHEN result IS NOT NULL THEN turn_no END) OVER (PARTITION BY session_id) AS first_computed
+  FROM shown),
 state AS (
   SELECT *, CASE WHEN last_tools IS NOT NULL THEN '- Last tool calls: [''' || array_to_string(last_tools, ''', ''') || ''']' END AS a,
          CASE WHEN computed_before THEN '- Recent computations available for reference' END AS b FROM seen)
-SELECT session_id, 'turn_' || turn_no AS turn_id,
+SELECT session_id, turn_id,
        CASE WHEN turn_no = 1 THEN 'This is the start of a new conversation.'
             ELSE 'Recent conversation history:' || chr(10) || array_to_string(lines, chr(10))
               || CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN chr(10) || chr(10) || 'Current context:' ELSE '' END
@@ -624,11 +628,14 @@ def oracle_sql() -> dict[str, str]:
     add("w1_turn_numbers", "SELECT session_id, seq, turn_no, 'turn_' || turn_no AS turn_id FROM log")
     add("w2_recent_context", _context("log", "tools", "computed"))
     add("w2_recent_context_chats", _context("chats", "CAST(NULL AS VARCHAR[])", "CAST(NULL AS VARCHAR)"))
-    add("w3_qa_context", """, seen AS (
-          SELECT session_id, turn_no, list({'u': user_message, 'a': assistant_response})
-            OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p FROM chats)
-        SELECT session_id, 'turn_' || turn_no AS turn_id,
-          coalesce(array_to_string(list_transform(p, lambda x, i: 'Q' || i || ': ' || x.u || ' | A' || i || ': ' || x.a), ' | '), '') AS context
+    add("w3_qa_context", """, open AS (
+          SELECT session_id, turn_no, 'turn_' || turn_no AS turn_id, user_message AS u, assistant_response AS a FROM chats
+          UNION ALL SELECT session_id, max(turn_no) + 1, 'next', NULL, NULL FROM chats GROUP BY session_id),
+        seen AS (
+          SELECT session_id, turn_id, list({'u': u, 'a': a})
+            OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p FROM open)
+        SELECT session_id, turn_id, coalesce(array_to_string(list_transform(p, lambda x, i: 'Q' || i || ': ' || x.u
+          || coalesce(' | A' || i || ': ' || x.a, '')), ' | '), '') AS context
         FROM seen""")
     add("w4_latest_state", """SELECT session_id, array_to_string(arg_max(tools, seq) FILTER (tools IS NOT NULL), '|') AS last_tools,
         arg_max(computed, seq) FILTER (computed IS NOT NULL) AS last_results,

@@ -23,8 +23,6 @@ _RECORD_TYPE = "STRUCT<" + RECORD_FIELDS.replace("id STRING", "id: STRING", 1).r
 ).replace("dialogue STRUCT", "dialogue: STRUCT", 1).replace("features MAP", "features: MAP", 1) + ">"
 OBJECT_SCHEMA = f"train ARRAY<{_RECORD_TYPE}>, dev ARRAY<{_RECORD_TYPE}>"
 
-# Above this many row labels, a table's row order is found by a shuffle instead of inside its record.
-LABELS_IN_PLACE = 1000
 _COLUMN_SPAN = 1 << 32
 
 
@@ -150,44 +148,28 @@ def normalize_records(corpus: DataFrame) -> DataFrame:
 
 
 def normalize_cells(corpus: DataFrame) -> DataFrame:
+    """One row per value; row labels are numbered as they first appear, column by column."""
     columns = F.map_entries("doc.table")
-    labels = F.array_distinct(F.flatten(F.transform(columns, lambda c: F.map_keys(c["value"]))))
+    first = F.get(F.flatten(F.transform(columns, lambda c: F.map_keys(c["value"]))), F.lit(0))
     # A column without any value keeps its place through one empty cell.
-    empty = F.create_map(F.get("_labels", F.lit(0)), F.lit(None).cast("string"))
-    per_column = (
-        corpus.select("split", "rec_ord", F.col("id").alias("record_id"), columns.alias("_columns"),
-                      labels.alias("_labels"))
-        .filter(F.size("_labels") > 0)
-        .select("split", "rec_ord", "record_id", "_labels", F.posexplode("_columns").alias("col_ord", "_column"))
-    )
+    empty = F.create_map("_first", F.lit(None).cast("string"))
+    values = F.when(F.size("_column.value") > 0, F.col("_column.value")).otherwise(empty)
     base = ["split", "rec_ord", "record_id", "col_ord", "col_name"]
-    cells = per_column.select(
-        "split",
-        "rec_ord",
-        "record_id",
-        "_labels",
-        "col_ord",
-        F.col("_column.key").alias("col_name"),
-        F.when(F.size("_column.value") > 0, F.col("_column.value")).otherwise(empty).alias("_values"),
-    )
-    in_place = (
-        cells.filter(F.size("_labels") <= LABELS_IN_PLACE)
-        .select(*base, "_labels", F.explode("_values").alias("row_name", "raw"))
-        .select(*base, (F.array_position("_labels", F.col("row_name")) - 1).cast("int").alias("row_ord"),
-                "row_name", "raw")
-    )
-    tall = cells.filter(F.size("_labels") > LABELS_IN_PLACE).select(
-        *base, F.posexplode("_values").alias("_pos", "row_name", "raw")
+    cells = (
+        corpus.select("split", "rec_ord", F.col("id").alias("record_id"), columns.alias("_columns"), first.alias("_first"))
+        .filter(F.col("_first").isNotNull())
+        .select("split", "rec_ord", "record_id", "_first", F.posexplode("_columns").alias("col_ord", "_column"))
+        .select("split", "rec_ord", "record_id", "col_ord", F.col("_column.key").alias("col_name"), values.alias("_values"))
+        .select(*base, F.posexplode("_values").alias("_pos", "row_name", "raw"))
     )
     key = ["rec_ord", "record_id"]
-    seen = tall.groupBy(*key, "row_name").agg(
+    seen = cells.groupBy(*key, "row_name").agg(
         F.min(F.col("col_ord").cast("long") * _COLUMN_SPAN + F.col("_pos")).alias("_seen")
     )
     order = number_rows(seen, key, "_seen", "_number").select(
         *key, "row_name", (F.col("_number") - 1).cast("int").alias("row_ord")
     )
-    shuffled = tall.join(order, [*key, "row_name"]).select(*base, "row_ord", "row_name", "raw")
-    return in_place.unionByName(shuffled)
+    return cells.join(order, [*key, "row_name"]).select(*base, "row_ord", "row_name", "raw")
 
 
 def normalize_turns(corpus: DataFrame) -> DataFrame:

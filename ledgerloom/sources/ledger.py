@@ -18,7 +18,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger so far; empty when it does not exist yet."""
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
@@ -51,7 +53,7 @@ def evaluate_incremental(
 ) -> DataFrame:
     """Score the records that have predictions and are not in the ledger, append them, return the ledger.
 
-    The append is one atomic job, so a failed run leaves the ledger as it was and can simply be repeated.
+    The append is one job, committed as the file system's committer does; a run that failed can be repeated.
     """
     spark = preds.sparkSession
     open_turns = remaining(limit_turns(turns, max_records, max_questions), read_ledger(spark, ledger_path))

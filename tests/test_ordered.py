@@ -119,6 +119,15 @@ def test_recent_context(spark):
     assert "Question 1" not in contexts["turn_4"]
 
 
+def test_context_of_the_coming_question(spark):
+    log = build_log(spark, 3)
+    coming = dialogue.recent_context(log, depth=2, slice_rows=3).filter("turn_id = 'next'").first().context
+    assert "Question 2" in coming and "Answer 3" in coming and "Question 1" not in coming
+    waiting = log.withColumn("assistant_response", F.when(F.col("seq") < 3, F.col("assistant_response")))
+    last = dialogue.qa_context(waiting).filter("turn_id = 'next'").first().context
+    assert last == "Q1: Question 1 | A1: Answer 1 | Q2: Question 2 | A2: Answer 2 | Q3: Question 3"
+
+
 def test_qa_context_and_entities(spark):
     log = build_log(spark, 5, entities=[1, 4])
     last = dialogue.qa_context(log, slice_rows=4).filter("turn_id = 'turn_5'").first().context
@@ -134,4 +143,4 @@ def test_pairing(spark):
                 (2, 0, "user", "x"), (2, 1, "user", "y"), (2, 2, "assistant", "z")]
     frame = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.seq, r.user_message, r.assistant_response) for r in dialogue.pair_messages(frame).collect()}
-    assert got == {(1, 1, "q1", "a1"), (2, 1, "y", "z")}
+    assert got == {(1, 1, "q1", "a1"), (1, 3, "q2", None), (2, 0, "x", None), (2, 1, "y", "z")}

@@ -71,11 +71,6 @@ def test_line_and_parquet_corpora(spark, tmp_path):
     check(corpus.parse_records(spark.read.text(str(lines))))
 
 
-def test_tall_tables_take_the_shuffled_path(spark, corpus_file, monkeypatch):
-    monkeypatch.setattr(corpus, "LABELS_IN_PLACE", 1)
-    check(corpus.read_corpus(spark, corpus_file))
-
-
 @pytest.mark.parametrize("content", ["", "[1]", '{"train": []}', "{broken", '{"train": {}, "dev": 3}',
                                      '{"train": [{"id": "x"}], "dev": []}'])
 def test_bad_corpora(spark, tmp_path, content):
