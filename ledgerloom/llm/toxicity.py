@@ -192,7 +192,7 @@ def learn_lexicon(texts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
                 times = np.minimum(times, MOST_COUNTED)
                 keys, place = np.unique(found.key, return_inverse=True)
                 sums = [
-                    np.bincount(place, weights=w, minlength=len(keys))
+                    np.bincount(place, weights=w, minlength=len(keys)).astype(np.float64)
                     for w in (times * toxic, times * ~toxic, toxic.astype(float))
                 ]
                 columns = [pa.array(np.full(len(keys), length, np.int64)), pa.array(keys.view(np.int64)), *map(pa.array, sums)]
