@@ -250,6 +250,7 @@ def match_rows(
 def get_values(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Cell lookup for (request_id, record_id, row_identifier, column_identifier).
 
+    ``cells`` must hold one table per record id; where ids repeat, take the cells of ``records.usable_records``.
     Formatted amounts come back as numbers, other values as trimmed text. ``status`` tells what was missing,
     and ``available`` the labels there were to choose from.
     """

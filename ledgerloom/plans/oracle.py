@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions import text as words
-from ledgerloom.functions.numeric import CANDIDATE_PATTERNS, FLOAT_LITERAL, PLAIN_NUMBER, SPACE_CHARS
-from ledgerloom.functions.programs import CONSTANTS
-from ledgerloom.operators.evaluation import PUBLISHED
+from ledgerloom.plans import expected as words
+from ledgerloom.plans.expected import CANDIDATE_PATTERNS, CONSTANTS, FLOAT_LITERAL, PLAIN_NUMBER, PUBLISHED, SPACE_CHARS
 
 _BLANKS = "'" + SPACE_CHARS + "'"
 _FLOAT = "'" + FLOAT_LITERAL + "'"
