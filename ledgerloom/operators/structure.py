@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import has_financial_content, is_time_label
@@ -39,66 +39,47 @@ def _classified(counts: DataFrame) -> DataFrame:
     )
 
 
-def _count_labels(flagged: DataFrame) -> DataFrame:
-    is_col = F.col("axis") == "col"
-    return flagged.groupBy(*KEY).agg(
+def _label_counts(is_col: Column) -> list[Column]:
+    return [
         F.count_if(~is_col).alias("row_count"),
         F.count_if(is_col).alias("column_count"),
         F.count_if(is_col & F.col("hit")).alias("time_columns"),
         F.count_if(~is_col & F.col("hit")).alias("metric_rows"),
-    )
+    ]
 
 
 def classify_structure(cells: DataFrame) -> DataFrame:
     """Structure and confidence per table, with the counts they rest on."""
-    return _classified(_count_labels(_flagged(cells)))
-
-
-def _first_names(flagged: DataFrame, count: int) -> DataFrame:
-    """First ``count`` hit labels per axis; the rank filter is applied before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*KEY, "axis").orderBy("ord"))
-    return (
-        flagged.filter("hit")
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= count)
-        .groupBy(*KEY)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("axis") == "col", F.struct("ord", "label")))).alias("_cols"),
-            F.array_sort(F.collect_list(F.when(F.col("axis") == "row", F.struct("ord", "label")))).alias("_rows"),
-        )
-    )
+    return _classified(_flagged(cells).groupBy(*KEY).agg(*_label_counts(F.col("axis") == "col")))
 
 
-def _all_names(flagged: DataFrame, structure: DataFrame) -> DataFrame:
-    """All hit labels, for mixed tables only: their guide names every one of them."""
-    mixed = structure.filter("structure = 'mixed'").select(*KEY)
-    return (
-        flagged.filter("hit")
-        .join(mixed, KEY, "left_semi")
-        .groupBy(*KEY)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("axis") == "col", F.struct("ord", "label")))).alias("_all_cols"),
-            F.array_sort(F.collect_list(F.when(F.col("axis") == "row", F.struct("ord", "label")))).alias("_all_rows"),
+def _with_names(flagged: DataFrame) -> DataFrame:
+    """Counts and structure per table, with all hit labels of each axis in order; they fit a row as the table did."""
+    is_col = F.col("axis") == "col"
+    named = F.struct("ord", "label")
+    return _classified(
+        flagged.groupBy(*KEY).agg(
+            *_label_counts(is_col),
+            F.array_sort(F.collect_list(F.when(is_col & F.col("hit"), named))).alias("_all_cols"),
+            F.array_sort(F.collect_list(F.when(~is_col & F.col("hit"), named))).alias("_all_rows"),
         )
     )
 
 
-def _joined(names: str) -> Column:
+def _joined(names: Column | str) -> Column:
     return F.coalesce(F.array_join(F.transform(names, lambda s: s["label"]), ", "), F.lit(""))
 
 
 def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """``classify_structure`` plus the reading guide as a map, and the column types when a schema is given."""
-    flagged = _flagged(cells)
-    structure = classify_structure(cells)
-    joined = structure.join(_first_names(flagged, 3), KEY, "left").join(
-        _all_names(flagged, structure), KEY, "left"
-    )
+    joined = _with_names(_flagged(cells))
+    first_cols, first_rows = F.slice("_all_cols", 1, 3), F.slice("_all_rows", 1, 3)
     size = {c: F.col(c).cast("string") for c in ("row_count", "column_count", "time_columns", "metric_rows")}
 
     def more(count: str) -> Column:
         return F.when(F.col(count) > 3, F.lit("...")).otherwise(F.lit(""))
 
+    # The sentences of the guides.
     def guide(**entries: Column | str) -> Column:
         flat = []
         for name, text in entries.items():
@@ -110,8 +91,8 @@ def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFr
             F.lit("Time series financial data with "), size["time_columns"],
             F.lit(" time periods and "), size["metric_rows"], F.lit(" identified metrics"),
         ),
-        columns=F.concat(F.lit("Columns represent time periods: "), _joined("_cols"), more("time_columns")),
-        rows=F.concat(F.lit("Rows represent financial metrics: "), _joined("_rows"), more("metric_rows")),
+        columns=F.concat(F.lit("Columns represent time periods: "), _joined(first_cols), more("time_columns")),
+        rows=F.concat(F.lit("Rows represent financial metrics: "), _joined(first_rows), more("metric_rows")),
         reading_guide="Each cell shows the value of a financial metric for a specific time period",
         analysis_suggestion="Use time-based comparisons and trend analysis for insights",
     )
@@ -151,7 +132,7 @@ def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFr
     )
     kind = F.col("structure")
     result = joined.select(
-        *structure.columns,
+        *[c for c in joined.columns if not c.startswith("_")],
         F.when(kind == "time_series", series)
         .when(kind == "metrics_by_categories", categories)
         .when(kind == "mixed", mixed)
