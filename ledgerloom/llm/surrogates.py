@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed, type-consistent replacements, in built-in expressions only.
 
-E-mail addresses, IPv4 addresses, phone numbers, card numbers and person names are found by one pattern,
-leftmost first. Each gets a replacement of the same kind and format:
+E-mail addresses, IPv4 addresses, phone numbers, card numbers, social security numbers and person names are found by
+one pattern, leftmost first. Each gets a replacement of the same kind and format:
 
 * digits, plain letters, accented letters and Cyrillic letters are each permuted as a sequence of their own and put
   back in place, in the case they had, so length, punctuation, case and script stay;
@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL, IP, PHONE, CARD, NAME = "email", "ip", "phone", "card", "name"
-KINDS = (EMAIL, IP, PHONE, CARD, NAME)
+EMAIL, IP, PHONE, CARD, SSN, NAME = "email", "ip", "phone", "card", "ssn", "name"
+KINDS = (EMAIL, IP, PHONE, CARD, SSN, NAME)
 
 # First names by gender and script, in alphabetical order.
 FIRST_NAMES = {
@@ -40,8 +40,12 @@ _FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names)
 PATTERNS = {
     EMAIL: r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,255}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,63}",
     IP: r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    PHONE: r"(?<!\p{N})\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[.-][0-9]{2,5}|\x20[0-9]{2,5}(?![.0-9])){1,4}(?![0-9])",
+    PHONE: (
+        r"(?<!\p{N})\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[.-][0-9]{2,5}|\x20[0-9]{2,5}(?![.0-9])){1,4}(?![0-9])"
+        r"|(?<![0-9+(.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
+    ),
     CARD: r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
+    SSN: r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     NAME: rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?\x20(?:(?:{_FIRST})\x20)?|(?:{_FIRST})\x20){_WORD}(?!\p{{L}})",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -142,6 +146,10 @@ def _phone(value: Column, key: Column) -> Column:
     return F.concat(country, _one_alphabet(F.substr(value, F.length(country) + 1), ALPHABETS[0], key))
 
 
+def _digits(value: Column, key: Column) -> Column:
+    return _one_alphabet(value, ALPHABETS[0], key)
+
+
 def _card(value: Column, key: Column) -> Column:
     def checked(front: Column, last: Column) -> Column:
         def finished(new: Column) -> Column:
@@ -172,8 +180,9 @@ def _name(value: Column, key: Column) -> Column:
 def kind_of(match: Column) -> Column:
     return (
         F.when(match.contains("@"), EMAIL)
-        .when(match.startswith("+"), PHONE)
-        .when(match.rlike(r"^[0-9]+\."), IP)
+        .when(match.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}\z"), IP)
+        .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), SSN)
+        .when(match.rlike(r"^(?:[+(]|[0-9]{3}[.-][0-9]{3}[.-])"), PHONE)
         .when(match.rlike("^[0-9]"), CARD)
         .otherwise(NAME)
     )
@@ -181,7 +190,7 @@ def kind_of(match: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, key: Column) -> Column:
     """The replacement of a value; the key of each kind is its own."""
-    make = {EMAIL: _email, IP: _ip, PHONE: _phone, CARD: _card, NAME: _name}
+    make = {EMAIL: _email, IP: _ip, PHONE: _phone, CARD: _card, SSN: _digits, NAME: _name}
     out = F.lit(None).cast("string")
     for name, of in make.items():
         out = F.when(kind == name, of(value, F.concat(key, F.lit(f"|{name}")))).otherwise(out)

@@ -43,6 +43,7 @@ PERSONAL = [
     "Mrs Anna Müller met John O'Brien and Иван Петров; Herr Schmidt too. John O'Brien left.",
     "no data: 1.2.3, version 3. 2.0. 999.1.1.1",
     "+1 (826) 555-4081 190.137.223.204 and +1 (826) 555-4081",
+    "call (212) 555-0123 or 212.555.0123, number 078-05-1120; parts 12-34-5678 and 1-2-3",
 ]
 
 
@@ -69,14 +70,15 @@ def test_surrogates_keep_kind_and_format(replaced):
                 assert shape(e.surrogate) == shape(e.value) + ".aaaaaaa"
             elif e.kind == "ip":
                 assert all(0 <= int(x) <= 255 for x in e.surrogate.split("."))
-            elif e.kind in ("phone", "card"):
+            elif e.kind in ("phone", "card", "ssn"):
                 assert shape(e.surrogate) == shape(e.value)
             if e.kind == "card":
                 assert luhn(e.surrogate) == luhn(e.value)
-            if e.kind == "phone":
+            if e.kind == "phone" and e.value[0] == "+":
                 assert e.surrogate.startswith("+1 ")
     assert [e.kind for e in replaced[2].entities] == ["email", "email", "phone", "ip"]
     assert [e.kind for e in replaced[6].entities] == ["phone", "ip", "phone"]
+    assert [e.kind for e in replaced[7].entities] == ["phone", "phone", "ssn"]
 
 
 def test_surrogates_keep_identity_gender_and_script(replaced):
