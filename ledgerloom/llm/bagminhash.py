@@ -353,9 +353,11 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("band")
     buckets = stored(bands.join(shared, "band", "left_semi"), "buckets")
     wanted = buckets.select("node").distinct()
-    texts = stored(
-        keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts"
-    )
+    # Copies of one text are dealt out, and met again only after each task has kept one of its own.
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salts = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = dealt.join(salts, ["node", "salt"], "left_semi")
+    texts = stored(some.groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = components(verified(_starred(buckets), texts))
     more = stored(_across(buckets, labels, texts), "links")
     raised = (
