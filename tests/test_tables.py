@@ -150,9 +150,9 @@ def test_totals(spark):
     types = tables.infer_column_types(cells)
     got = {(r.request_id, r.total_name): r.total for r in tables.column_totals(wanted, cells, types).collect()}
     assert got[(1, "c3_total")] == 3.0 and got[(1, "c1_total")] == pytest.approx(3.3)
-    assert got[(2, None)] is None
+    assert got[(2, None)] is None and got[(3, None)] is None  # every request has a row
     firsts = {r.request_id: r.col_name for r in tables.first_numeric_sum(wanted, cells, types).collect()}
-    assert firsts == {1: "c3", 3: "c1"}
+    assert firsts == {1: "c3", 2: None, 3: "c1"}
 
 
 def test_selection_and_head(spark):
