@@ -46,7 +46,7 @@ PATTERNS = {
     ),
     CARD: r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     SSN: r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    NAME: rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?\x20(?:(?:{_FIRST})\x20)?|(?:{_FIRST})\x20){_WORD}(?!\p{{L}})",
+    NAME: rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?\x20(?:(?:{_FIRST})\x20)?|(?:{_FIRST})\x20){_WORD}(?!\p{{L}})",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
