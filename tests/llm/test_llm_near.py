@@ -1,5 +1,6 @@
 """BagMinHash estimates, classes against brute force, and components."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -118,3 +119,19 @@ def test_components_of_a_long_path(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (101, 102), (100, 102), (200, 200)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[i] for i in range(n)} == {0} and {found[i] for i in (100, 101, 102)} == {100} and found[200] == 200
+
+
+def test_components_of_chains_in_several_orders(spark):
+    n = 1000
+    rising = list(range(n))
+    shuffled = random.Random(5).sample(rising, n)
+    zigzag = [x for pair in zip(rising[: n // 2], reversed(rising[n // 2 :])) for x in pair]
+    folded = sorted(rising, key=lambda x: f"{x:010b}"[::-1])
+    digests = sorted(rising, key=lambda x: hashlib.md5(str(x).encode()).digest())
+    edges, expected = [], {}
+    for at, order in enumerate((rising, rising[::-1], shuffled, zigzag, folded, digests)):
+        base = at * n
+        edges += [(base + x, base + y) for x, y in zip(order, order[1:])]
+        expected |= {base + x: base for x in order}
+    found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == expected
