@@ -110,7 +110,10 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return replaced.select(
         "doc_id",
         *[surrogates.count(kind).alias(f"n_{kind}") for kind in surrogates.KINDS],
-        (F.size(F.array_distinct(values)) == F.size(F.array_distinct(given))).alias("distinct_kept"),
+        (
+            (F.size(F.array_distinct(values)) == F.size(F.array_distinct(given)))
+            & ~F.exists("entities", surrogates.unchanged)
+        ).alias("distinct_kept"),
         "text",
     )
 

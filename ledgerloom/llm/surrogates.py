@@ -4,7 +4,8 @@ E-mail addresses, IPv4 addresses, phone numbers, card numbers, social security n
 one pattern, leftmost first. Each gets a replacement of the same kind and format:
 
 * digits, plain letters, accented letters and Cyrillic letters are each permuted as a sequence of their own and put
-  back in place, in the case they had, so length, punctuation, case and script stay;
+  back in place, in the case they had, so length, punctuation, case and script stay; every other letter and number of
+  Unicode is permuted among those of its own script, category and range of code points (``_ranges``);
 * the four numbers of an IPv4 address are permuted as numbers below 256;
 * a card number keeps the relation of its last digit to the Luhn check digit, so valid ones stay valid;
 * a phone number keeps its country code; an e-mail address ends in the reserved domain ``example``;
@@ -19,6 +20,9 @@ rows are rewritten alike; an empty table gives no rows. Only the columns kept an
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,41 @@ ALPHABETS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 )
 ROUNDS = 6
+#: Letters of fewer than these in their script, category and range are permuted with those of other scripts.
+LEAST_LETTERS = 16
+_PLAIN = "".join(sorted({x for a in ALPHABETS for c in a for x in (c, c.upper())}))
+#: A letter or number outside the alphabets.
+_OTHER = rf"[\p{{L}}\p{{N}}&&[^{_PLAIN}]]"
+
+
+def _ranges() -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(starts, runs): the letters and numbers outside ``ALPHABETS``, numbered group by group.
+
+    ``starts`` are the numbers at which groups start, and the end; a run (code point, length, number) holds code points
+    in a row with numbers in a row.
+    """
+    known = set("".join(ALPHABETS))
+    groups: dict[tuple, list[int]] = {}
+    for point in range(0x80, 0x110000):
+        c = chr(point)
+        kind = unicodedata.category(c)
+        if kind[0] in "LN" and c.lower() not in known:
+            script = unicodedata.name(c, "UNNAMED").split()[0].split("-")[0]
+            groups.setdefault((script, kind, point >> (16 if script in ("CJK", "HANGUL") else 8)), []).append(point)
+    for width in (lambda k: ("", k[1]), lambda k: ("", k[1][0])):
+        for key in [k for k, points in groups.items() if len(points) < LEAST_LETTERS]:
+            groups.setdefault(width(key), []).extend(groups.pop(key))
+    starts, runs, number = [], [], 0
+    for points in groups.values():
+        starts.append(number)
+        for _, row in groupby(enumerate(sorted(points)), lambda x: x[1] - x[0]):
+            row = [point for _, point in row]
+            runs.append((row[0], len(row), number))
+            number += len(row)
+    return [*starts, number], runs
+
+
+_STARTS, _RUNS = _ranges()
 
 
 def _let(value: Column, body) -> Column:
@@ -65,7 +104,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def permuted(numbers: Column, base: int, key: Column) -> Column:
+def permuted(numbers: Column, base: int | Column, key: Column) -> Column:
     """A keyed permutation of the sequences of numbers below ``base`` that have the same length."""
 
     def turn(pair: Column, round_: Column) -> Column:
@@ -75,12 +114,13 @@ def permuted(numbers: Column, base: int, key: Column) -> Column:
             lambda m: F.transform(
                 pair["a"],
                 lambda x, i: F.pmod(
-                    x + F.conv(F.substr(m, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(base)
+                    x + F.conv(F.substr(m, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int"), base
                 ),
             ),
         )
         return F.struct(pair["b"].alias("a"), shifted.alias("b"))
 
+    base = base if isinstance(base, Column) else F.lit(base)
     half = F.ceil(F.size(numbers) / 2).cast("int")
     ends = F.struct(
         F.slice(numbers, F.lit(1), half).alias("a"), F.slice(numbers, half + 1, F.size(numbers) - half).alias("b")
@@ -90,10 +130,65 @@ def permuted(numbers: Column, base: int, key: Column) -> Column:
 
 
 def _letters(value: Column, key: Column) -> Column:
-    """Permute the characters of each alphabet of a text among themselves; others, and the case, stay."""
+    """Permute the letters and numbers of each alphabet and range among themselves; others, and the case, stay."""
     for order, alphabet in enumerate(ALPHABETS):
         value = _one_alphabet(value, alphabet, F.concat(key, F.lit(f"|{order}")))
-    return value
+    return _let(value, lambda v: F.when(v.rlike(_OTHER), _other_letters(v, key)).otherwise(v))
+
+
+def _listed(numbers) -> Column:
+    """Numbers as one constant, instead of one expression each."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+
+def _last(numbers: Column, most: Column) -> Column:
+    """The place, from 0, of the last of ascending numbers that is not above ``most``."""
+    return F.size(F.filter(numbers, lambda x: x <= most)) - 1
+
+
+def _other_letters(value: Column, key: Column) -> Column:
+    starts, by_point = _listed(_STARTS), sorted(_RUNS)
+    points, lengths, numbers = (_listed(r[i] for r in by_point) for i in range(3))
+    numbers_in_order, points_in_order = (_listed(r[i] for r in _RUNS) for i in (2, 0))
+
+    def number(c: Column) -> Column:
+        """Of a letter; -1 for what is no letter outside the alphabets."""
+        of = lambda p, r: F.when(
+            (r >= 0) & (p < F.get(points, r) + F.get(lengths, r)), F.get(numbers, r) + p - F.get(points, r)
+        ).otherwise(F.lit(-1))
+        return _let(F.ascii(c), lambda p: _let(_last(points, p), lambda r: of(p, r)))
+
+    def letter(n: Column) -> Column:
+        point = _let(_last(numbers_in_order, n), lambda r: F.get(points_in_order, r) + n - F.get(numbers_in_order, r))
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    def one_group(found: Column, group: Column) -> Column:
+        start, end = F.get(starts, group), F.get(starts, group + 1)
+        inside = lambda x: (x >= start) & (x < end)
+        new = permuted(F.transform(F.filter(found, inside), lambda x: x - start), end - start, F.concat_ws("|", key, F.lit("other"), group.cast("string")))
+
+        def placed(new: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                rank = F.size(F.filter(F.slice(found, F.lit(1), i + 1), inside))
+                return F.when(inside(x), (F.get(new, rank - 1) + start).cast("int")).otherwise(x)
+
+            return F.transform(found, at)
+
+        return _let(new, placed)
+
+    def all_groups(found: Column) -> Column:
+        groups = F.array_distinct(F.transform(F.filter(found, lambda x: x >= 0), lambda x: _last(starts, x)))
+        return F.aggregate(groups, found, one_group)
+
+    def joined(chars: Column, found: Column) -> Column:
+        return F.array_join(F.transform(chars, lambda c, i: F.when(F.get(found, i) < 0, c).otherwise(letter(F.get(found, i)))), "")
+
+    return _let(
+        F.split(value, ""),
+        lambda chars: _let(
+            F.transform(chars, number), lambda found: _let(all_groups(found), lambda new: joined(chars, new))
+        ),
+    )
 
 
 def _one_alphabet(value: Column, alphabet: str, key: Column) -> Column:
@@ -231,6 +326,11 @@ def count(kind: str) -> Column:
     return F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long")
 
 
+def unchanged(entity: Column) -> Column:
+    """Whether a value came out as it went in; the reserved domain alone does not change an address."""
+    return entity["surrogate"].isin(entity["value"], F.concat(entity["value"], F.lit(".example")))
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
     """(kind, surrogate, n) of surrogates that stand for more than one value, or values with more than one."""
     pairs = replaced.select(F.explode("entities").alias("e")).select("e.*").distinct()

@@ -1,5 +1,6 @@
 """Quality rules, surrogates and conversations on small tables."""
 
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -104,6 +105,26 @@ def test_surrogates_never_meet(spark):
     assert other.join(found.filter("text LIKE '%@%'"), "text", "left_semi").count() < 20
 
 
+FOREIGN = ["Παπαδόπουλος", "Łęckiżść", "Čapková", "Ґжицькїєв", "Ğüneşoğlu"]
+LOCALS = ["γιώργος", "محمدعلي", "ישראלה", "王小明李", "김철수박", "žofiečš", "たなかさん", "𠀋𠀌𠀍𠀎", "७८९४२"]
+
+
+def test_surrogates_leave_no_letter_as_it_was(spark):
+    texts = [f"Dr. {n}" for n in FOREIGN] + [f"{n}@x.org" for n in LOCALS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = surrogates.replace_personal_data(docs, "key", ["id"])
+    rows = found.orderBy("id").collect()
+    for text, row in zip(texts, rows):
+        (e,) = row.entities
+        old, new = (x.removeprefix("Dr. ").split("@")[0] for x in (e.value, e.surrogate))
+        assert text == e.value and row.text == e.surrogate and old != new and len(old) == len(new)
+        assert [unicodedata.category(c) for c in old] == [unicodedata.category(c) for c in new]
+    assert surrogates.collisions(found).count() == 0
+    assert found.filter(F.exists("entities", surrogates.unchanged)).count() == 0
+    singles = spark.createDataFrame([(chr(c) + "@x.org",) for c in range(0x4E00, 0x4E00 + 600)], "text string")
+    assert surrogates.collisions(surrogates.replace_personal_data(singles, "key", [])).count() == 0
+
+
 TURNS = [
     (1, 0, "user", "hello"),
     (1, 1, "assistant", "hi"),
