@@ -40,6 +40,11 @@ class Kind:
 
 
 _NAMES = "|".join([*map(_either_case, ("password", "passwd", "secret", "token")), _either_case("api") + "_?" + _either_case("key")])
+_PARTS = {w: _either_case(w) for w in ("access", "client", "account", "key", "id", "name", "https", "jdbc", "redis", "mongodb", "postgresql", "mysql", "amqp", "s3")}
+#: Names of identifiers in any case, with or without a separator: CLIENT_ID, storageAccountName, accessKeyId.
+_ID_NAMES = "(?:{access}|{client}|{account}|{key})[_-]?(?:{id}|{name}|{key}[_-]?{id})".format(**_PARTS)
+_SCHEMES = "{https}?|{jdbc}:[A-Za-z]+|{redis}|{mongodb}|{postgresql}|{mysql}|{amqp}|{s3}".format(**_PARTS)
+_VALUE = "[A-Za-z0-9_.@-]"
 _GIVEN = r"""["']?\x20*[:=]\x20*["']?"""
 #: In the order in which spans of equal start are listed. A run of 24 or more hex digits is a whole run of hex
 #: digits, and a run from AKIA on that is too short holds no longer one, so both bounds stand in the patterns.
@@ -49,12 +54,14 @@ KINDS = (
     Kind("hex", "[0-9a-f]{24,}", SECRET, True),
     Kind(
         "key_id",
-        f"(?:access|client|account|key)[_-](?:id|name|key_id){_GIVEN}[A-Za-z0-9_.@-]{{4,}}",
+        # The names of the SQL check match as they do there; a value of the other forms that holds a pair is none.
+        f"(?:(?:access|client|account|key)[_-](?:id|name|key_id){_GIVEN}"
+        f"|{_ID_NAMES}{_GIVEN}(?!{_VALUE}*?{_ID_NAMES}{_GIVEN}{_VALUE}{{4}})){_VALUE}{{4,}}",
         IDENTIFIER,
         False,
     ),
     Kind("opaque", r"\b[A-Za-z0-9+/]{40}\b", SECRET, False),
-    Kind("endpoint", r"""(?:https?|jdbc:[a-z]+|redis|mongodb|postgresql|mysql|amqp|s3)://[^\x00-\x20"'<>]+""", ENDPOINT, False),
+    Kind("endpoint", rf"""(?:{_SCHEMES})://[^\x00-\x20"'<>]+""", ENDPOINT, False),
 )
 NEEDS = {IDENTIFIER: SECRET, SECRET: IDENTIFIER, ENDPOINT: SECRET}
 #: Positions summed one after the other; running sums of n lengths take n * RUN + (n / RUN) ** 2 steps.

@@ -162,3 +162,22 @@ def test_redaction(spark):
         left = "".join(c for i, c in enumerate(row.text or "") if i not in covered)
         assert (row.clean or "").replace("[SECRET]", "") == left
         assert row.clean == row.text or row.spans
+
+
+def test_secret_names_in_any_case(spark):
+    token = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6kL9n"
+    assert len(token) == 40
+    names = ["CLIENT_ID=app-4711", "STORAGE_ACCOUNT_NAME=store7", "AWS_ACCESS_KEY_ID=ASIAQWERTYUIOP", "ClientId: app4711", "accessKeyId = 'ASIAXYZ1234'", "client_id=app-4711", "accountName=client_id=abcd"]
+    texts = [f"{n}\nvalue {token}\n" for n in names] + [f"JDBC:MySQL://host/db {token}", f"HTTPS://host/x {token}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(docs, ["doc_id", "text"]).withColumn("clean", secrets.redacted("text", "spans"))
+    for row in found.orderBy("doc_id").collect():
+        kinds = [secrets.KINDS[s.kind].name for s in row.spans]
+        if row.doc_id < len(names):
+            assert kinds == ["key_id", "opaque"] and token not in row.clean
+            assert row.text[row.spans[0].end :].startswith(("\n", "'"))
+        else:
+            assert kinds == ["endpoint"]  # it needs a secret, and the opaque token needs an identifier
+    spans = spark.createDataFrame([("password=hunter22 JDBC:MySQL://host/db",)], "text string")
+    (row,) = secrets.find_secrets(spans, []).collect()
+    assert [secrets.KINDS[s.kind].name for s in row.spans] == ["assign", "endpoint"]
