@@ -6,7 +6,7 @@ is cut; its first segment is the ``response`` record with ``WARC-Segment-Number:
 of at least ``revisit_bytes`` bytes, those with the smallest id are responses and the others revisits.
 
 Reading: files are split at the version line, so Spark reads large archives in parallel. Chunks are cut so that no
-block holds that line. Continuations are grouped by origin and ordered by segment number; the total length,
+block holds that line, and a url or id that ends in it is escaped (``Mark-Escaped``). Continuations are grouped by origin and ordered by segment number; the total length,
 the chunk framing and the payload digest are verified. Records that are whole in one segment are not shuffled.
 
 Defined results: a null payload is empty. A null id or url is archived as an absent field and comes back null. Rows
@@ -90,6 +90,11 @@ def _fields(values: dict[str, Column]) -> Column:
     return F.concat(*[F.coalesce(line, F.lit("")) for line in lines])
 
 
+def _unmarked(value: Column) -> Column:
+    """A value that does not end in the version mark: its last digit is percent-encoded."""
+    return F.regexp_replace(value.cast("string"), r"WARC/1\.1\z", "WARC/1.%31")
+
+
 def write(
     pages: DataFrame,
     path: str,
@@ -125,12 +130,15 @@ def write(
     key = [F.col("id"), F.col("url"), F.col("digest")]
     number = F.when(F.col("n") > 1, F.col("at") + 1)
     head = F.col("at") == 0
+    ends = {n: F.col(n).cast("string").endswith(VERSION.strip()) for n in ("id", "url")}
+    escaped = F.concat_ws(" ", *[F.when(e, F.lit(n)) for n, e in ends.items()])
     fields = {
         "WARC-Type": F.when(~head, "continuation").when(F.col("later"), "revisit").otherwise("response"),
         "WARC-Record-ID": F.when(head, _record_id(*key)).otherwise(_record_id(*key, F.col("at") + 1)),
         "WARC-Date": F.lit(date),
-        "WARC-Target-URI": F.col("url"),
-        "Page-ID": F.when(head, F.col("id")),
+        "WARC-Target-URI": _unmarked(F.col("url")),
+        "Page-ID": F.when(head, _unmarked(F.col("id"))),
+        "Mark-Escaped": F.when(escaped != "", escaped),
         "WARC-Payload-Digest": F.when(head, F.concat(F.lit("sha256:"), "digest")),
         "WARC-Refers-To": F.when(
             head & F.col("later"), _record_id(F.col("first.id"), F.col("first.url"), F.col("digest"))
@@ -204,6 +212,9 @@ def parse(record: bytes) -> dict:
         name, _, value = line.partition(b":")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     out: dict = {n: fields.get(f) for n, f in _HEADER.items()}
+    for n in fields.get("mark-escaped", "").split():
+        if n in ("id", "url") and (out[n] or "").endswith("%31"):
+            out[n] = out[n].removesuffix("%31") + "1"
     for n in ("segment", "total"):
         out[n] = int(out[n]) if (out[n] or "").isdecimal() else None
     stated = fields.get("content-length", "")

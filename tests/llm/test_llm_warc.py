@@ -84,3 +84,12 @@ def test_dangling_revisit(spark, pages):
     lone = shared_folder(spark, "warc-test")
     text.selectExpr("concat('WARC/1.1\r\n', trim(TRAILING '\r\n' FROM value)) AS value").write.option("lineSep", "\r\n\r\n\r\n\r\n").text(lone)
     assert [r.status for r in warc.read(spark, lone).collect()] == ["DANGLING"]
+
+
+def test_url_or_id_that_ends_in_the_version_mark(spark):
+    body = b"<p>" + b"q" * 3000
+    rows = [("1", "http://a/WARC/1.1", body), ("2", "http://a/WARC/1.%31", b"other"), ("WARC/1.1", "http://b/WARC/1.1", body)]
+    path = shared_folder(spark, "warc-test")
+    warc.write(spark.createDataFrame(rows, "page_id string, url string, html binary"), path, "page_id", "url", "html", segment_bytes=1000)
+    found = {(r.id, r.url, r.payload_bytes, r.status) for r in warc.read(spark, path).collect()}
+    assert found == {(i, u, len(b), "ok") for i, u, b in rows}
