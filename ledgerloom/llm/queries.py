@@ -9,8 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bagminhash, bytebpe, chatcollapse, decontaminate, quality_rules, qualityscore, secrets, sql, surrogates, toxicity, warc
-from ledgerloom.llm.labelled import fold
+from ledgerloom.llm import (
+    bagminhash, bytebpe, chatcollapse, decontaminate, fillmiddle, merkle, quality_rules, qualityscore,
+    secrets, sql, surrogates, toxicity, warc,
+)
+from ledgerloom.llm.labelled import fold, stored
 from ledgerloom.session import shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -130,6 +133,38 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaves = docs.select(
+        merkle.tree_of("lang").alias("tree"),
+        "doc_id",
+        merkle.leaf([*columns, F.col("text")]).alias("digest"),
+        F.when(tampered, merkle.leaf([*columns, lowered])).alias("tampered"),
+    )
+    placed = stored(merkle.ranked(leaves, ["doc_id", "digest"]), "merkle-leaves")
+    manifest = merkle.build(placed)
+    kept = F.struct("doc_id", F.col("digest").alias("leaf"), F.coalesce("tampered", "digest").alias("now"))
+    proofs = manifest.proofs(placed.select("tree", "place", "n", kept.alias("kept")))
+    found = proofs.select(
+        "kept.doc_id", "kept.leaf", "subroot", "root",
+        merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded(F.col("kept.now")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fillmiddle.fill_in_middle(_table(spark, folder, "documents"), ["doc_id"])
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fillmiddle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -142,6 +177,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_surrogates": op9_surrogates,
         "op10_quality_score": op10_quality_score,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
     }
 

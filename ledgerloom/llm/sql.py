@@ -157,5 +157,94 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
 )
 
 
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+           FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a,
+             greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid,
+             array_to_string(us[b + 1:], '') AS suf,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50
+                  THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: Levels that the SQL spells out, above the leaves of a group and above the groups.
+_LEVELS, _TOP_LEVELS = 6, 3
+
+
+def _runs(name: str, start: str, levels: int) -> str:
+    """Tables of a tree level by level: nodes (tree, i, n, d) and runs (tree, i, n, ds); a lone node stays."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT tree, i // 8 AS i, any_value(n) AS n, list(d ORDER BY i) AS ds FROM {name}{k} GROUP BY tree, i // 8)")
+        out.append(
+            f"{name}{k + 1} AS (SELECT tree, i, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE 1 END AS n, "
+            f"CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM {name}r{k})"
+        )
+    return ",\n".join(out)
+
+
+def _path(name: str, place: str, tree: str, levels: int) -> tuple[str, str, str]:
+    """Columns of siblings left and right of each level (null where the tree has ended), joins, and their names."""
+    columns, joins = [], []
+    for k in range(levels):
+        run, at = f"{place} // {8 ** (k + 1)}", f"({place} // {8**k}) % 8"
+        joins.append(f"JOIN {name}r{k} ON {name}r{k}.tree = {tree} AND {name}r{k}.i = {run}")
+        for side, part in (("l", f"ds[1:{at}]"), ("r", f"ds[{at} + 2:]")):
+            columns.append(f"CASE WHEN {name}r{k}.n > 1 THEN array_to_string({name}r{k}.{part}, '') END AS {name}{side}{k}")
+    return ", ".join(columns), " ".join(joins), ""
+
+
+def _op11() -> str:
+    columns, joins, _ = _path("x", "x.i", "x.tree", _LEVELS)
+    top_columns, top_joins, _ = _path("y", "y.i", "''", _TOP_LEVELS)
+    pairs = [("x", k) for k in range(_LEVELS)] + [("y", k) for k in range(_TOP_LEVELS)]
+    folds, node = [], "now"
+    for at, (name, k) in enumerate(pairs):
+        folds.append(f"f{at} AS (SELECT *, CASE WHEN {name}l{k} IS NULL THEN {node} ELSE sha256({name}l{k} || {node} || {name}r{k}) END AS node{at} FROM {f'f{at - 1}' if at else 'p'})")
+        node = f"node{at}"
+    siblings = " || ".join(f"coalesce({name}l{k} || {name}r{k}, '')" for name, k in pairs)
+    crc = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, z: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)"""
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH leaves AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {_leaf('text')} AS leaf,
+    CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {_leaf(lowered)} ELSE {_leaf('text')} END AS now FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_runs('x', 'SELECT tree, i, n, leaf AS d FROM x', _LEVELS)},
+y AS (SELECT tree AS name, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n, d FROM x{_LEVELS}),
+{_runs('y', "SELECT '' AS tree, i, n, d FROM y", _TOP_LEVELS)},
+top AS (SELECT y.name, y.d AS subroot, z.d AS root, {top_columns} FROM y {top_joins}, y{_TOP_LEVELS} z),
+p AS (SELECT x.doc_id, x.leaf, x.now, top.*, {columns} FROM x JOIN top ON top.name = x.tree {joins}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, {node} AS folded_root, {node} = root AS verified
+FROM f{len(pairs) - 1}
+"""
+
+
+OP11 = _op11()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op7_chat_collapse": OP7, "op8_quality_rules": OP8}
+    return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op7_chat_collapse": OP7, "op8_quality_rules": OP8,
+            "op11_merkle_manifest": OP11, "op13_fill_middle": OP13}

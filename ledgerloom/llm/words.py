@@ -11,6 +11,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes per run of powers; sums of longer texts carry on from run to run.
 _POWERS = 1 << 16
+#: Bytes whose sums are held at once.
+RUN = 1 << 18
 
 
 def _table(base: np.uint64) -> np.ndarray:
@@ -91,18 +93,35 @@ class Words:
         """Index of the first word of each text, and one more entry."""
         return np.searchsorted(self.start, self.offsets)
 
-    @cached_property
-    def _sums(self) -> np.ndarray:
-        powers = _power(_DOWN, np.arange(len(self.data), dtype=np.int64))
-        out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers, out=out[1:])
-        return out
-
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the bytes between two places; equal bytes have equal hashes wherever they are."""
-        spread = (self._sums[end] - self._sums[start]) * _power(_UP, start)
+        """64-bit hashes of the bytes between two places; equal bytes have equal hashes wherever they are.
+
+        Places ascend. Sums of powers are made for ``RUN`` bytes at a time, so they take no memory by the text.
+        """
+        spread = np.zeros(len(start), np.uint64)
+        first = 0
+        while first < len(start):
+            low = int(start[first])
+            last = max(first + 1, int(np.searchsorted(end, low + RUN, "right")))
+            a, b = start[first:last] - low, end[first:last] - low
+            if last == first + 1 and b[0] > RUN:
+                spread[first] = self._long(low, int(end[first]))
+            else:
+                powers = _power(_DOWN, np.arange(int(b[-1]), dtype=np.int64))
+                sums = np.zeros(len(powers) + 1, np.uint64)
+                np.cumsum((self.data[low : low + len(powers)].astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+                spread[first:last] = (sums[b] - sums[a]) * _power(_UP, a)
+            first = last
         return mixed(spread + (end - start).astype(np.uint64) * _STEP)
 
+    def _long(self, start: int, end: int) -> np.uint64:
+        """The sum over one word that is longer than a run."""
+        total = np.zeros(1, np.uint64)
+        for at in range(start, end, RUN):
+            part = self.data[at : min(at + RUN, end)].astype(np.uint64) + np.uint64(1)
+            total += (part * _power(_DOWN, np.arange(at - start, at - start + len(part), dtype=np.int64))).sum()
+        return total[0]
+
     @cached_property
     def hash(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
