@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bagminhash, bytebpe, chatcollapse, decontaminate, fillmiddle, merkle, quality_rules, qualityscore,
+    bagminhash, bytebpe, chatcollapse, decontaminate, fillmiddle, merkle, overlapjoin, quality_rules, qualityscore,
     secrets, sql, surrogates, toxicity, warc,
 )
 from ledgerloom.llm.labelled import fold, stored
@@ -156,6 +156,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_overlap_join(spark: SparkSession, folder: str) -> DataFrame:
+    return overlapjoin.components_of(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fillmiddle.fill_in_middle(_table(spark, folder, "documents"), ["doc_id"])
     return made.select(
@@ -178,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_surrogates": op9_surrogates,
         "op10_quality_score": op10_quality_score,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_overlap_join": op12_overlap_join,
         "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
     }

@@ -157,6 +157,23 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
 )
 
 
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+e AS (SELECT rid, doc_id, CASE WHEN len(ws) >= 3
+          THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))
+          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shs FROM d),
+s AS (SELECT rid, unnest(shs) AS s FROM e),
+pairs AS (SELECT x.rid AS a, y.rid AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.rid < y.rid GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN e x ON x.rid = a JOIN e y ON y.rid = b
+          WHERE 100 * n >= 90 * (len(x.shs) + len(y.shs) - n)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT rid, rid FROM e UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b)
+SELECT x.doc_id, CAST(len(x.shs) AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN e x ON x.rid = reach.a JOIN e y ON y.rid = reach.b GROUP BY x.rid, x.doc_id, x.shs
+"""
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
            FROM documents),
@@ -247,4 +264,4 @@ OP11 = _op11()
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_warc": OP1, "op4_decontamination": OP4, "op5_secrets": OP5, "op7_chat_collapse": OP7, "op8_quality_rules": OP8,
-            "op11_merkle_manifest": OP11, "op13_fill_middle": OP13}
+            "op11_merkle_manifest": OP11, "op12_overlap_join": OP12, "op13_fill_middle": OP13}
