@@ -168,8 +168,8 @@ s AS (SELECT rid, unnest(shs) AS s FROM e),
 pairs AS (SELECT x.rid AS a, y.rid AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.rid < y.rid GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN e x ON x.rid = a JOIN e y ON y.rid = b
           WHERE 100 * n >= 90 * (len(x.shs) + len(y.shs) - n)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT rid, rid FROM e UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b)
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT rid, rid FROM e UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
 SELECT x.doc_id, CAST(len(x.shs) AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id
 FROM reach JOIN e x ON x.rid = reach.a JOIN e y ON y.rid = reach.b GROUP BY x.rid, x.doc_id, x.shs
 """
