@@ -144,7 +144,8 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         merkle.leaf([*columns, F.col("text")]).alias("digest"),
         F.when(tampered, merkle.leaf([*columns, lowered])).alias("tampered"),
     )
-    placed = stored(merkle.ranked(leaves, ["doc_id", "digest"]), "merkle-leaves")
+    # Stored first, as the range partitioning reads its input twice.
+    placed = stored(merkle.ranked(stored(leaves, "merkle-digests"), ["doc_id", "digest"]), "merkle-leaves")
     manifest = merkle.build(placed)
     kept = F.struct("doc_id", F.col("digest").alias("leaf"), F.coalesce("tampered", "digest").alias("now"))
     proofs = manifest.proofs(placed.select("tree", "place", "n", kept.alias("kept")))
