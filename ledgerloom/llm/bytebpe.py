@@ -153,24 +153,91 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class Pieces(dict):
-    """Token ids of pieces: two generations of bounded size, filled by pair merging."""
+class Pieces:
+    """Token ids of pieces: two generations of bounded size, filled by merging all pieces that are not known at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks = ranks
+        self.known: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
+        self.size = max(ranks.values()) + 1
+        self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+        # Every way to join two tokens to a third, as a sorted table of pairs.
+        joins = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        left, right, made = np.array(joins, np.int64).reshape(-1, 3).T
+        keys = left * self.size + right
+        order = np.argsort(keys)
+        self.pairs, self.made = np.append(keys[order], -1), np.append(made[order], 0)
+
+    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece."""
+        known, older = self.known, self.older
+        out = [known.get(p) or older.get(p) for p in pieces]
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if missing:
+            whole = self.ranks.get
+            apart = []
+            for k in missing:
+                if (rank := whole(pieces[k])) is not None:
+                    out[k] = (rank,)
+                elif len(pieces[k]) > SHORT:
+                    out[k] = merge(pieces[k], self.ranks)
+                else:
+                    apart.append(k)
+            for k, ids in zip(apart, self._merged([pieces[k] for k in apart]), strict=True):
+                out[k] = ids
+            if len(known) >= CACHED:
+                self.older, self.known = known, {}
+            self.known.update((pieces[k], out[k]) for k in missing if len(pieces[k]) <= SHORT)
+        return out
 
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = merge(piece, self.ranks)
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        if len(piece) <= SHORT:
-            self[piece] = ids
-        return ids
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair of tokens joins to; ``size`` where they do not join."""
+        keys = left * self.size + right
+        place = np.searchsorted(self.pairs[:-1], keys)
+        return np.where(self.pairs[place] == keys, self.made[place], self.size)
+
+    def _merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """In each round, join the pair of lowest rank, leftmost first, in every piece that still has one."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        if not pieces:
+            return out
+        lengths = np.array([len(p) for p in pieces])
+        number = np.arange(len(pieces))
+        tokens = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.append(self._ranks(tokens[:-1], tokens[1:]), self.size)
+        rank[np.cumsum(lengths) - 1] = self.size
+        while len(number):
+            starts = np.cumsum(lengths) - lengths
+            best = np.minimum.reduceat(rank, starts)
+            going = best < self.size
+            if not going.all():
+                done = np.flatnonzero(~going)
+                flat = tokens.tolist()
+                for n, a, b in zip(number[done].tolist(), starts[done].tolist(), (starts + lengths)[done].tolist(), strict=True):
+                    out[n] = tuple(flat[a:b])
+                stay = np.repeat(going, lengths)
+                tokens, rank = tokens[stay], rank[stay]
+                lengths, number, best = lengths[going], number[going], best[going]
+                if not len(number):
+                    break
+                starts = np.cumsum(lengths) - lengths
+            hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            piece = np.searchsorted(starts, hits, "right") - 1
+            at = hits[np.append(True, piece[1:] != piece[:-1])]  # the leftmost of each piece
+            tokens[at] = best
+            stay = np.ones(len(tokens), bool)
+            stay[at + 1] = False
+            tokens, rank = tokens[stay], rank[stay]
+            at = at - np.arange(len(at))  # one token before each has gone
+            lengths = lengths - 1
+            ends = np.cumsum(lengths)
+            after = at + 1 < ends
+            rank[at] = self.size
+            rank[at[after]] = self._ranks(tokens[at[after]], tokens[at[after] + 1])
+            before = at > ends - lengths
+            rank[at[before] - 1] = self._ranks(tokens[at[before] - 1], tokens[at[before]])
+        return out
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -225,29 +292,42 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
-def pieces_of(rows: list[bytes]) -> list[list[bytes]]:
-    """The pieces of each text."""
+def pieces_of(rows: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All pieces of joined texts as one binary array on their bytes, and the index of each text's first (one more ends)."""
     whole = b"".join(rows)
     codes = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), np.uint32)
     places = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)  # byte at which each code point starts
-    ends = np.cumsum([len(r) for r in rows])
+    lengths = np.array([len(r) for r in rows], np.int64)
+    ends = np.cumsum(lengths)
     first = np.zeros(len(codes), bool)
-    lengths = np.diff(ends, prepend=0)
     first[np.searchsorted(places, (ends - lengths)[lengths > 0])] = True
     starts = places[piece_starts(codes, first)] if len(codes) else np.zeros(0, np.int64)
     cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
-    bounds = starts.tolist() + [len(whole)]
-    return [
-        [whole[a:b] for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)]
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-    ]
+    bounds = pa.py_buffer(np.append(starts, len(whole)).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(whole)]), cuts
+
+
+def ids_of(pieces: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of consecutive pieces, and how many each piece has; each distinct piece is merged once."""
+    encoded = pieces.dictionary_encode()
+    merged = known(encoded.dictionary.to_pylist())
+    lengths = np.fromiter(map(len, merged), np.int64, len(merged))
+    flat = np.fromiter(chain.from_iterable(merged), np.int32, int(lengths.sum()))
+    index = np.asarray(encoded.indices)
+    counts = lengths[index]
+    if len(flat) == len(merged):
+        return flat[index], counts
+    first = (np.cumsum(lengths) - lengths)[index]
+    ends = np.cumsum(counts)
+    at = np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[at], counts
 
 
 ENCODED = T.StructType(
     [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.LongType()))]
 )
 #: Bytes of text whose pieces are found at once.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 
 
 def _groups(rows: list[bytes]) -> list[list[bytes]]:
@@ -262,7 +342,7 @@ def _groups(rows: list[bytes]) -> list[list[bytes]]:
     return groups
 
 
-def _lists(values: np.ndarray, counts: list[int], kind: pa.DataType) -> pa.Array:
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
@@ -279,15 +359,14 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", offs
                 sizes[rank] = len(token)
             made.extend([Pieces(ranks.value), sizes])
         known, sizes = made
-        counts, ids = [], []
+        per_text, ids = [], []
         for group in _groups(texts(batch, "_text")):
-            flat: list[int] = []
-            for pieces in pieces_of(group):
-                before = len(flat)
-                flat.extend(chain.from_iterable(map(known.__getitem__, pieces)))
-                counts.append(len(flat) - before)
-            ids.append(np.array(flat, np.int32))
+            pieces, cuts = pieces_of(group)
+            found, per_piece = ids_of(pieces, known)
+            ids.append(found)
+            per_text.append(np.diff(np.concatenate([[0], np.cumsum(per_piece)])[cuts]))
         every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        counts = np.concatenate(per_text) if per_text else np.zeros(0, np.int64)
         out = {"ids": _lists(every, counts, pa.int32())}
         if offsets:
             total = np.concatenate([[0], np.cumsum(sizes[every])])
@@ -307,8 +386,18 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     def work(batch: pa.RecordBatch) -> dict:
         if not made:
-            made.append({rank: token for token, rank in ranks.value.items()})
+            tokens: list = [None] * (max(ranks.value.values()) + 1)
+            for token, rank in ranks.value.items():
+                tokens[rank] = token
+            made.append(pa.array(tokens, pa.large_binary()))
         column = batch.column(batch.schema.get_field_index(ids))
-        return {out: [b"".join(map(made[0].__getitem__, x.values.tolist() if x.values else ())) for x in column]}
+        sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        # The bytes of all tokens follow each other, so rows are longer stretches of the same buffer.
+        gathered = made[0].take(column.flatten())
+        _, bounds, data = gathered.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[gathered.offset : gathered.offset + len(gathered) + 1]
+        whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds[cuts].copy()), data])
+        return {out: whole.cast(pa.binary())}
 
     return pass_through(encoded, T.StructType([T.StructField(out, T.BinaryType())]), work)

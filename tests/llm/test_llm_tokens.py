@@ -34,18 +34,30 @@ def odd_texts(n=1500):
 def test_pieces_and_ids_are_the_librarys(ranks, library, monkeypatch, chunk):
     monkeypatch.setattr(bytebpe, "CHUNK", chunk)
     texts, known = odd_texts(), bytebpe.Pieces(ranks)
-    found = [ps for group in bytebpe._groups([t.encode() for t in texts]) for ps in bytebpe.pieces_of(group)]
-    for text, pieces in zip(texts, found, strict=True):
+    found = []
+    for group in bytebpe._groups([t.encode() for t in texts]):
+        array, cuts = bytebpe.pieces_of(group)
+        pieces = array.to_pylist()
+        ids, counts = bytebpe.ids_of(array, known)
+        ends = [0, *counts.cumsum().tolist()]
+        found += [(pieces[a:b], ids[ends[a] : ends[b]].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for text, (pieces, ids) in zip(texts, found, strict=True):
         assert b"".join(pieces) == text.encode()
-        assert [i for p in pieces for i in known[p]] == library.encode_ordinary(text)
+        assert ids == library.encode_ordinary(text)
 
 
 def test_cache_keeps_two_generations(ranks, monkeypatch):
     monkeypatch.setattr(bytebpe, "CACHED", 3)
     known = bytebpe.Pieces(ranks)
     words = [f"word{i}".encode() for i in range(20)]
-    assert [known[w] for w in words * 2] == [bytebpe.merge(w, ranks) for w in words * 2]
-    assert len(known) <= 3 and len(known.older) <= 3
+    assert [known([w])[0] for w in words * 2] == [bytebpe.merge(w, ranks) for w in words * 2]
+    assert len(known.known) <= 3 and len(known.older) <= 3
+
+
+def test_merging_many_is_merging_each(ranks):
+    draw = random.Random(9)
+    texts = [bytes(draw.choice(b"abcdetionx  0\xc3\xa9") for _ in range(draw.randint(1, 48))) for _ in range(3000)]
+    assert bytebpe.Pieces(ranks)(texts) == [bytebpe.merge(t, ranks) for t in texts]
 
 
 def test_encode_keeps_offsets_and_decodes(spark, ranks, library):
