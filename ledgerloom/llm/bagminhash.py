@@ -154,7 +154,7 @@ def sign(rows: DataFrame, text: str = "text") -> DataFrame:
             "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(kept)),
         }
 
-    return pass_through(rows, SIGNED, work, drop=(text,))
+    return pass_through(rows, SIGNED, work, drop=(text,), sliced_by=(text,))
 
 
 def overlaps(batch: pa.RecordBatch, left: str, right: str) -> np.ndarray:
@@ -188,6 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         T.StructType([T.StructField("overlap", T.DoubleType())]),
         work,
         drop=("text_a", "text_b"),
+        sliced_by=("text_a", "text_b"),
     )
     return found.filter(F.col("overlap") >= SIMILARITY - 1e-12)
 

@@ -107,7 +107,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         return {"stats": pa.ListArray.from_arrays(pa.array(sizes), pa.array(found.ravel()))}
 
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return pass_through(rows, T.StructType([T.StructField("stats", T.ArrayType(T.DoubleType()))]), work, drop=("_text",))
+    return pass_through(rows, T.StructType([T.StructField("stats", T.ArrayType(T.DoubleType()))]), work, drop=("_text",), sliced_by=("_text",))
 
 
 class Kernel:

@@ -3,9 +3,9 @@
 A lexicon of whole words and word beginnings is weighed by how much more often they stand in toxic texts of a
 bounded sample of labelled rows; a few common insults belong to it from the start. Features are the densities of
 lexicon words, how near they stand to second-person words, capitals, punctuation, and signs of obfuscation (digits
-or symbols inside words, stretched letters, words that are in the lexicon only after undoing look-alikes). The
-features of every text are computed in one pass and stored; trees and calibration are Spark ML models fitted on the
-features of the sample.
+or symbols inside words, stretched letters, words that are in the lexicon only after undoing look-alikes). Trees and
+calibration are Spark ML models fitted on the features of the sample; every text is measured and scored in one pass, by
+slices of a batch, and a long text by segments, so memory does not grow with texts unless a single word does.
 
 At most ``FIT_ROWS`` labelled rows are used: all of them for the lexicon, three quarters for the trees, one quarter
 for the calibration.
@@ -17,6 +17,8 @@ share of toxic labels; an empty table gives no rows. Columns other than text and
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -25,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.batches import joined, pass_through
+from ledgerloom.llm.batches import SLICE_BYTES, joined, pass_through, slices
 from ledgerloom.llm.labelled import calibrate, draw, sample, stored
-from ledgerloom.llm.words import Words, hash_of, lower_ascii, per_text
+from ledgerloom.llm.words import Words, hash_of, lower_ascii, per_text, per_word
 
 #: Bound on the labelled rows that the lexicon and the models are fitted on.
 FIT_ROWS = 16_000
@@ -107,29 +109,21 @@ def _weights(words: Words, lexicon: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     return out
 
 
-def features(data: np.ndarray, offsets: np.ndarray, lexicon: dict, insults: np.ndarray, you: np.ndarray) -> np.ndarray:
-    """One row per text, one column per name in ``FEATURES``."""
-    words = plain_words(data, offsets)
+def sums(data: np.ndarray, offsets: np.ndarray, lexicon: dict, insults: np.ndarray, you: np.ndarray):
+    """One row of sums per text (bytes, tokens and words that have a property), and strong, you and text of each word.
+
+    Only few of the arrays are held at once; all work is inside tokens.
+    """
+    count = lambda flags: per_text(flags, offsets)
     tokens = Words(data, offsets, ~_is(data, b" \t\n\x0b\x0c\r"))
-    swapped = np.arange(256, dtype=np.uint8)
-    for sign, letter in LOOK_ALIKES.items():
-        swapped[ord(sign)] = ord(letter)
-    undone = swapped[words.data]
-    revealed = Words(undone, offsets, _letters(undone))
-    n_words, n_tokens = np.diff(words.cuts), np.diff(tokens.cuts)
-    weight = _weights(words, lexicon)
-    insult = np.isin(words.hash, insults)
-    weight[insult] = np.maximum(weight[insult], 5.0)
-    is_you = np.isin(words.hash, you)
-    hit, strong = weight > 0, weight >= 2.5
-    text_of = np.repeat(np.arange(len(n_words)), n_words)
-    near = np.zeros(len(hit), bool)
-    for k in range(1, NEAR + 1):
-        same = text_of[k:] == text_of[:-k]
-        near[k:] |= is_you[:-k] & same
-        near[:-k] |= is_you[k:] & same
+    columns = {"tokens": np.diff(tokens.cuts)}
+    del tokens
     upper = (data >= 0x41) & (data <= 0x5A)
     ascii_letter = upper | ((data >= 0x61) & (data <= 0x7A))
+    columns |= {"upper": count(upper), "letters": count(ascii_letter)}
+    for name, chars in (("marks", b"!?"), ("punctuation", b".,;:'\"()-"), ("symbols", b"#*$%&|<>@")):
+        columns[name] = count(_is(data, chars))
+    words = plain_words(data, offsets)
     # Inside a token: a digit or symbol between two letters, and three equal letters in a row.
     odd = np.zeros(len(data), bool)
     stretched = np.zeros(len(data), bool)
@@ -138,40 +132,82 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: dict, insults: np.n
         odd[1:-1] = joint[1:-1] & ascii_letter[:-2] & ascii_letter[2:]
         lower = words.data
         stretched[2:] = ascii_letter[2:] & (lower[2:] == lower[1:-1]) & (lower[2:] == lower[:-2])
-    shouted = per_between(upper, words) >= np.maximum(words.end - words.start, 3)
-    hidden = np.isin(revealed.hash, insults)
-    count = lambda flags: per_text(flags, offsets)
+    columns |= {"odd": count(odd), "stretched": count(stretched)}
+    del odd, stretched, ascii_letter
     by_word = lambda flags: per_text(flags, words.cuts)
+    weight = _weights(words, lexicon)
+    insult = np.isin(words.hash, insults)
+    weight[insult] = np.maximum(weight[insult], 5.0)
+    is_you = np.isin(words.hash, you)
+    shouted = per_word(upper, words) >= np.maximum(words.end - words.start, 3)
+    columns |= {
+        "words": np.diff(words.cuts), "weight": by_word(weight), "hits": by_word(weight > 0), "strong": by_word(weight >= 2.5),
+        "insults": by_word(insult), "you": by_word(is_you), "shouted": by_word(shouted),
+    }
+    swapped = np.arange(256, dtype=np.uint8)
+    for sign, letter in LOOK_ALIKES.items():
+        swapped[ord(sign)] = ord(letter)
+    undone = swapped[words.data]
+    revealed = Words(undone, offsets, _letters(undone))
+    columns["hidden"] = per_text(np.isin(revealed.hash, insults), revealed.cuts)
+    text_of = np.repeat(np.arange(len(offsets) - 1), columns["words"])
+    return columns, weight >= 2.5, is_you, text_of
+
+
+def _segments(data: np.ndarray) -> list[int]:
+    """Places at which a long text is cut: before white space, or at its end, about ``SLICE_BYTES`` apart."""
+    bounds = [0]
+    while len(data) - bounds[-1] > SLICE_BYTES:
+        at = bounds[-1] + SLICE_BYTES
+        white = np.flatnonzero(_is(data[at : at + SLICE_BYTES], b" \t\n\x0b\x0c\r"))
+        while not len(white) and at + SLICE_BYTES < len(data):
+            at += SLICE_BYTES
+            white = np.flatnonzero(_is(data[at : at + SLICE_BYTES], b" \t\n\x0b\x0c\r"))
+        if not len(white):
+            break
+        bounds.append(at + int(white[0]))
+    return [*bounds, len(data)]
+
+
+def features(data: np.ndarray, offsets: np.ndarray, lexicon: dict, insults: np.ndarray, you: np.ndarray) -> np.ndarray:
+    """One row per text, one column per name in ``FEATURES``. A long text alone is gone through in segments."""
+    if len(offsets) == 2 and len(data) > SLICE_BYTES:
+        bounds = _segments(data)
+        parts = [sums(data[a:b], np.array([0, b - a]), lexicon, insults, you) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        found = {name: sum(p[0][name] for p in parts) for name in parts[0][0]}
+        strong, is_you, text_of = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    else:
+        found, strong, is_you, text_of = sums(data, offsets, lexicon, insults, you)
+    near = np.zeros(len(strong), bool)
+    for k in range(1, NEAR + 1):
+        same = text_of[k:] == text_of[:-k]
+        near[k:] |= is_you[:-k] & same
+        near[:-k] |= is_you[k:] & same
+    near_you = np.bincount(text_of[strong & near], minlength=len(offsets) - 1)
     rate = lambda part, whole: part / np.maximum(whole, 1)
-    n_strong = by_word(strong)
+    n_words, n_tokens = found["words"], found["tokens"]
     columns = [
-        rate(by_word(weight), n_words),
-        rate(by_word(hit), n_words),
-        np.log1p(by_word(hit)),
-        np.log1p(n_strong),
-        rate(n_strong, n_words),
-        rate(by_word(insult), n_words),
-        rate(by_word(strong & near), n_words),
-        rate(by_word(is_you), n_words),
-        rate(count(upper), count(ascii_letter)),
-        rate(by_word(shouted), n_words),
-        rate(count(_is(data, b"!?")), n_tokens),
-        rate(count(_is(data, b".,;:'\"()-")), n_tokens),
-        rate(count(_is(data, b"#*$%&|<>@")), n_tokens),
-        rate(count(odd), n_tokens),
-        rate(count(stretched), n_tokens),
-        np.maximum(per_text(hidden, revealed.cuts) - by_word(insult), 0),
+        rate(found["weight"], n_words),
+        rate(found["hits"], n_words),
+        np.log1p(found["hits"]),
+        np.log1p(found["strong"]),
+        rate(found["strong"], n_words),
+        rate(found["insults"], n_words),
+        rate(near_you, n_words),
+        rate(found["you"], n_words),
+        rate(found["upper"], found["letters"]),
+        rate(found["shouted"], n_words),
+        rate(found["marks"], n_tokens),
+        rate(found["punctuation"], n_tokens),
+        rate(found["symbols"], n_tokens),
+        rate(found["odd"], n_tokens),
+        rate(found["stretched"], n_tokens),
+        np.maximum(found["hidden"] - found["insults"], 0),
         np.log1p(n_tokens),
     ]
     return np.column_stack(columns).astype(np.float64)
 
 
-def per_between(flags: np.ndarray, words: Words) -> np.ndarray:
-    """Sums of ``flags`` inside each word."""
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[words.end] - total[words.start]
-
-
 def learn_lexicon(texts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Entries by length of beginning, from (text, label) rows of the bounded sample: sorted hashes and weights.
 
@@ -179,7 +215,7 @@ def learn_lexicon(texts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """
 
     def tally(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, ("text",)) for b in batches):
             data, offsets = joined(batch, "text")
             labels = np.asarray(batch.column(batch.schema.get_field_index("label")), np.float64)
             words = plain_words(data, offsets)
@@ -235,7 +271,7 @@ def measured(docs: DataFrame, lexicon: dict, keep: list[str], text: str = "text"
 
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     schema = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return pass_through(rows, schema, work, drop=("_text",))
+    return pass_through(rows, schema, work, drop=("_text",), sliced_by=("_text",))
 
 
 class Model:

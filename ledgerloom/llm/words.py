@@ -136,6 +136,21 @@ def hash_of(word: str) -> int:
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` between consecutive offsets."""
-    total = np.zeros(len(flags) + 1, np.float64 if flags.dtype.kind == "f" else np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.float64 if flags.dtype.kind == "f" else np.int64)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        # Stretches without bytes take no part, so that each sum ends where the next begins.
+        sums = np.add.reduceat(flags[: offsets[-1]], offsets[:-1][some], dtype=out.dtype)
+        out[some] = sums
+    return out
+
+
+def per_word(flags: np.ndarray, words: Words) -> np.ndarray:
+    """Sums of ``flags`` inside each word."""
+    if not len(words.start):
+        return np.zeros(0, np.int64)
+    bounds = np.column_stack([words.start, words.end]).ravel()
+    if bounds[-1] == len(flags):
+        bounds = bounds[:-1]
+    # Every second stretch is between words; two words that touch leave one of the value after the cut, not looked at.
+    return np.add.reduceat(flags, bounds, dtype=np.int64)[::2]

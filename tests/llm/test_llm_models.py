@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import qualityscore, queries, toxicity
 from ledgerloom.llm.labelled import Calibration, calibrate, fold
-from ledgerloom.llm.words import Words, hash_of, lower_latin
+from ledgerloom.llm.batches import slices
+from ledgerloom.llm.words import Words, hash_of, lower_latin, per_text, per_word
 
 ODD = [(1, ""), (2, None), (3, " \n\t"), (4, "word " * 30_000), (5, "you idiot!!! " * 10), (None, "a b"), (5, "you idiot!!! " * 10)]
 
@@ -88,3 +89,40 @@ def test_words_and_hashes():
     far = np.frombuffer(b"q" * 200_000 + b" ab", np.uint8)
     late = Words(far, np.array([0, len(far)]), far != 0x20)
     assert int(late.hash[1]) == hash_of("ab")
+
+
+def test_sums_per_text_and_word():
+    flags = np.array([1, 0, 1, 1, 0, 1], bool)
+    assert per_text(flags, np.array([0, 0, 3, 3, 6, 6])).tolist() == [0, 2, 0, 2, 0]
+    assert per_text(flags, np.array([0, 2])).tolist() == [1] and per_text(flags[:0], np.array([0, 0])).tolist() == [0]
+    data = np.frombuffer(b"ab c de", np.uint8)
+    words = Words(data, np.array([0, 4, 7]), data != 0x20)
+    assert per_word(data == ord("e"), words).tolist() == [0, 0, 1] and per_word(data > 0x61, words).tolist() == [1, 1, 2]
+
+
+def test_long_text_in_segments_and_little_memory():
+    """A long text has the features that it has at once, and costs little more than its bytes."""
+    import tracemalloc
+
+    insults, you = (np.array([hash_of(w) for w in x], np.uint64) for x in (toxicity.INSULTS, toxicity.SECOND_PERSON))
+    lexicon = {0: (np.sort(insults), np.linspace(1, 4, len(insults)))}
+    data = np.frombuffer(("Are you an idiot? m0ron, YOU said; so gooood. " * 400_000).encode()[: 16 << 20], np.uint8)
+    offsets = np.array([0, len(data)])
+    tracemalloc.start()
+    long = toxicity.features(data, offsets, lexicon, insults, you)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    part = data[: 2 << 20]
+    cut = toxicity.features(part, np.array([0, len(part)]), lexicon, insults, you)
+    twice = toxicity.features(np.concatenate([part, part[:7]]), np.array([0, len(part), len(part) + 7]), lexicon, insults, you)
+    assert np.allclose(cut[0], twice[0], rtol=1e-12) and long.shape == (1, len(toxicity.FEATURES))
+
+
+def test_slices_of_a_batch():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"a": ["xx", None, "y" * 9, "", "zzz", "w"], "n": [0, 1, 2, 3, 4, 5]})
+    parts = [x.column("n").to_pylist() for x in slices(batch, ("a",), most=4)]
+    assert parts == [[0, 1], [2, 3], [4, 5]]
+    assert [x.num_rows for x in slices(batch, ())] == [6]
