@@ -50,26 +50,23 @@ def axis_labels(cells: DataFrame) -> DataFrame:
     return cells.select(*KEY, F.inline(both)).distinct()
 
 
-def _rows(cells: DataFrame) -> DataFrame:
-    return cells.select(*KEY, "row_ord", "row_name").distinct()
-
-
-def _columns(cells: DataFrame) -> DataFrame:
-    return cells.select(*KEY, "col_ord", "col_name").distinct()
-
-
 def densify(cells: DataFrame) -> DataFrame:
     """Every (row, column) of every table, with null where the table has no value.
 
-    The rows of a table are cut into blocks and its columns sent to each block, so even a very tall table
-    is expanded by many tasks.
+    One aggregate holds the rows and columns of every block of rows, so even a very tall table is expanded by many
+    tasks, and meets the values in one join.
     """
     block = F.expr(f"row_ord div {ROWS_PER_PART}").alias("_block")
-    rows = _rows(cells).select("*", block)
-    blocks = cells.select(*KEY, block).distinct()
-    columns = _columns(cells).join(blocks, KEY)
+    blocks = cells.groupBy(*KEY, block).agg(
+        F.collect_set(F.struct("row_ord", "row_name")).alias("_rows"),
+        F.array_sort(F.collect_set(F.struct("col_ord", "col_name"))).alias("_columns"),
+    )
+    # Blocks with the same columns count once, so a table has one or few sets of columns.
+    every = F.array_distinct(F.flatten(F.collect_set("_columns").over(Window.partitionBy(*KEY))))
     return (
-        rows.join(columns, [*KEY, "_block"])
+        blocks.select(*KEY, "_rows", every.alias("_columns"))
+        .select(*KEY, F.inline("_rows"), "_columns")
+        .select(*KEY, "row_ord", "row_name", F.inline("_columns"))
         .join(
             cells.select(*KEY, "row_ord", "col_ord", "raw"), [*KEY, "row_ord", "col_ord"], "left"
         )
@@ -103,17 +100,21 @@ def _is_real_date(text: Column, layout: Column, day_first: bool) -> Column:
     return real
 
 
-def infer_column_types(cells: DataFrame) -> DataFrame:
-    """Type of every column from its values, and how many values it has.
+def column_facts(cells: DataFrame) -> DataFrame:
+    """All that one pass tells of every column: KEY, col_ord, col_name, column_type, value_count, row_count (of its
+    table), plain_count (unformatted numbers) and total (sum of its amounts).
 
-    One shuffle; all aggregates are fixed-width, so they run as hash aggregates without a sort.
+    Aggregates are of fixed width, so they run as hash aggregates without a sort, and those that a caller does not
+    select are not computed. Rows are counted through the first cell of each, so a tall table is no window of its own.
     """
     raw, plain = F.col("raw"), F.col("_plain")
     # Each step is a column of its own and cheap tests come first: plain numbers skip the rest, words skip
     # the number formats, and only what starts like a date is tried as one.
     # An empty string reads as a missing number, as it does for a data-frame reader.
+    row = Window.partitionBy(*KEY, "row_ord").orderBy("col_ord")
     step = cells.select(
-        *KEY, "col_ord", "col_name", "row_ord", "raw", ((raw == "") | raw.rlike(PLAIN_NUMBER)).alias("_plain")
+        *KEY, "col_ord", "col_name", "row_ord", "raw", ((raw == "") | raw.rlike(PLAIN_NUMBER)).alias("_plain"),
+        (F.row_number().over(row) == 1).alias("_opens_row"),
     )
     unsigned = F.translate(raw, "$,", "")
     step = step.select(
@@ -138,6 +139,9 @@ def infer_column_types(cells: DataFrame) -> DataFrame:
         "col_name",
         "row_ord",
         raw.alias("_raw"),
+        "_opens_row",
+        to_float(raw).alias("_num"),
+        parse_plain(raw).isNotNull().alias("_is_number"),
         plain,
         (plain | numeric("_unformatted")).alias("_formatted"),
         F.col("_unpercented").isNotNull().alias("_percent"),
@@ -148,7 +152,11 @@ def infer_column_types(cells: DataFrame) -> DataFrame:
         _is_real_date(F.col("_text"), F.col("_layout"), day_first=False).alias("_month_first"),
         _is_real_date(F.col("_text"), F.col("_layout"), day_first=True).alias("_day_first"),
     )
-    stats = checks.groupBy(*KEY, "col_ord", "col_name").agg(
+    exact = to_exact(F.col("_raw"), F.col("_num"))
+    stats = checks.withColumn("_exact", exact).groupBy(*KEY, "col_ord", "col_name").agg(
+        F.count_if("_opens_row").alias("_opened"),
+        F.count_if("_is_number").alias("plain_count"),
+        exact_sum(F.col("_exact"), F.col("_num")).alias("total"),
         F.count("_raw").alias("value_count"),
         F.bool_and("_plain").alias("_plain"),
         F.bool_and("_formatted").alias("_formatted"),
@@ -179,28 +187,26 @@ def infer_column_types(cells: DataFrame) -> DataFrame:
         .when(is_date, "date")
         .otherwise("text")
     )
-    return stats.select(*KEY, "col_ord", "col_name", kind.alias("column_type"), "value_count")
+    rows = F.sum("_opened").over(Window.partitionBy(*KEY))
+    return stats.select(
+        *KEY, "col_ord", "col_name", kind.alias("column_type"), "value_count", rows.alias("row_count"), "plain_count", "total"
+    )
 
 
-def row_counts(cells: DataFrame) -> DataFrame:
-    return (
-        cells.select(*KEY, "row_ord").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("row_count"))
-    )
+def infer_column_types(cells: DataFrame) -> DataFrame:
+    """Type of every column from its values, and how many values it has."""
+    return column_facts(cells).select(*KEY, "col_ord", "col_name", "column_type", "value_count")
 
 
 def build_schema(cells: DataFrame) -> DataFrame:
     """Schema catalog: one row per column with its type, nullability and the table's row count."""
-    return (
-        infer_column_types(cells)
-        .join(row_counts(cells), KEY)
-        .select(
-            *KEY,
-            "col_ord",
-            "col_name",
-            "column_type",
-            (F.col("value_count") < F.col("row_count")).alias("nullable"),
-            "row_count",
-        )
+    return column_facts(cells).select(
+        *KEY,
+        "col_ord",
+        "col_name",
+        "column_type",
+        (F.col("value_count") < F.col("row_count")).alias("nullable"),
+        "row_count",
     )
 
 
@@ -219,13 +225,12 @@ def typed_cells(cells: DataFrame, schema: DataFrame, faithful: bool = False) ->
     )
 
 
-def conversion_warnings(typed: DataFrame, schema: DataFrame) -> DataFrame:
-    """Numeric columns of which more than half the rows have no number after conversion."""
-    read = typed.groupBy(*KEY, "col_ord").agg(F.count("num").alias("_read"))
+def conversion_warnings(cells: DataFrame) -> DataFrame:
+    """Numeric columns of which more than half the rows have no number when only plain numbers are read."""
     return (
-        schema.filter("column_type = 'numeric'")
-        .join(read, [*KEY, "col_ord"])
-        .withColumn("null_count", F.col("row_count") - F.col("_read"))
+        column_facts(cells)
+        .filter("column_type = 'numeric'")
+        .withColumn("null_count", F.col("row_count") - F.col("plain_count"))
         .filter(F.col("null_count") / F.col("row_count") > 0.5)
         .select(*KEY, "col_ord", "col_name", "null_count", "row_count")
     )
@@ -259,10 +264,9 @@ def list_tables(schema: DataFrame, compact: bool = False) -> DataFrame:
 
 
 def table_head(cells: DataFrame, count: int) -> DataFrame:
-    """Cells of the first ``count`` rows of every table."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("row_ord"))
-    first = _rows(cells).withColumn("_rank", rank).filter(F.col("_rank") <= count)
-    return cells.join(first.select(*KEY, "row_ord"), [*KEY, "row_ord"], "left_semi").select(*cells.columns)
+    """Cells of the first ``count`` rows of every table; each task drops later rows before they are shuffled."""
+    rank = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("row_ord"))
+    return cells.withColumn("_rank", rank).filter(F.col("_rank") <= count).select(*cells.columns)
 
 
 def show_tables(
