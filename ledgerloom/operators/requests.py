@@ -9,13 +9,7 @@ from ledgerloom.functions.numeric import change, display_number, to_float
 from ledgerloom.functions.programs import with_arithmetic
 from ledgerloom.functions.text import expression_intent, operation, query_type
 from ledgerloom.operators.matching import get_values
-from ledgerloom.operators.tables import (
-    KEY,
-    column_totals,
-    first_numeric_sum,
-    select_columns,
-    table_head,
-)
+from ledgerloom.operators.tables import KEY, column_facts, first_numeric_sum
 
 DEFAULT_COLUMNS = 3
 PREVIEW_ROWS = 5
@@ -85,91 +79,107 @@ def final_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.withColumn("final_answer", display_number(F.col(column)))
 
 
-def _with_intent(requests: DataFrame, cells: DataFrame) -> DataFrame:
-    """Requests with their operation and target columns; the table's first columns where none are given."""
-    names = requests.columns
-    given_op = F.col("operation") if "operation" in names else F.lit(None).cast("string")
-    given_cols = F.col("target_columns") if "target_columns" in names else F.lit(None).cast("array<string>")
-    rank = F.row_number().over(Window.partitionBy("record_id").orderBy("col_ord"))
-    leading = (
-        cells.select("record_id", "col_ord", "col_name")
-        .distinct()
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= DEFAULT_COLUMNS)
-        .groupBy("record_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "col_name"))).alias("_leading"))
-    )
-    return requests.join(leading, "record_id", "left").select(
-        "request_id",
-        "record_id",
-        F.col("_leading").isNotNull().alias("has_table"),
-        F.coalesce(given_op, operation(F.col("query"))).alias("operation"),
-        F.coalesce(given_cols, F.transform("_leading", lambda c: c["col_name"])).alias("target_columns"),
+def _column_lists(cells: DataFrame, types: DataFrame | None) -> DataFrame:
+    """Per record its columns in order: struct(col_ord, col_name, numeric, total), from one pass over the cells."""
+    facts = column_facts(cells)
+    if types is not None:
+        given = types.select(*KEY, "col_ord", "column_type")
+        facts = facts.drop("column_type").join(given, [*KEY, "col_ord"], "left")
+    numeric = F.coalesce(F.col("column_type") == "numeric", F.lit(False)).alias("numeric")
+    return facts.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.struct("col_ord", "col_name", numeric, "total"))).alias("_columns")
+    )
+
+
+def _wanted(operation: Column, targets: Column, columns: Column) -> Column:
+    """What a request asks for, as an array: columns whose cells are to be fetched (``fetch``), or finished rows."""
+
+    def want(fetch, position, name, number, note, preview: bool = False) -> Column:
+        return F.struct(
+            fetch.cast("int").alias("fetch"),
+            position.cast("long").alias("position"),
+            name.cast("string").alias("col_name"),
+            number.cast("double").alias("_number"),
+            note.cast("string").alias("note"),
+            F.lit(preview).alias("_preview"),
+        )
+
+    none = F.lit(None)
+    # The columns of each wanted name, by its first place in the list.
+    named = F.flatten(
+        F.transform(
+            F.array_distinct(targets),
+            lambda name: F.transform(
+                F.filter(columns, lambda c: c["col_name"] == name),
+                lambda c: F.struct((F.array_position(targets, name) - 1).alias("at"), c.alias("column")),
+            ),
+        )
+    )
+    numeric = F.filter(named, lambda c: c["column"]["numeric"])
+    totals = F.transform(
+        numeric,
+        lambda c: want(none, c["at"], F.concat(c["column"]["col_name"], F.lit("_total")), c["column"]["total"], none),
+    )
+    # The notes on what could not be given.
+    listed = F.array_join(F.transform(F.filter(columns, lambda c: c["numeric"]), lambda c: c["col_name"]), ", ")
+    no_total = F.array(want(none, F.lit(0), none, none, F.concat(F.lit("Available numeric columns: "), listed)))
+    chosen = F.transform(named, lambda c: want(c["column"]["col_ord"], c["at"], c["column"]["col_name"], none, none))
+
+    def all_columns(note: str, preview: bool) -> Column:
+        return F.transform(columns, lambda c: want(c["col_ord"], c["col_ord"], c["col_name"], none, F.lit(note), preview))
+
+    first_rows = all_columns("analysis_required", True)
+    everything = all_columns("Columns not found. Showing all data.", False)
+    no_table = F.array(want(none, none, none, none, F.lit("No table for this record.")))
+    totalled = (operation == "aggregate") & (F.size(targets) > 0)
+    return (
+        F.when(columns.isNull(), no_table)
+        .when(operation.isin("calculate", "analyze_change", "compare"), first_rows)
+        .when(totalled & (F.size(numeric) > 0), totals)
+        .when(totalled, no_total)
+        .when(operation.isNotNull() & (F.size(named) > 0), chosen)
+        .when(operation.isNotNull(), everything)
     )
 
 
-def query_tables(requests: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
+def query_tables(requests: DataFrame, cells: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Answer text requests: request_id, record_id, query and optionally operation, target_columns.
 
     Lookups return the target columns, aggregates their totals, and change, calculation and comparison
-    requests the first rows of the table for further steps. One row per returned value; a request on a record that
-    is unknown or has no table gets one row that says so.
+    requests the first rows of the table for further steps. Without target columns the table's first ones are taken. One
+    row per returned value; a request on a record that is unknown or has no table gets one row that says so.
+
+    One pass over the cells lists every table's columns with types (``types`` where given) and totals. A request meets
+    that list once, and becomes what it wants: finished rows, or columns, which meet the cells in one join.
     """
-    op = F.col("operation")
-    tag = F.struct("request_id", "operation").alias("request_id")
-    asked = _with_intent(requests, cells).select(tag, "record_id", "operation", "target_columns", "has_table")
-    known = asked.filter("has_table")
-    complex_ops = ["calculate", "analyze_change", "compare"]
-    totalled = (op == "aggregate") & (F.size("target_columns") > 0)
-
-    totals = column_totals(known.filter(totalled), cells, types).select(
+    names = requests.columns
+    given_op = F.col("operation") if "operation" in names else F.lit(None).cast("string")
+    given_cols = F.col("target_columns") if "target_columns" in names else F.lit(None).cast("array<string>")
+    leading = F.transform(F.slice("_columns", 1, DEFAULT_COLUMNS), lambda c: c["col_name"])
+    asked = requests.join(_column_lists(cells, types), "record_id", "left").select(
         "request_id",
         "record_id",
-        F.col("target_pos").cast("long").alias("position"),
-        F.col("total_name").alias("col_name"),
-        F.lit(None).cast("long").alias("row_ord"),
-        F.lit(None).cast("string").alias("row_name"),
-        F.lit(None).cast("string").alias("raw"),
-        F.col("total").alias("num"),
-        F.concat(F.lit("Available numeric columns: "), F.col("numeric_columns")).alias("note"),
+        F.coalesce(given_op, operation(F.col("query"))).alias("operation"),
+        F.coalesce(given_cols, leading).alias("_targets"),
+        "_columns",
     )
-
-    def values(found: DataFrame, position: str, note: Column) -> DataFrame:
-        return found.select(
-            "request_id",
-            "record_id",
-            F.col(position).cast("long").alias("position"),
-            "col_name",
-            F.col("row_ord").cast("long").alias("row_ord"),
-            "row_name",
-            "raw",
-            to_float(F.col("raw")).alias("num"),
-            note.alias("note"),
-        )
-
-    previews = known.filter(op.isin(complex_ops)).select("request_id", "record_id").join(
-        table_head(cells, PREVIEW_ROWS), "record_id"
+    wanted = asked.select(
+        "request_id", "record_id", "operation", F.inline(_wanted(F.col("operation"), F.col("_targets"), F.col("_columns")))
     )
-    selected = select_columns(known.filter(~op.isin(complex_ops) & ~totalled), cells)
-    answers = (
-        totals.unionByName(values(previews, "col_ord", F.lit("analysis_required")))
-        .unionByName(
-            values(
-                selected, "target_pos", F.when(F.col("fallback"), "Columns not found. Showing all data.")
-            )
-        )
+    # Rows that fetch nothing have no key to join by and keep their own number.
+    keyed = wanted.withColumn("_record", F.when(F.col("fetch").isNotNull(), F.col("record_id")))
+    rank = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("row_ord"))
+    values = cells.select(
+        F.col("record_id").alias("_record"), F.col("col_ord").alias("fetch"), F.col("row_ord").cast("long").alias("row_ord"),
+        "row_name", "raw", (rank <= PREVIEW_ROWS).alias("_leads"),
     )
-    unknown = asked.filter("NOT has_table").select(
-        "request_id",
-        "record_id",
-        *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in answers.columns[2:-1]],
-        F.lit("No table for this record.").alias("note"),
-    )
-    answers = answers.unionByName(unknown)
-    chosen = F.col("request_id.operation")
-    return answers.select(
-        "request_id.request_id", "record_id", chosen.alias("operation"), query_type(chosen).alias("query_type"),
-        "position", "col_name", "row_ord", "row_name", "raw", "num", "note",
+    found = keyed.join(values, ["_record", "fetch"], "left").filter(
+        F.col("fetch").isNull() | F.when(F.col("_preview"), F.col("_leads")).otherwise(F.col("row_ord").isNotNull())
+    )
+    return found.select(
+        "request_id", "record_id", "operation", query_type(F.col("operation")).alias("query_type"),
+        "position", "col_name", "row_ord", "row_name", "raw",
+        F.coalesce("_number", to_float(F.col("raw"))).alias("num"), "note",
     )
 
 

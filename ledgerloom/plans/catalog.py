@@ -775,9 +775,7 @@ def _(spark, folder):
 
 @_query("f17_query_tables")
 def _(spark, folder):
-    cells = demo.cells(spark, folder)
-    types = tables.infer_column_types(cells)
-    return requests.query_tables(demo.text_requests(spark, folder), cells, types)
+    return requests.query_tables(demo.text_requests(spark, folder), demo.cells(spark, folder))
 
 
 # --- streaming -----------------------------------------------------------------------------------
