@@ -1,18 +1,22 @@
-"""Finding table labels and cells from approximate row and column names.
+"""Finding table labels and cells from approximate row and column names, in stages.
 
-Labels are held per table in bounded arrays (LABELS_PER_SLICE), so a request meets a few arrays rather than
-every label as a row of its own. Requests are reduced to distinct (record, wording) pairs before matching and
-only those that exact and substring rules leave open reach the similarity function.
+First an equality join on (record, label in lower case) answers every request that names a label outright. Only the others
+have a key for the second join, which brings the table's labels in bounded arrays (LABELS_PER_SLICE) for the substring
+rules; and only those still without an answer have one for the third, where built-in functions bound the similarity of
+each label from lengths and letter counts, and the similarity function sees the labels that may reach it. A request
+travels through the stages as one row, so its columns must be groupable (no maps).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.numeric import strip, to_float
 
@@ -27,13 +31,29 @@ _SIMILAR = T.StructType(
 MIN_OVERLAP = 0.3
 MIN_SIMILARITY = 0.4
 MATCHERS_KEPT = 4096
+#: Rows that are listed for a request that finds none.
+LISTED_ROWS = 10
 
 
-def label_slices(cells: DataFrame, axis: str) -> DataFrame:
-    """Labels of one axis as arrays of struct(ord, label, low): record_id, slice, labels."""
-    ordinal, name = ("col_ord", "col_name") if axis == "col" else ("row_ord", "row_name")
-    distinct = F.array_sort(F.collect_set(F.struct(F.col(ordinal).alias("ord"), F.col(name).alias("label"))))
-    return cells.groupBy("record_id", F.expr(f"{ordinal} div {LABELS_PER_SLICE}").alias("slice")).agg(
+def _axis_labels(cells: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """record_id, axis, ord, label of every cell's column and row, from one pass."""
+    each = [
+        F.struct(F.lit(a).alias("axis"), F.col(f"{a}_ord").alias("ord"), F.col(f"{a}_name").alias("label")) for a in axes
+    ]
+    return cells.select("record_id", F.inline(F.array(*each)))
+
+
+def _equal_labels(cells: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """The first label of every spelling: record_id, axis, needle (lower case), _equal struct(ord, label)."""
+    return _axis_labels(cells, axes).groupBy("record_id", "axis", F.lower("label").alias("needle")).agg(
+        F.min(F.struct("ord", "label")).alias("_equal")
+    )
+
+
+def label_slices(cells: DataFrame, axes: tuple[str, ...] = ("col", "row")) -> DataFrame:
+    """Labels as arrays of struct(ord, label, low): record_id, axis, slice, labels."""
+    distinct = F.array_sort(F.collect_set(F.struct("ord", "label")))
+    return _axis_labels(cells, axes).groupBy("record_id", "axis", F.expr(f"ord div {LABELS_PER_SLICE}").alias("slice")).agg(
         F.transform(
             distinct,
             lambda l: F.struct(
@@ -47,19 +67,10 @@ def _either_contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def _first_match(needle: Column) -> Column:
-    """Best of a slice: an equal label, else the first where either text contains the other."""
-    hits = F.filter("labels", lambda l: _either_contains(l["low"], needle))
-    return F.array_min(
-        F.transform(
-            hits,
-            lambda l: F.struct(
-                F.when(l["low"] == needle, 0).otherwise(1).alias("rank"),
-                l["ord"].alias("ord"),
-                l["label"].alias("label"),
-            ),
-        )
-    )
+def _first_containing(needle: Column) -> Column:
+    """First label of a slice where either text contains the other: struct(ord, label)."""
+    first = F.get(F.filter("labels", lambda l: _either_contains(l["low"], needle)), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["ord"].alias("ord"), first["label"].alias("label")))
 
 
 def _closest(needle: Column) -> Column:
@@ -85,35 +96,94 @@ def _names(labels: str | Column) -> Column:
     return F.transform(labels, lambda l: l["label"])
 
 
-def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
-    """(request_id, record_id, column_identifier) to the column it names: equal, else first containing.
+def _staged(requests: DataFrame, cells: DataFrame, needles: dict[str, dict[str, Column]], listed: int | None = None) -> DataFrame:
+    """The equality and substring stages for all axes at once; columns of requests, then per axis:
 
-    ``columns_tried`` lists the table's columns for a request that finds none: only slices without a match
-    pass on their names.
+    ``{axis}_equal``, ``{axis}_part``: struct(ord, label) of the equal and of the first containing label; ``{axis}_close``:
+    struct(rank, ord, label) of the largest length overlap, where wanted; ``{axis}_tried``: labels of a request that has
+    neither, the first ``listed``. ``needles`` has, per axis, the stripped text in lower case (``direct``) and, where
+    overlaps are wanted, the text in lower case (``close``).
     """
-    wanted = requests.select("record_id", "column_identifier").distinct()
-    needle = F.lower(strip(F.col("column_identifier")))
-    best = (
-        wanted.filter(needle != "")
-        .join(label_slices(cells, "col"), "record_id")
-        .withColumn("_match", _first_match(needle))
-        .groupBy("record_id", "column_identifier")
-        .agg(
-            F.min("_match").alias("_best"),
-            F.array_sort(
-                F.collect_list(F.when(F.col("_match").isNull(), F.struct("slice", _names("labels").alias("names"))))
-            ).alias("_tried"),
-        )
+    axes = tuple(needles)
+    none = F.lit(None).cast("string")
+    lookups = F.array(
+        *[
+            F.struct(F.lit(a).alias("axis"), n.get("direct", none).alias("needle"), n.get("close", none).alias("_close"))
+            for a, n in needles.items()
+        ]
     )
-    all_names = F.flatten(F.transform("_tried", lambda s: s["names"]))
-    return requests.join(best, ["record_id", "column_identifier"], "left").select(
-        *requests.columns,
-        F.col("_best.ord").alias("col_ord"),
-        F.col("_best.label").alias("matched_column"),
-        F.when(F.col("_best.rank") == 0, "exact").when(F.col("_best.rank") == 1, "partial").alias("column_match"),
-        F.when(F.col("_best").isNull(), all_names).alias("columns_tried"),
+    names = requests.columns
+    asked = requests.select("*", F.inline(lookups)).join(_equal_labels(cells, axes), ["record_id", "axis", "needle"], "left")
+    # Settled by an equal label, unless overlaps come first and go by another text; an empty text finds nothing.
+    settled = F.col("_equal").isNotNull() & F.coalesce(F.col("_close") == F.col("needle"), F.lit(True))
+    blank = (F.coalesce("needle", F.lit("")) == "") & (F.coalesce("_close", F.lit("")) == "")
+    open_ = asked.withColumn("_open", F.when(~settled & ~blank, F.col("record_id")))
+    slices = label_slices(cells, axes).withColumnRenamed("record_id", "_open")
+    tried = open_.join(slices, ["_open", "axis"], "left")
+    needle = F.when(F.col("needle") != "", F.col("needle"))
+    found = tried.select(
+        *names, "axis", "_equal", "slice",
+        F.when(F.col("_equal").isNull(), _first_containing(needle)).alias("_part"),
+        F.when(F.col("_close") != "", F.when(settled, F.struct(
+            F.lit(-2.0).alias("rank"), F.col("_equal.ord").alias("ord"), F.col("_equal.label").alias("label")
+        )).otherwise(_closest(F.col("_close")))).alias("_near"),
+        "labels",
     )
 
+    def of(axis: str, column: Column | str) -> Column:
+        return F.when(F.col("axis") == axis, F.col(column) if isinstance(column, str) else column)
+
+    kept = F.struct(F.col("slice"), _names("labels" if listed is None else F.slice("labels", 1, listed)).alias("names"))
+    columns = []
+    for axis in axes:
+        untold = of(axis, F.when(F.col("_part").isNull() & F.col("_equal").isNull() & F.col("labels").isNotNull(), kept))
+        listing = F.flatten(F.transform(F.array_sort(F.collect_list(untold)), lambda s: s["names"]))
+        columns += [
+            F.min(of(axis, "_equal")).alias(f"{axis}_equal"),
+            F.min(of(axis, "_part")).alias(f"{axis}_part"),
+            F.min(of(axis, "_near")).alias(f"{axis}_near"),
+            (listing if listed is None else F.slice(listing, 1, listed)).alias(f"{axis}_tried"),
+            # Equal rows of requests come out as often as they went in.
+            (F.count(of(axis, F.lit(1))) / F.greatest(F.lit(1), F.size(F.collect_set(of(axis, "slice"))))).alias(f"{axis}_times"),
+        ]
+    merged = found.groupBy(*names).agg(*columns)
+    again = F.explode(F.sequence(F.lit(1), F.col(f"{axes[0]}_times").cast("int")))
+    return merged.withColumn("_again", again).drop("_again", *[f"{a}_times" for a in axes])
+
+
+def _column_needles() -> dict[str, dict[str, Column]]:
+    return {"col": {"direct": F.lower(strip(F.col("column_identifier")))}}
+
+
+def _row_needles(direct: bool, close: bool) -> dict[str, dict[str, Column]]:
+    texts = {}
+    if direct:
+        texts["direct"] = F.lower(strip(F.col("row_identifier")))
+    if close:
+        texts["close"] = F.lower(F.col("row_identifier"))
+    return {"row": texts}
+
+
+def _with_columns(staged: DataFrame) -> DataFrame:
+    """The columns that ``match_columns`` adds, from the outcome of the stages."""
+    best = F.coalesce("col_equal", "col_part")
+    return staged.withColumns(
+        {
+            "col_ord": best["ord"],
+            "matched_column": best["label"],
+            "column_match": F.when(F.col("col_equal").isNotNull(), "exact").when(F.col("col_part").isNotNull(), "partial"),
+            "columns_tried": F.when(best.isNull() & (F.size("col_tried") > 0), F.col("col_tried")),
+        }
+    ).drop("col_equal", "col_part", "col_near", "col_tried")
+
+
+def match_columns(requests: DataFrame, cells: DataFrame) -> DataFrame:
+    """(request_id, record_id, column_identifier) to the column it names: equal, else first containing.
+
+    ``columns_tried`` lists the table's columns for a request that finds none.
+    """
+    return _with_columns(_staged(requests, cells, _column_needles()))
+
 
 def match_column_lists(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """Replace every wanted name in ``target_columns`` by the column it matches; names without one go."""
@@ -133,118 +203,129 @@ def match_column_lists(requests: DataFrame, cells: DataFrame) -> DataFrame:
 
 def closest_label(requests: DataFrame, cells: DataFrame, axis: str = "row") -> DataFrame:
     """(request_id, record_id, row_identifier) to the label with the largest length overlap above 0.3."""
-    wanted = requests.select("record_id", "row_identifier").distinct()
-    needle = F.lower(F.col("row_identifier"))
-    best = (
-        wanted.filter(needle != "")
-        .join(label_slices(cells, axis), "record_id")
-        .groupBy("record_id", "row_identifier")
-        .agg(F.min(_closest(needle)).alias("_best"))
-        .filter(F.col("_best.rank") < -MIN_OVERLAP)
-    )
-    return requests.join(best, ["record_id", "row_identifier"], "left").select(
+    text = F.lower(F.col("row_identifier"))
+    # The equality stage goes by the same text as the overlaps do.
+    staged = _staged(requests, cells, {axis: {"direct": text, "close": text}})
+    label = F.when(F.col(f"{axis}_near.rank") < -MIN_OVERLAP, F.col(f"{axis}_near.label"))
+    return staged.select(
         *requests.columns,
-        F.col("_best.label").alias("matched_label"),
-        F.when(F.col("_best.label").isNotNull(), F.lit(0.5)).otherwise(F.lit(0.0)).alias("confidence"),
+        label.alias("matched_label"),
+        F.when(label.isNotNull(), F.lit(0.5)).otherwise(F.lit(0.0)).alias("confidence"),
     )
 
 
-@F.pandas_udf(_SIMILAR)
-def _most_similar(needles: pd.Series, slices: pd.Series) -> pd.DataFrame:
-    """First label of each slice with the highest similarity ratio above the threshold; rank is its negative."""
-    # A matcher indexes its label once; labels recur across tables, so matchers are kept while they are few.
-    matchers: dict[str, SequenceMatcher] = {}
-    found = []
-    for needle, labels in zip(needles, slices):
-        best: tuple = (None, None, None)
-        score = MIN_SIMILARITY
-        for item in () if labels is None else labels:
-            low = item["low"]
-            matcher = matchers.get(low)
-            if matcher is None:
-                if len(matchers) >= MATCHERS_KEPT:
-                    matchers.clear()
-                matcher = matchers[low] = SequenceMatcher(None, "", low)
-            matcher.set_seq1(needle)
-            if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score:
-                ratio = matcher.ratio()
-                if ratio > score:
-                    score, best = ratio, (-ratio, item["ord"], item["label"])
-        found.append(best)
-    frame = pd.DataFrame(found, columns=["rank", "ord", "label"])
-    return frame.astype({"rank": "float64", "ord": "Int64"})
-
-
-def match_rows(
-    requests: DataFrame,
-    cells: DataFrame,
-    overlap_first: bool = False,
-    fuzzy: bool = True,
-    listed_rows: int = 10,
-) -> DataFrame:
-    """Row labels for (request_id, record_id, row_identifier), with how they matched and the score.
-
-    Order of rules: equal (1.0), first containing either way (0.8), then the most similar above 0.4. With
-    ``overlap_first`` the overlap rule (0.5) comes before all of these, as in a cell lookup. ``rows_tried``
-    lists the first rows of the table for a request that finds none.
-    """
-    keys = ["record_id", "row_identifier"]
+def _add_most_similar(rows: DataFrame, needle: str, possible: str, out: str) -> DataFrame:
+    """Replace ``needle`` and ``possible`` (labels of a slice) by the label with the highest similarity ratio above the
+    threshold, the first of equals; its rank is the negative ratio."""
+    kept = [f for f in rows.schema if f.name not in (needle, possible)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A matcher indexes its label once; labels recur across tables, so matchers are kept while they are few.
+        matchers: dict[str, SequenceMatcher] = {}
+        for batch in batches:
+            found = []
+            for text, labels in zip(batch[needle].to_pylist(), batch[possible].to_pylist(), strict=True):
+                best, score = None, MIN_SIMILARITY
+                for item in labels or ():
+                    low = item["low"]
+                    matcher = matchers.get(low)
+                    if matcher is None:
+                        if len(matchers) >= MATCHERS_KEPT:
+                            matchers.clear()
+                        matcher = matchers[low] = SequenceMatcher(None, "", low)
+                    matcher.set_seq1(text)
+                    ratio = matcher.ratio()
+                    if ratio > score:
+                        score, best = ratio, {"rank": -ratio, "ord": item["ord"], "label": item["label"]}
+                found.append(best)
+            columns = [batch[f.name] for f in kept] + [pa.array(found, to_arrow_type(_SIMILAR))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], out])
+
+    return rows.mapInArrow(compare, T.StructType([*kept, T.StructField(out, _SIMILAR)]))
+
+
+def _may_be_similar(needle: Column, low: Column) -> Column:
+    """Whether the similarity of two texts can exceed the threshold: twice the letters that they share, by their length."""
+    total = F.length(needle) + F.length(low)
+    letters = F.array_distinct(F.filter(F.split(needle, ""), lambda c: c != ""))
+
+    def count(text: Column, letter: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+
+    shared = F.aggregate(letters, F.lit(0), lambda held, c: held + F.least(count(needle, c), count(low, c)))
+    by_length = 2 * F.least(F.length(needle), F.length(low)) > MIN_SIMILARITY * total
+    return by_length & (2 * shared > MIN_SIMILARITY * total)
+
+
+def _with_similar(staged: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add ``_similar`` struct(rank, ord, label) for requests whose row no rule before has found."""
+    names = staged.columns
     needle = F.lower(strip(F.col("row_identifier")))
-    tried = (
-        requests.select(*keys)
-        .distinct()
-        .filter(needle != "")
-        .join(label_slices(cells, "row"), "record_id")
-        .withColumn("_direct", _first_match(needle))
-    )
+    close = F.coalesce(F.col("row_near.rank") < -MIN_OVERLAP, F.lit(False))
+    open_ = F.col("row_equal").isNull() & F.col("row_part").isNull() & ~close & (needle != "")
+    slices = label_slices(cells, ("row",)).select(F.col("record_id").alias("_open"), "slice", "labels")
+    tried = staged.withColumn("_open", F.when(open_, F.col("record_id"))).join(slices, "_open", "left")
+    possible = F.filter("labels", lambda l: _may_be_similar(needle, l["low"]))
+    bounded = tried.select(*names, "slice", needle.alias("_needle"), possible.alias("_possible"))
+    best = _add_most_similar(bounded, "_needle", "_possible", "_similar")
+    key = [c for c in names if c not in ("row_tried", "col_tried")]
+    held = [F.first(c).alias(c) for c in names if c not in key]
+    times = F.count(F.lit(1)) / F.greatest(F.lit(1), F.size(F.collect_set("slice")))
+    similar = F.min(F.when(F.col("_similar.label").isNotNull(), F.col("_similar"))).alias("_similar")
+    merged = best.groupBy(*key).agg(*held, similar, times.cast("int").alias("_times"))
+    return merged.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).drop("_again", "_times")
+
+
+def _with_rows(staged: DataFrame, cells: DataFrame, fuzzy: bool) -> DataFrame:
+    """The columns that ``match_rows`` adds, from the outcome of the stages."""
     if fuzzy:
-        # Only slices without a direct match carry their labels to the similarity function.
-        open_labels = F.when(F.col("_direct").isNull(), F.col("labels"))
-        tried = tried.withColumn("_similar", _most_similar(needle, open_labels))
+        staged = _with_similar(staged, cells)
     else:
-        tried = tried.withColumn("_similar", F.lit(None).cast(_SIMILAR))
-    found = tried.groupBy(*keys).agg(
-        F.min("_direct").alias("_direct"),
-        F.min(_closest(F.lower(F.col("row_identifier")))).alias("_overlap"),
-        F.min(F.when(F.col("_similar.label").isNotNull(), F.col("_similar"))).alias("_similar"),
-        # The first rows of every slice, of which the first of all are listed.
-        F.flatten(
-            F.collect_list(
-                F.when(
-                    F.col("_direct").isNull(),
-                    F.transform(F.slice("labels", 1, listed_rows), lambda l: F.struct(l["ord"], l["label"])),
-                )
-            )
-        ).alias("_tried"),
-    )
-    close = F.lit(False)
-    if overlap_first:
-        close = F.coalesce(F.col("_overlap.rank") < -MIN_OVERLAP, F.lit(False))
+        staged = staged.withColumn("_similar", F.lit(None).cast(_SIMILAR))
+    close = F.coalesce(F.col("row_near.rank") < -MIN_OVERLAP, F.lit(False))
     kind = (
         F.when(close, "overlap")
-        .when(F.col("_direct.rank") == 0, "exact")
-        .when(F.col("_direct.rank") == 1, "partial")
+        .when(F.col("row_equal").isNotNull(), "exact")
+        .when(F.col("row_part").isNotNull(), "partial")
         .when(F.col("_similar").isNotNull(), "similar")
     )
 
     def picked(field: str) -> Column:
-        return F.when(close, F.col(f"_overlap.{field}")).otherwise(
-            F.coalesce(F.col(f"_direct.{field}"), F.col(f"_similar.{field}"))
+        return F.when(close, F.col(f"row_near.{field}")).otherwise(
+            F.coalesce(F.col(f"row_equal.{field}"), F.col(f"row_part.{field}"), F.col(f"_similar.{field}"))
         )
 
-    resolved = found.select(
-        *keys,
-        picked("ord").cast("long").alias("row_ord"),
-        picked("label").alias("matched_row"),
-        kind.alias("row_match"),
+    score = (
         F.when(kind == "similar", -F.col("_similar.rank"))
         .when(kind == "exact", F.lit(1.0))
         .when(kind == "partial", F.lit(0.8))
         .when(kind == "overlap", F.lit(0.5))
-        .alias("row_score"),
-        F.when(kind.isNull(), _names(F.slice(F.array_sort("_tried"), 1, listed_rows))).alias("rows_tried"),
     )
-    return requests.join(resolved, keys, "left")
+    return staged.withColumns(
+        {
+            "row_ord": picked("ord").cast("long"),
+            "matched_row": picked("label"),
+            "row_match": kind,
+            "row_score": score,
+            "rows_tried": F.when(kind.isNull() & (F.size("row_tried") > 0), F.col("row_tried")),
+        }
+    ).drop("row_equal", "row_part", "row_near", "row_tried", "_similar")
+
+
+def match_rows(
+    requests: DataFrame,
+    cells: DataFrame,
+    overlap_first: bool = False,
+    fuzzy: bool = True,
+    listed_rows: int = LISTED_ROWS,
+) -> DataFrame:
+    """Row labels for (request_id, record_id, row_identifier), with how they matched and the score.
+
+    Order of rules: equal (1.0), first containing either way (0.8), then the most similar above 0.4. With
+    ``overlap_first`` the overlap rule (0.5) comes before all of these, as in a cell lookup. ``rows_tried``
+    lists the first rows of the table for a request that finds none.
+    """
+    return _with_rows(_staged(requests, cells, _row_needles(True, overlap_first), listed_rows), cells, fuzzy)
 
 
 def get_values(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -254,7 +335,8 @@ def get_values(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -> Dat
     Formatted amounts come back as numbers, other values as trimmed text. ``status`` tells what was missing,
     and ``available`` the labels there were to choose from.
     """
-    located = match_rows(match_columns(requests, cells), cells, overlap_first=True, fuzzy=fuzzy)
+    staged = _staged(requests, cells, _column_needles() | _row_needles(True, True))
+    located = _with_rows(_with_columns(staged), cells, fuzzy)
     values = cells.select("record_id", "col_ord", F.col("row_ord").cast("long").alias("row_ord"), "raw")
     fetched = located.join(values, ["record_id", "col_ord", "row_ord"], "left")
     blank = (F.coalesce(strip(F.col("row_identifier")), F.lit("")) == "") | (
@@ -280,6 +362,6 @@ def get_values(requests: DataFrame, cells: DataFrame, fuzzy: bool = True) -> Dat
         F.when(ok, strip(F.col("raw"))).alias("value_text"),
         "status",
         F.when(F.col("status") == "COLUMN_NOT_FOUND", F.col("columns_tried"))
-        .when(F.col("status") == "ROW_NOT_FOUND", F.col("rows_tried"))
+        .when(F.col("status") == "ROW_NOT_FOUND", F.slice("rows_tried", 1, LISTED_ROWS))
         .alias("available"),
     )

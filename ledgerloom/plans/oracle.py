@@ -323,6 +323,41 @@ direct_best AS (
          min(rank) AS rank FROM direct_hits GROUP BY request_id)"""
 
 
+def _similarity() -> str:
+    """Similar rows of misspelt requests: 2 * matched / length, by the longest common block and then left and right of it.
+
+    Labels are shorter than 200 letters, so none of them counts as too frequent. Blocks are looked for once per distinct
+    pair of texts: the longest one, of those the first in the wording, of those the first in the label.
+    """
+    return f""", misspelt AS (
+  SELECT rec_ord * 100000 + row_ord * 10000 + col_ord AS request_id, rec_ord, record_id,
+         translate(upper(row_name), 'AEO', 'xyz') AS row_identifier FROM cells WHERE col_ord < 9000),
+respelt AS (SELECT *, lower({_strip('row_identifier')}) AS a FROM misspelt),
+label_tries AS (SELECT w.request_id, w.a, lower(r.row_name) AS b, r.row_ord, r.row_name
+          FROM respelt w JOIN row_labels r USING (record_id) WHERE w.a <> ''),
+plain_hits AS (SELECT request_id, arg_min(row_name, (CASE WHEN a = b THEN 0 ELSE 1 END, row_ord)) AS row_name, min(CASE WHEN a = b THEN 0 ELSE 1 END) AS rank
+           FROM label_tries WHERE contains(a, b) OR contains(b, a) GROUP BY request_id),
+text_pairs AS (SELECT DISTINCT a, b FROM label_tries),
+blocks AS (
+  SELECT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS found, 0 AS level FROM text_pairs
+  UNION ALL
+  SELECT a, b, part.alo, part.ahi, part.blo, part.bhi, best.k, level + 1 FROM (
+    SELECT *, list_extract(list_sort(flatten(list_transform(range(alo, ahi), lambda i: flatten(list_transform(range(blo, bhi), lambda j:
+      list_transform(range(1, least(ahi - i, bhi - j) + 1), lambda k: CASE WHEN substr(a, i, k) = substr(b, j, k)
+        THEN {{'n': -k, 'i': i, 'j': j, 'k': k}} ELSE {{'n': 0, 'i': i, 'j': j, 'k': 0}} END)))))), 1) AS best
+    FROM blocks WHERE alo < ahi AND blo < bhi) x,
+  LATERAL (SELECT unnest([{{'alo': alo, 'ahi': best.i, 'blo': blo, 'bhi': best.j, 'n': 0}},
+                          {{'alo': best.i + best.k, 'ahi': ahi, 'blo': best.j + best.k, 'bhi': bhi, 'n': 1}}]) AS part) y
+  WHERE best.k > 0),
+ratios AS (SELECT a, b, 2.0 * sum(found) / 2 / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b),
+alike AS (SELECT request_id, arg_min(row_name, (-ratio, row_ord)) AS row_name, max(ratio) AS ratio
+            FROM label_tries JOIN ratios USING (a, b) WHERE ratio > 0.4 GROUP BY request_id)
+SELECT q.request_id, coalesce(d.row_name, s.row_name) AS matched_row,
+       CASE WHEN d.rank = 0 THEN 'exact' WHEN d.rank = 1 THEN 'partial' WHEN s.ratio IS NOT NULL THEN 'similar' END AS row_match,
+       CASE WHEN d.rank = 0 THEN 1.0 WHEN d.rank = 1 THEN 0.8 ELSE s.ratio END::DOUBLE AS row_score
+FROM respelt q LEFT JOIN plain_hits d USING (request_id) LEFT JOIN alike s USING (request_id)"""
+
+
 def _context(source: str, tools: str, computed: str) -> str:
     """Context of the five turns before, with the state lines in the order they first appeared."""
     before = "OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -543,6 +578,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT q.request_id, b.row_name AS matched_row, CASE b.rank WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' END AS row_match,
           CASE b.rank WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 END::DOUBLE AS row_score
         FROM value_requests q LEFT JOIN direct_best b USING (request_id)""")
+    add("j3_match_rows_similar", _similarity())
+    sql["j3_match_rows_similar"] = sql["j3_match_rows_similar"].replace("WITH ", "WITH RECURSIVE ", 1)
     add("j4_get_values", _column_match() + _row_match() + f""", located AS (
           SELECT q.*, c.col_ord, c.col_name, coalesce(o.row_ord, d.row_ord) AS row_ord, coalesce(o.row_name, d.row_name) AS row_name
           FROM value_requests q LEFT JOIN col_best c USING (request_id) LEFT JOIN overlap_best o USING (request_id)

@@ -92,6 +92,42 @@ def test_values(spark):
     assert rows[2].value_text == "text"
 
 
+def test_answered_requests_do_not_reach_the_next_stage(spark, monkeypatch):
+    """Labels of the later stages are replaced: only requests that the stage before left open may see them."""
+    cells = grid(spark, {"2007": {"net income": "1", "total costs": "2"}, "2008": {"net income": "3"}})
+    asked = spark.createDataFrame(
+        [(1, "r", "Net Income"), (2, "r", "costs"), (3, "r", "nxt incxme"), (4, "r", ""), (4, "r", "")],
+        "request_id long, record_id string, row_identifier string",
+    )
+    right = {r.request_id: (r.matched_row, r.row_match) for r in matching.match_rows(asked, cells).collect()}
+    assert right == {1: ("net income", "exact"), 2: ("total costs", "partial"), 3: ("net income", "similar"), 4: (None, None)}
+    assert matching.match_rows(asked, cells).count() == 5  # repeated requests stay
+    genuine = matching.label_slices
+
+    def other(cells, axes=("col", "row")):
+        label = F.transform("labels", lambda l: F.struct(l["ord"], F.lit("other").alias("label"), l["low"]))
+        return genuine(cells, axes).withColumn("labels", label)
+
+    def reached(rows, needle, possible, out):
+        mark = F.struct(F.lit(-0.5).alias("rank"), F.lit(7).cast("long").alias("ord"), F.lit("reached").alias("label"))
+        return rows.withColumn(out, F.when(F.col(possible).isNotNull(), mark)).drop(needle, possible)
+
+    monkeypatch.setattr(matching, "label_slices", other)
+    monkeypatch.setattr(matching, "_add_most_similar", reached)
+    got = {r.request_id: (r.matched_row, r.row_match) for r in matching.match_rows(asked, cells).collect()}
+    assert got == {1: ("net income", "exact"), 2: ("other", "partial"), 3: ("reached", "similar"), 4: (None, None)}
+
+
+def test_bound_never_excludes_a_similar_label(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("aabcde ()") for _ in range(rng.randint(1, 14)))
+    pairs = [(text(), text()) for _ in range(400)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    rows = frame.select("a", "b", matching._may_be_similar(F.col("a"), F.col("b")).alias("may")).collect()
+    assert all(r.may for r in rows if SequenceMatcher(None, r.a, r.b).ratio() > 0.4)
+    assert any(not r.may for r in rows)
+
+
 def test_change_requests(spark):
     cells = grid(spark, {"2007": {"costs": "(26)", "cash": "10"}, "2008": {"costs": "(27)"}})
     asked = spark.createDataFrame(
