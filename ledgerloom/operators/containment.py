@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Substring lengths used as join keys; a needle uses the longest that fits it.
 GRAM_LENGTHS = [1, 2, 4, 8, 16]
-# A substring common to very many texts is spread over this many tasks.
-SALTS = 32
 
 
 def _grams(text: Column, length: Column) -> Column:
@@ -23,8 +21,10 @@ def contained_in(needles: DataFrame, hay: DataFrame, on: list[str] | None = None
     """Every (needle row, hay row) where ``needle`` occurs in ``hay``; equal on the columns ``on``.
 
     Each needle is looked up through its rarest substring, so a prefix shared by all texts (``Customer#``)
-    does not bring every text to every needle. A needle with a substring no text has drops out at once.
-    Needles should be distinct. Empty needles match every text of their ``on`` group.
+    does not bring every text to every needle. A needle with a substring no text has drops out at once. A substring
+    that very many texts have is split at run time (adaptive skew join), in proportion to what it holds.
+    Needles should be distinct. Empty needles match every text of their ``on`` group, and only where there are such
+    needles do texts have an empty substring.
     """
     on = on or []
     size = F.lit(GRAM_LENGTHS[0])
@@ -35,8 +35,9 @@ def contained_in(needles: DataFrame, hay: DataFrame, on: list[str] | None = None
             F.array(*[F.lit(n) for n in GRAM_LENGTHS]), lambda n: _grams(F.col("hay"), n)
         )
     )
-    hay_grams = hay.select("*", F.explode(F.array_append(all_grams, F.lit(""))).alias("_gram"))
-    frequency = hay_grams.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_freq"))
+    some_empty = needles.agg(F.bool_or(F.col("needle") == "")).scalar()
+    empty = F.when(some_empty, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    hay_grams = hay.select("*", F.explode(F.concat(all_grams, empty)).alias("_gram"))
     needle_grams = needles.select(
         *on,
         "needle",
@@ -44,6 +45,7 @@ def contained_in(needles: DataFrame, hay: DataFrame, on: list[str] | None = None
             F.when(F.col("needle") == "", F.array(F.lit(""))).otherwise(_grams(F.col("needle"), size))
         ).alias("_gram"),
     ).distinct()
+    frequency = hay_grams.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_freq"))
     chosen = (
         needle_grams.join(frequency, [*on, "_gram"], "left")
         .groupBy(*on, "needle")
@@ -51,7 +53,5 @@ def contained_in(needles: DataFrame, hay: DataFrame, on: list[str] | None = None
         .filter("_rarest.freq > 0")
         .select(*on, "needle", "_rarest._gram")
     )
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = hay_grams.withColumn("_salt", F.pmod(F.xxhash64("hay"), F.lit(SALTS)).cast("int"))
-    pairs = salted.join(chosen.select("*", every_salt), [*on, "_gram", "_salt"])
-    return pairs.filter(F.contains("hay", F.col("needle"))).drop("_gram", "_salt")
+    pairs = hay_grams.join(chosen, [*on, "_gram"])
+    return pairs.filter(F.contains("hay", F.col("needle"))).drop("_gram")

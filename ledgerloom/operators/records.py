@@ -34,12 +34,11 @@ def listing_counts(records: DataFrame, limit: int = 10) -> DataFrame:
 def dedup_records(records: DataFrame, keep: str = "last") -> DataFrame:
     """One record per id: the last (cache rule) or the first (scan rule).
 
-    Only ids and ordinals are aggregated; the payload is then picked by its unique ordinal, so an id with
-    very many copies never meets in one task.
+    Each task keeps its own best copy before the shuffle, so an id with very many copies never meets in one task.
     """
-    pick = F.max("rec_ord") if keep == "last" else F.min("rec_ord")
-    winners = records.groupBy("record_id").agg(pick.alias("rec_ord")).select("rec_ord")
-    return records.join(winners, "rec_ord", "left_semi").select(*records.columns)
+    pick = F.max_by if keep == "last" else F.min_by
+    kept = records.groupBy("record_id").agg(pick(F.struct(*records.columns), "rec_ord").alias("_kept"))
+    return kept.select("_kept.*")
 
 
 def usable_records(records: DataFrame, cells: DataFrame) -> DataFrame:

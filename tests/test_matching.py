@@ -153,6 +153,17 @@ def test_containment(spark):
     assert plain.count() == sum(n in t for t in texts for n in needles)
 
 
+def test_needle_in_every_text_and_no_empty_substrings(spark):
+    hay = spark.range(3000).select(F.concat(F.lit("Customer#"), F.col("id").cast("string")).alias("hay"))
+    needles = spark.createDataFrame([("Customer#",), ("#29",), ("omer#2999",), ("nobody",)], "needle string")
+    got = {r.needle: r.n for r in contained_in(needles, hay).groupBy("needle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"Customer#": 3000, "#29": 111, "omer#2999": 1}
+    plan = contained_in(needles, hay)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    empty = contained_in(spark.createDataFrame([("",)], "needle string"), hay)
+    assert empty.count() == 3000 and contained_in(needles.filter("needle = 'nobody'"), hay).count() == 0
+
+
 def test_no_pairwise_join(spark):
     """Lookups join on equality only."""
     cells = grid(spark, {"2007": {"a": "1"}})
