@@ -115,9 +115,15 @@ def baseline_report(results: DataFrame, model: str = "This run", method: str = "
 
 
 def example_results(results: DataFrame, count: int = 3) -> DataFrame:
-    """The first ``count`` right and wrong results in record and turn order."""
+    """The first ``count`` right and wrong results in record and turn order.
+
+    Each task keeps its first ``count`` of either kind, so only those meet to be ranked.
+    """
+    kinds = [
+        results.filter(F.col("is_correct") == right).orderBy("rec_ord", "turn").limit(count) for right in (True, False)
+    ]
     rank = F.row_number().over(Window.partitionBy("is_correct").orderBy("rec_ord", "turn"))
-    return results.withColumn("rank", rank).filter(F.col("rank") <= count)
+    return kinds[0].unionByName(kinds[1]).withColumn("rank", rank)
 
 
 def running_accuracy(results: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

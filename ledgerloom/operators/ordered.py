@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 65_536
+#: Slices whose sums are carried on by one task.
+FAN = 1 << 24
 
 
 def _slice_of(position: str, slice_rows: int) -> Column:
@@ -125,20 +127,46 @@ def carry_forward(
     )
 
 
+def _before(sums: DataFrame, group: list[str], names: list[str], levels: int) -> DataFrame:
+    """group, _slice and ``_before_{name}``: of every slice, the sums of all slices before it.
+
+    Slices are cut in runs of ``FAN`` by their number. Each run is summed up on its own, what stands before a run is found
+    in the same way from the totals of the runs, and the last level has so few rows that they meet in one place.
+    """
+    run = [*group, "_run"]
+    by = F.pmod("_slice", F.lit(1)) if levels == 0 else _slice_of("_slice", FAN)
+    cut = sums.withColumn("_run", by)
+    earlier = Window.partitionBy(*run).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.select(*run, "_slice", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names])
+    if levels == 0:
+        return inside.drop("_run")
+    totals = cut.groupBy(*run).agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in names])
+    outside = _before(totals.withColumnRenamed("_run", "_slice"), group, names, levels - 1).select(
+        *group, F.col("_slice").alias("_run"), *[F.col(f"_before_{n}").alias(f"_run_{n}") for n in names]
+    )
+    return inside.join(outside, run).select(
+        *group, "_slice", *[(F.col(f"_before_{n}") + F.col(f"_run_{n}")).alias(f"_before_{n}") for n in names]
+    )
+
+
 def running_totals(
     df: DataFrame,
     order: str,
     totals: dict[str, str],
     group: list[str] | None = None,
     slice_rows: int = SLICE_ROWS,
+    levels: int = 1,
 ) -> DataFrame:
-    """Add cumulative sums ``{out: column}`` up to and including each row, by the integer ``order``."""
+    """Add cumulative sums ``{out: column}`` up to and including each row, by the integer ``order``.
+
+    Sums travel through slices of ``slice_rows``, runs of ``FAN`` slices, and so on for ``levels``; with the defaults, all
+    whole numbers make at most 2 ** 23 runs, so no task meets more rows than that at the last level.
+    """
     group = group or []
     keys = [*group, "_slice"]
     sliced = df.withColumn("_slice", _slice_of(order, slice_rows))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sliced.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in totals.items()])
-    carried = sums.select(*keys, *[F.sum(f"_sum_{o}").over(before).alias(f"_before_{o}") for o in totals])
+    carried = _before(sums, group, list(totals), levels)
     local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     windowed = sliced.select("*", *[F.sum(c).over(local).alias(f"_local_{o}") for o, c in totals.items()])
     return _attach(windowed, carried, keys).select(

@@ -791,7 +791,7 @@ def _(spark, folder):
         spark, f"{base}/preds", turns, f"{base}/ledger", f"{base}/checkpoint"
     )
     stream.awaitTermination()
-    return evaluation.accuracy_breakdown(spark.read.parquet(f"{base}/ledger"))
+    return evaluation.accuracy_breakdown(incremental.read_scores(spark, f"{base}/ledger"))
 
 
 @_query("st2_stream_sessions")
@@ -799,10 +799,9 @@ def _(spark, folder):
     base = shared_folder(spark, "sessions")
     demo.event_log(spark, folder).write.parquet(f"{base}/log")
     log = incremental.open_turn_log(spark, f"{base}/log")
-    incremental.stream_totals(
-        incremental.session_totals(log), f"{base}/totals", f"{base}/checkpoint"
-    ).awaitTermination()
-    return incremental.read_totals(spark, f"{base}/totals", ["session_id"]).select(
+    kind = incremental.SESSIONS
+    incremental.stream_totals(log, kind, f"{base}/totals", f"{base}/checkpoint").awaitTermination()
+    return incremental.read_totals(spark, kind, f"{base}/totals").select(
         "session_id", "turn_count", _stamp("created_at"), _stamp("updated_at")
     )
 
@@ -812,7 +811,6 @@ def _(spark, folder):
     base = shared_folder(spark, "entities")
     demo.event_log(spark, folder).write.parquet(f"{base}/log")
     log = incremental.open_turn_log(spark, f"{base}/log")
-    incremental.stream_totals(
-        incremental.entity_totals(log), f"{base}/totals", f"{base}/checkpoint"
-    ).awaitTermination()
-    return incremental.read_totals(spark, f"{base}/totals", ["session_id", "entity"])
+    kind = incremental.ENTITIES
+    incremental.stream_totals(log, kind, f"{base}/totals", f"{base}/checkpoint").awaitTermination()
+    return incremental.read_totals(spark, kind, f"{base}/totals")

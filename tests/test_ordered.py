@@ -144,3 +144,21 @@ def test_pairing(spark):
     frame = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.seq, r.user_message, r.assistant_response) for r in dialogue.pair_messages(frame).collect()}
     assert got == {(1, 1, "q1", "a1"), (1, 3, "q2", None), (2, 0, "x", None), (2, 1, "y", "z")}
+
+
+def test_running_totals_through_three_levels(spark, monkeypatch):
+    from itertools import accumulate
+
+    from ledgerloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "FAN", 4)
+    draw = random.Random(8)
+    orders = sorted(draw.sample(range(-300, 2000), 700))
+    values = [draw.choice([-3, 0, 1, 7]) for _ in orders]
+    frame = spark.createDataFrame(list(zip(orders, values)), "seq long, n long").repartition(6)
+    for levels in (0, 1, 2, 3):
+        out = running_totals(frame, "seq", {"total": "n"}, slice_rows=4, levels=levels)
+        got = {r.seq: r.total for r in out.collect()}
+        assert got == dict(zip(orders, accumulate(values)))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan

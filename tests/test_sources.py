@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import dialogue, evaluation
 from ledgerloom.sources import corpus, ledger, turnlog
-from ledgerloom.streaming import incremental
+from ledgerloom.streaming import incremental, kept
 
 
 def record(name, table, questions=("q1", "q2"), answers=("1", "2", "3"), features=None):
@@ -162,31 +162,61 @@ def test_turn_log(spark, log, tmp_path):
 
 def test_streamed_scores(spark, gold, tmp_path):
     turns, preds = gold
-    arrived, kept, state = (str(tmp_path / n) for n in ("preds", "ledger", "state"))
+    arrived, kept_, state = (str(tmp_path / n) for n in ("preds", "ledger", "state"))
 
     def run():
-        incremental.stream_scores(spark, arrived, turns, kept, state).awaitTermination()
-        return spark.read.parquet(kept)
+        incremental.stream_scores(spark, arrived, turns, kept_, state, files_at_once=1).awaitTermination()
+        return incremental.read_scores(spark, kept_)
 
     plain = preds.select("record_id", "turn", "actual")
-    plain.filter("record_id = 'r0'").write.mode("append").parquet(arrived)
+    plain.filter("record_id = 'r0'").coalesce(1).write.mode("append").parquet(arrived)
     assert run().count() == 2
     assert run().count() == 2
-    plain.filter("record_id <> 'r0'").write.mode("append").parquet(arrived)
+    later = plain.filter("record_id = 'r0'").withColumn("actual", F.lit("changed my mind"))
+    later.unionByName(plain.filter("record_id <> 'r0'")).coalesce(1).write.mode("append").parquet(arrived)
     final = run()
-    assert final.count() == 8
-    assert final.exceptAll(evaluation.score(preds, turns).select(final.columns)).count() == 0
+    batch = evaluation.score(preds, turns).select(final.columns)
+    assert final.count() == 8 and final.exceptAll(batch).count() == 0 and batch.exceptAll(final).count() == 0
+
+
+def test_first_prediction_of_a_turn_stays(spark):
+    rows = [("r", 1, "b", 2), ("r", 1, "a", 1), ("r", 2, "d", 1), ("r", 2, "c", 1), ("s", None, None, 1)]
+    preds = spark.createDataFrame(rows, "record_id string, turn int, actual string, _at int")
+    got = {(r.record_id, r.turn): r.actual for r in incremental.first_predictions(preds, "_at").collect()}
+    assert got == {("r", 1): "a", ("r", 2): "c", ("s", None): None}
 
 
 def test_streamed_totals(spark, log, tmp_path):
-    arrived, kept, state = (str(tmp_path / n) for n in ("log", "totals", "state"))
+    arrived, table, state = (str(tmp_path / n) for n in ("log", "totals", "state"))
 
     def run():
-        stream = incremental.session_totals(incremental.open_turn_log(spark, arrived))
-        incremental.stream_totals(stream, kept, state).awaitTermination()
-        return {r.session_id: r.turn_count for r in incremental.read_totals(spark, kept, ["session_id"]).collect()}
+        stream = incremental.open_turn_log(spark, arrived)
+        incremental.stream_totals(stream, incremental.SESSIONS, table, state).awaitTermination()
+        return {r.session_id: r.turn_count for r in incremental.read_totals(spark, incremental.SESSIONS, table).collect()}
 
     log.filter("seq = 1").write.mode("append").parquet(arrived)
     assert run() == {"s1": 1, "s2": 1}
     log.filter("seq = 2 AND session_id = 's2'").write.mode("append").parquet(arrived)
     assert run() == {"s1": 1, "s2": 2}
+
+
+def test_many_batches_keep_few_folders(spark, log, tmp_path, monkeypatch):
+    """Ten batches: one current row per key, a bounded number of folders, late rows counted, repeats without effect."""
+    monkeypatch.setattr(kept, "EVERY", 3)
+    table = tmp_path / "totals"
+    for batch in range(10):
+        day = F.col("ts") + F.make_interval(days=F.lit(5 - batch))
+        kept.add(incremental.SESSIONS, log.withColumn("ts", day), batch, str(table))
+        if batch in (2, 7):
+            kept.add(incremental.SESSIONS, log.withColumn("ts", day), batch, str(table))
+        folders = [p.name for p in table.iterdir()]
+        assert sum(f.startswith("delta=") for f in folders) < 3 and sum(f.startswith("base=") for f in folders) <= 2
+    got = incremental.read_totals(spark, incremental.SESSIONS, str(table)).collect()
+    assert {r.session_id: r.turn_count for r in got} == {"s1": 20, "s2": 20} and len(got) == 2
+    days = {r.session_id: (r.updated_at - r.created_at).days for r in got}
+    assert days == {"s1": 9, "s2": 9}
+    # A merge that was not finished does not count.
+    (table / "base=99").mkdir()
+    assert {r.turn_count for r in incremental.read_totals(spark, incremental.SESSIONS, str(table)).collect()} == {20}
+    empty = kept.read(spark, incremental.ENTITIES, str(tmp_path / "none"), "session_id string, entity string, mentions long")
+    assert empty.count() == 0
