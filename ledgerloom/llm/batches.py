@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes that Spark hands to a Python worker at once; a single longer text still comes whole.
 ROWS_AT_ONCE = 1_000
-BYTES_AT_ONCE = 16 << 20
+BYTES_AT_ONCE = 4 << 20
 #: Bytes of text on which array work is done at once; a single longer text still is one slice.
 SLICE_BYTES = 512 << 10
 

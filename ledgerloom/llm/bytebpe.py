@@ -347,57 +347,101 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", offsets: bool = True) -> DataFrame:
-    """``keep``, the token ``ids`` of each text, and with ``offsets`` the byte at which each token ``starts``."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    made: list = []
-
-    def work(batch: pa.RecordBatch) -> dict:
-        if not made:
-            sizes = np.zeros(max(ranks.value.values()) + 1, np.int64)
-            for token, rank in ranks.value.items():
-                sizes[rank] = len(token)
-            made.extend([Pieces(ranks.value), sizes])
-        known, sizes = made
+class Coder:
+    """Encodes and decodes columns of a batch; what it needs is made once per worker, when first used."""
+
+    def __init__(self, ranks):
+        self._ranks = ranks
+        self._pieces: Pieces | None = None
+        self._sizes: np.ndarray | None = None
+        self._tokens: pa.Array | None = None
+
+    def __reduce__(self):
+        return Coder, (self._ranks,)
+
+    def ids(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of consecutive texts, and how many each text has."""
+        if self._pieces is None:
+            self._pieces = Pieces(self._ranks.value)
         per_text, ids = [], []
-        for group in _groups(texts(batch, "_text")):
+        for group in _groups(rows):
             pieces, cuts = pieces_of(group)
-            found, per_piece = ids_of(pieces, known)
+            found, per_piece = ids_of(pieces, self._pieces)
             ids.append(found)
             per_text.append(np.diff(np.concatenate([[0], np.cumsum(per_piece)])[cuts]))
         every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        counts = np.concatenate(per_text) if per_text else np.zeros(0, np.int64)
+        return every, np.concatenate(per_text) if per_text else np.zeros(0, np.int64)
+
+    def sizes(self) -> np.ndarray:
+        """Bytes of every token."""
+        if self._sizes is None:
+            self._sizes = np.zeros(max(self._ranks.value.values()) + 1, np.int64)
+            for token, rank in self._ranks.value.items():
+                self._sizes[rank] = len(token)
+        return self._sizes
+
+    def bytes_of(self, ids: pa.Array, counts: np.ndarray) -> pa.Array:
+        """The bytes of each row's tokens. Those of all tokens follow each other, so rows are longer stretches of them."""
+        if self._tokens is None:
+            tokens: list = [None] * (max(self._ranks.value.values()) + 1)
+            for token, rank in self._ranks.value.items():
+                tokens[rank] = token
+            self._tokens = pa.array(tokens, pa.large_binary())
+        gathered = self._tokens.take(ids)
+        _, bounds, data = gathered.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[gathered.offset : gathered.offset + len(gathered) + 1]
+        cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds[cuts].copy()), data])
+        return whole.cast(pa.binary())
+
+
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def _rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    return docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+
+
+def _coder(docs: DataFrame, path: str) -> Coder:
+    return Coder(docs.sparkSession.sparkContext.broadcast(load_ranks(path)))
+
+
+def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", offsets: bool = True) -> DataFrame:
+    """``keep``, the token ``ids`` of each text, and with ``offsets`` the byte at which each token ``starts``."""
+    coder = _coder(docs, path)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        every, counts = coder.ids(texts(batch, "_text"))
         out = {"ids": _lists(every, counts, pa.int32())}
         if offsets:
-            total = np.concatenate([[0], np.cumsum(sizes[every])])
+            total = np.concatenate([[0], np.cumsum(coder.sizes()[every])])
             row_start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)[:-1]
             out["starts"] = _lists(total[:-1] - np.repeat(total[row_start], counts), counts, pa.int64())
         return out
 
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     schema = ENCODED if offsets else T.StructType(ENCODED.fields[:1])
-    return pass_through(rows, schema, work, drop=("_text",))
+    return pass_through(_rows(docs, keep, text), schema, work, drop=("_text",))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
-    made: list = []
+    coder = _coder(encoded, path)
 
     def work(batch: pa.RecordBatch) -> dict:
-        if not made:
-            tokens: list = [None] * (max(ranks.value.values()) + 1)
-            for token, rank in ranks.value.items():
-                tokens[rank] = token
-            made.append(pa.array(tokens, pa.large_binary()))
         column = batch.column(batch.schema.get_field_index(ids))
-        sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        # The bytes of all tokens follow each other, so rows are longer stretches of the same buffer.
-        gathered = made[0].take(column.flatten())
-        _, bounds, data = gathered.buffers()
-        bounds = np.frombuffer(bounds, np.int64)[gathered.offset : gathered.offset + len(gathered) + 1]
-        whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds[cuts].copy()), data])
-        return {out: whole.cast(pa.binary())}
+        counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        return {out: coder.bytes_of(column.flatten(), counts)}
 
     return pass_through(encoded, T.StructType([T.StructField(out, T.BinaryType())]), work)
+
+
+def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, the ``ids`` of each text, and ``decoded``, the bytes that these ids stand for; one pass, one worker."""
+    coder = _coder(docs, path)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        every, counts = coder.ids(texts(batch, "_text"))
+        ids = _lists(every, counts, pa.int32())
+        return {"ids": ids, "decoded": coder.bytes_of(ids.flatten(), counts)}
+
+    return pass_through(_rows(docs, keep, text), T.StructType([ENCODED.fields[0], DECODED]), work, drop=("_text",))

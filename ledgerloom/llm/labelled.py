@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +53,21 @@ class Calibration:
     share: tuple[float, ...]
     #: Weight of the raw score's rank in the result, so that raw scores keep their order where the map is flat.
     slope: float = 1e-3
+    #: The fitted Spark model with these points; none where there was nothing to fit.
+    model: IsotonicRegressionModel | None = None
+
+    def __reduce__(self):
+        return Calibration, (self.at, self.share, self.slope)  # tasks need the points only
+
+    def applied(self, rows: DataFrame, raw: str, out: str) -> DataFrame:
+        """Replace the column ``raw`` by the calibrated ``out``, without leaving the JVM."""
+        flat = F.lit(self.share[0])
+        if self.model is not None:
+            rows = self.model.setFeaturesCol(raw).setPredictionCol("_flat").transform(rows)
+            flat = F.col("_flat")
+        lifted = (1 - self.slope) * flat + self.slope / (1 + F.exp(-F.least(F.greatest(F.col(raw), F.lit(-30.0)), F.lit(30.0))))
+        bounded = F.least(F.greatest(lifted, F.lit(0.0)), F.lit(1.0))
+        return rows.withColumn(out, bounded).drop(raw, "_flat")
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
         flat = np.interp(raw, self.at, self.share)
@@ -72,4 +87,4 @@ def calibrate(scored: DataFrame, raw: str = "raw", label: str = "label") -> Cali
     added = spark.createDataFrame([(1.0, ends.low), (0.0, ends.high)], rows.schema)
     weighted = rows.unionByName(added).groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     model = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(weighted)
-    return Calibration(tuple(model.boundaries.toArray().tolist()), tuple(model.predictions.toArray().tolist()))
+    return Calibration(tuple(model.boundaries.toArray().tolist()), tuple(model.predictions.toArray().tolist()), model=model)

@@ -71,8 +71,7 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bytebpe.encode(_table(spark, folder, "documents"), path, ["doc_id"], offsets=False)
-    return bytebpe.decode(encoded, path).select(
+    return bytebpe.round_trip(_table(spark, folder, "documents"), path, ["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -290,12 +290,7 @@ class Model:
         """Replace ``features`` by ``score``."""
         if self.trees is None:
             return rows.drop("features").withColumn("score", F.lit(self.flat))
-        calibration = self.calibration
-
-        def work(batch: pa.RecordBatch) -> dict:
-            return {"score": calibration(np.asarray(batch.column(batch.schema.get_field_index("raw")), np.float64))}
-
-        return pass_through(self.raw(rows), T.StructType([T.StructField("score", T.DoubleType())]), work, drop=("raw",))
+        return self.calibration.applied(self.raw(rows), "raw", "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
