@@ -58,9 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of the token ids of every text, and the digest of the bytes that they decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bytebpe.encode(docs, path, ["doc_id"], offsets=False)
-    return bytebpe.decode(encoded, path).select(
+    return bytebpe.round_trip(docs, public_tokenizers.path(TOKENIZER), ["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
