@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import number_rows
+from ledgerloom.sources.objects import elements
 
 RECORD_FIELDS = (
     "id STRING, "
@@ -18,11 +19,6 @@ RECORD_FIELDS = (
     "features MAP<STRING, STRING>"
 )
 LINE_SCHEMA = f"split STRING, rec_ord BIGINT, {RECORD_FIELDS}"
-_RECORD_TYPE = "STRUCT<" + RECORD_FIELDS.replace("id STRING", "id: STRING", 1).replace(
-    "doc STRUCT", "doc: STRUCT", 1
-).replace("dialogue STRUCT", "dialogue: STRUCT", 1).replace("features MAP", "features: MAP", 1) + ">"
-OBJECT_SCHEMA = f"train ARRAY<{_RECORD_TYPE}>, dev ARRAY<{_RECORD_TYPE}>"
-
 _COLUMN_SPAN = 1 << 32
 
 
@@ -39,18 +35,12 @@ class Corpus(NamedTuple):
 def read_corpus(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
     """Records of a corpus: split, rec_ord, id, doc, dialogue, features.
 
-    ``object``: one JSON object with ``train`` and ``dev``. Such a file is not splittable, so large corpora
-    should come as ``lines`` (one JSON record per line) or ``parquet``, both with ``split`` and ``rec_ord``.
+    ``object``: one JSON object with ``train`` and ``dev``, read by as many tasks as the file has ranges. ``lines`` (one
+    JSON record per line) and ``parquet`` have ``split`` and ``rec_ord``.
     """
     try:
         if layout == "object":
-            whole = (
-                spark.read.schema(OBJECT_SCHEMA)
-                .option("multiLine", True)
-                .option("mode", "FAILFAST")
-                .json(path)
-            )
-            return _from_objects(whole, path)
+            return _from_object(elements(spark, path), path)
         if layout == "lines":
             return spark.read.schema(LINE_SCHEMA).option("mode", "FAILFAST").json(path)
         if layout == "parquet":
@@ -96,35 +86,50 @@ def malformed_records(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _from_objects(whole: DataFrame, path: str) -> DataFrame:
-    check = whole.agg(
-        F.count(F.lit(1)).alias("objects"),
-        F.count_if(F.col("train").isNull()).alias("no_train"),
-        F.count_if(F.col("dev").isNull()).alias("no_dev"),
-        F.count_if(F.exists("train", _is_incomplete) | F.exists("dev", _is_incomplete)).alias("incomplete"),
-    )
-    try:
-        found = check.first()
-    except Exception as error:  # parse failures surface as several exception classes
-        raise CorpusError(f"corpus {path} is not valid JSON of the expected shape") from error
-    if found["objects"] == 0:
+def _from_object(found: DataFrame, path: str) -> DataFrame:
+    """Records of the elements of one object; its form is checked first, and each record as it is parsed."""
+    first = {k: F.min(F.when(F.array_contains("keys", k), F.col("number"))).alias(k) for k in ("train", "dev")}
+    last = F.max_by(F.struct("tail", "depth", "text"), "number").alias("last")
+    record = F.from_json("text", RECORD_FIELDS, {"mode": "PERMISSIVE"})
+    # Without its parts a record is incomplete, and so is a text that is no record.
+    broken = F.count_if(F.col("text").isNotNull() & F.coalesce(_is_incomplete(record), F.lit(True))).alias("incomplete")
+    check = found.agg(
+        F.countDistinct("file").alias("files"), *first.values(), last, broken,
+        F.count_if(F.col("text").isNotNull() & ~F.col("text").startswith("{")).alias("stray"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"),
+        F.count("keys").alias("openings"), F.max("number").alias("elements"),
+    ).first()
+    if not check["files"]:
         raise CorpusError(f"corpus {path} is empty")
-    if found["objects"] > 1:
+    if check["files"] > 1:
         raise CorpusError(f"corpus {path} is not one JSON object")
-    missing = [k for k in ("train", "dev") if found[f"no_{k}"]]
+    tail, depth = check["last"]["tail"], check["last"]["depth"]
+    ended = tail is not None and (depth == 0 or (depth == -1 and tail.rstrip().endswith("}")))
+    if not ended or check["stray"] or tail.rstrip(" \t\r\n}").strip("] ,\t\r\n"):
+        raise CorpusError(f"corpus {path} is not valid JSON of the expected shape")
+    missing = [k for k in ("train", "dev") if check[k] is None]
     if missing:
         raise CorpusError(f"corpus {path} lacks required keys: {missing}")
-    if found["incomplete"]:
+    if check["keys"] != ["dev", "train"]:
+        raise CorpusError(f"corpus {path} has arrays beside train and dev: {check['keys']}")
+    if check["incomplete"]:
         raise CorpusError(f"corpus {path} holds records without their required parts")
-
-    def split(name: str, offset: Column) -> DataFrame:
-        return whole.select(offset.alias("_offset"), F.posexplode(name).alias("_pos", "_record")).select(
-            F.lit(name).alias("split"),
-            (F.col("_pos") + F.col("_offset")).cast("bigint").alias("rec_ord"),
-            "_record.*",
-        )
-
-    return split("train", F.lit(0)).unionByName(split("dev", F.size("train")))
+    # An array that begins at the same element as another is empty if it is named before it, or nothing follows.
+    train, dev, count = check["train"], check["dev"], check["elements"]
+    at = F.col("number")
+    if train == dev:
+        order = found.filter(at == train).select("keys").first()["keys"]
+        empty = order[0]
+        in_dev = F.lit(empty == "train")
+        train_size = 0 if empty == "train" else count
+    else:
+        in_dev = (at >= dev) if train < dev else (at < train)
+        train_size = dev if train < dev else count - train
+    position = F.when(in_dev, at - (dev if dev > train else 0) + train_size).otherwise(at - (train if train > dev else 0))
+    parsed = F.from_json("text", RECORD_FIELDS, {"mode": "FAILFAST"})
+    return found.filter("text IS NOT NULL").select(
+        F.when(in_dev, "dev").otherwise("train").alias("split"), position.cast("bigint").alias("rec_ord"), parsed.alias("_record")
+    ).select("split", "rec_ord", "_record.*")
 
 
 def normalize(corpus: DataFrame) -> Corpus:

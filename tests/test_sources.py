@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import dialogue, evaluation
-from ledgerloom.sources import corpus, ledger, turnlog
+from ledgerloom.sources import corpus, ledger, objects, turnlog
 from ledgerloom.streaming import incremental, kept
 
 
@@ -59,6 +59,41 @@ def test_object_corpus(spark, corpus_file):
     check(corpus.read_corpus(spark, corpus_file))
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("order", [("train", "dev"), ("dev", "train")])
+def test_object_corpus_is_read_in_ranges(spark, tmp_path, indent, order):
+    """Braces, brackets, quotes and escapes in texts; arrays of objects inside records; ranges that cut anywhere."""
+    odd = ['{"train": [', "}]}", 'a "quoted\\" {', "\\\\", "é\n}{", "]", ""]
+    made = {"train": [], "dev": []}
+    for split, count in (("train", 60), ("dev", 25)):
+        for i in range(count):
+            r = record(f"{split}{i}", {f"c{odd[i % 7]}": {odd[(i + 1) % 7]: odd[(i + 2) % 7]}}, questions=odd[: i % 8], answers=odd)
+            made[split].append({"extra": [{"x": "}"}, [i]], **r})
+    path = tmp_path / "corpus.json"
+    path.write_text(json.dumps({k: made[k] for k in order}, indent=indent, ensure_ascii=i % 2 == 0) + "\n" * (indent or 0))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        loaded = corpus.read_corpus(spark, str(path))
+        assert objects._pieces(spark, str(path)).select(F.spark_partition_id().alias("p")).distinct().count() > 5
+        rows = loaded.orderBy("rec_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = [("train", r) for r in made["train"]] + [("dev", r) for r in made["dev"]]
+    assert [(r.split, r.rec_ord, r.id) for r in rows] == [(s, k, r["id"]) for k, (s, r) in enumerate(expected)]
+    for row, (_, given) in zip(rows, expected, strict=True):
+        assert row.doc.table == given["doc"]["table"] and row.dialogue.conv_questions == given["dialogue"]["conv_questions"]
+        assert row.dialogue.conv_answers == odd and row.dialogue.executed_answers == ["1", "2.5"]
+
+
+@pytest.mark.parametrize("train, dev", [([], []), ([], DEV), (TRAIN, [])])
+def test_empty_arrays(spark, tmp_path, train, dev):
+    path = tmp_path / "corpus.json"
+    for made in ({"train": train, "dev": dev}, {"dev": dev, "train": train}):
+        path.write_text(json.dumps(made))
+        rows = corpus.read_corpus(spark, str(path)).orderBy("rec_ord").collect()
+        assert [(r.split, r.id) for r in rows] == [("train", r["id"]) for r in train] + [("dev", r["id"]) for r in dev]
+
+
 def test_line_and_parquet_corpora(spark, tmp_path):
     lines = tmp_path / "lines.json"
     numbered = [{"split": "train", "rec_ord": i, **r} for i, r in enumerate(TRAIN)]
