@@ -53,17 +53,19 @@ def classify_structure(cells: DataFrame) -> DataFrame:
     return _classified(_flagged(cells).groupBy(*KEY).agg(*_label_counts(F.col("axis") == "col")))
 
 
-def _with_names(flagged: DataFrame) -> DataFrame:
-    """Counts and structure per table, with all hit labels of each axis in order; they fit a row as the table did."""
-    is_col = F.col("axis") == "col"
+def _named_counts(is_col: Column) -> list[Column]:
+    """Counts per table, and all hit labels of each axis in order; they fit a row as the table did."""
     named = F.struct("ord", "label")
-    return _classified(
-        flagged.groupBy(*KEY).agg(
-            *_label_counts(is_col),
-            F.array_sort(F.collect_list(F.when(is_col & F.col("hit"), named))).alias("_all_cols"),
-            F.array_sort(F.collect_list(F.when(~is_col & F.col("hit"), named))).alias("_all_rows"),
-        )
-    )
+    return [
+        *_label_counts(is_col),
+        F.array_sort(F.collect_list(F.when(is_col & F.col("hit"), named))).alias("_all_cols"),
+        F.array_sort(F.collect_list(F.when(~is_col & F.col("hit"), named))).alias("_all_rows"),
+    ]
+
+
+def _with_names(flagged: DataFrame) -> DataFrame:
+    """Counts, hit labels and structure per table."""
+    return _classified(flagged.groupBy(*KEY).agg(*_named_counts(F.col("axis") == "col")))
 
 
 def _joined(names: Column | str) -> Column:
@@ -72,7 +74,11 @@ def _joined(names: Column | str) -> Column:
 
 def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """``classify_structure`` plus the reading guide as a map, and the column types when a schema is given."""
-    joined = _with_names(_flagged(cells))
+    return _guided(_with_names(_flagged(cells)), schema)
+
+
+def _guided(joined: DataFrame, schema: DataFrame | None) -> DataFrame:
+    """Add the guide for the structure, counts and hit labels of each table, and the column types of a schema."""
     first_cols, first_rows = F.slice("_all_cols", 1, 3), F.slice("_all_rows", 1, 3)
     size = {c: F.col(c).cast("string") for c in ("row_count", "column_count", "time_columns", "metric_rows")}
 
@@ -102,7 +108,9 @@ def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFr
             F.lit(" categories and "), size["row_count"], F.lit(" data points"),
         ),
         organization="Data is organized by categories rather than time periods",
-        rows=F.concat(F.lit("Contains "), size["metric_rows"], F.lit(" identified financial metrics")),
+        rows=F.when(
+            F.col("metric_rows") > 0, F.concat(F.lit("Contains "), size["metric_rows"], F.lit(" identified financial metrics"))
+        ).otherwise("Contains various data points"),
         reading_guide="Each cell shows the value of a metric for a specific category",
         analysis_suggestion="Use category-based comparisons for insights",
     )
@@ -152,32 +160,42 @@ def structure_guide(cells: DataFrame, schema: DataFrame | None = None) -> DataFr
     return result.join(types, KEY, "left")
 
 
-def apply_axis_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Axis roles from given labels (record_id, table_type, time_axis, metric_axis, confidence).
-
-    When the time axis is the columns every column is a time, when the metric axis is the rows every row is
-    a metric; otherwise none is. A table without a label is ``unknown``, of low confidence.
-    """
-    is_col = F.col("axis") == "col"
-    counts = axis_labels(cells).groupBy(*KEY).agg(
-        F.count_if(is_col).alias("column_count"), F.count_if(~is_col).alias("row_count")
-    )
+def _labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Axis labels with what is said of their table; ``hit`` where their axis has times or metrics."""
     confidence = F.lit(CONFIDENCE["low"])
     for word, value in CONFIDENCE.items():
         confidence = F.when(F.col("_word") == word, F.lit(value)).otherwise(confidence)
     word = F.coalesce("confidence", F.lit("low")) if "confidence" in labels.columns else F.lit("low")
-    given = labels.select(
-        "record_id", "table_type", "time_axis", "metric_axis", word.alias("_word")
+    given = labels.select("record_id", "table_type", "time_axis", "metric_axis", word.alias("_word"))
+    hit = ((F.col("axis") == "col") & (F.col("time_axis") == "columns")) | (
+        (F.col("axis") == "row") & (F.col("metric_axis") == "rows")
     )
-    return counts.join(given, "record_id", "left").select(
-        *KEY,
+    return axis_labels(cells).join(given, "record_id", "left").select(
+        *KEY, "axis", "ord", "label",
         F.coalesce("table_type", F.lit("unknown")).alias("structure"),
-        F.when(F.col("time_axis") == "columns", F.col("column_count")).otherwise(0).alias("time_columns"),
-        F.when(F.col("metric_axis") == "rows", F.col("row_count")).otherwise(0).alias("metric_rows"),
         confidence.alias("confidence"),
+        F.coalesce(hit, F.lit(False)).alias("hit"),
+    )
+
+
+def apply_axis_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Axis roles from given labels (record_id, table_type, time_axis, metric_axis, confidence).
+
+    When the time axis is the columns every column is a time, when the metric axis is the rows every row is
+    a metric; otherwise none is. A table without a label is ``unknown``, of low confidence.
+    """
+    counts = _label_counts(F.col("axis") == "col")
+    return _labelled(cells, labels).groupBy(*KEY, "structure", "confidence").agg(*counts).select(
+        *KEY, "structure", "time_columns", "metric_rows", "confidence"
     )
 
 
+def labelled_guide(cells: DataFrame, labels: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """``apply_axis_labels`` plus the reading guide as a map, and the column types when a schema is given."""
+    named = _labelled(cells, labels).groupBy(*KEY, "structure", "confidence").agg(*_named_counts(F.col("axis") == "col"))
+    return _guided(named, schema)
+
+
 def labelled_axes(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """The time columns and metric rows themselves, one row per label."""
     chosen = ((F.col("axis") == "col") & (F.col("time_axis") == "columns")) | (

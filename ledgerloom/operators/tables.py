@@ -338,6 +338,12 @@ def cards_as_json(cards: DataFrame) -> DataFrame:
     )
 
 
+def cards_from_json(texts: DataFrame, like: DataFrame, column: str = "card") -> DataFrame:
+    """The cards that ``cards_as_json`` wrote; ``like`` has their columns."""
+    card = F.from_json(column, like.schema, {"mode": "FAILFAST"})
+    return texts.select(card.alias("_card")).select("_card.*")
+
+
 def wide_table(cells: DataFrame, record_id: str, column_names: list[str]) -> DataFrame:
     """One record's table with real columns; the names are given, so no extra pass finds them."""
     return (

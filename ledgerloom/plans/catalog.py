@@ -111,10 +111,34 @@ def _corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """The demonstration corpus, written as JSON lines and read from there."""
+    path = shared_folder(spark, "corpus")
+    _corpus(spark, folder).write.json(path)
+    return corpus.read_corpus(spark, path, "lines")
+
+
 @_query("s1_corpus_scan")
 def _(spark, folder):
-    lines = _corpus(spark, folder).select(F.to_json(F.struct("*")).alias("value"))
-    return records.corpus_counts(corpus.normalize_records(corpus.parse_records(lines)))
+    return records.corpus_counts(corpus.normalize_records(_read_back(spark, folder)))
+
+
+@_query("s1_corpus_fields")
+def _(spark, folder):
+    def pairs(entries: Column, render) -> Column:
+        return F.array_join(F.transform(F.map_entries(entries), render), ";")
+
+    table = pairs(
+        F.col("doc.table"),
+        lambda c: F.concat(c["key"], F.lit("{"), pairs(c["value"], lambda r: F.concat(r["key"], F.lit("="), r["value"])), F.lit("}")),
+    )
+    said = [F.array_join(F.col(f"dialogue.{n}").cast("array<string>"), "|").alias(n) for n in (
+        "conv_questions", "conv_answers", "turn_program", "executed_answers", "qa_split"
+    )]
+    return _read_back(spark, folder).select(
+        "split", "rec_ord", "id", F.col("doc.pre_text").alias("pre_text"), F.col("doc.post_text").alias("post_text"),
+        table.alias("table_text"), *said, F.element_at("features", "has_type2_question").alias("has_type2_question"),
+    )
 
 
 @_query("s2_normalize_cells")
@@ -140,6 +164,23 @@ def _(spark, folder):
     )
 
 
+@_query("j5_unequal_turn_lists")
+def _(spark, folder):
+    """Dialogues whose lists are cut to different lengths."""
+    def cut(name: str, count: Column) -> Column:
+        listed = F.col(f"dialogue.{name}")
+        return F.slice(listed, 1, F.greatest(F.size(listed) - count, F.lit(0)))
+
+    key = F.col("rec_ord")
+    lists = {"conv_questions": key % 3, "conv_answers": key % 5, "turn_program": key % 7, "qa_split": key % 2}
+    dialogue_ = F.col("dialogue")
+    for name, count in lists.items():
+        dialogue_ = dialogue_.withField(name, cut(name, count.cast("int")))
+    return corpus.normalize_turns(_corpus(spark, folder).withColumn("dialogue", dialogue_)).select(
+        "rec_ord", "record_id", "turn", "question", "answer", "program", "executed_answer", "qa_split"
+    )
+
+
 @_query("s3_list_records")
 def _(spark, folder):
     return records.list_records(demo.record_keys(spark, folder), "dev", 10)
@@ -244,12 +285,14 @@ def _(spark, folder):
     return tables.list_tables(_schema(spark, folder)).withColumn("column_names", _joined("column_names"))
 
 
-@_query("p4_table_cards")
-def _(spark, folder):
+def _cards(spark: SparkSession, folder: str) -> DataFrame:
     cells = demo.cells(spark, folder)
-    cards = tables.show_tables(
+    return tables.show_tables(
         demo.records(spark, folder), cells, tables.build_schema(cells), structure.classify_structure(cells)
     )
+
+
+def _card_texts(cards: DataFrame) -> DataFrame:
     return cards.select(
         "record_id",
         "table_name",
@@ -265,6 +308,11 @@ def _(spark, folder):
     )
 
 
+@_query("p4_table_cards")
+def _(spark, folder):
+    return _card_texts(_cards(spark, folder))
+
+
 @_query("p3_list_tables_compact")
 def _(spark, folder):
     return tables.list_tables(_schema(spark, folder), compact=True).withColumn(
@@ -285,12 +333,9 @@ def _(spark, folder):
 
 @_query("p4_table_cards_json")
 def _(spark, folder):
-    cells = demo.cells(spark, folder)
-    return tables.cards_as_json(
-        tables.show_tables(
-            demo.records(spark, folder), cells, tables.build_schema(cells), structure.structure_guide(cells)
-        )
-    )
+    """Cards written as JSON and read again."""
+    cards = _cards(spark, folder)
+    return _card_texts(tables.cards_from_json(tables.cards_as_json(cards), cards))
 
 
 @_query("p5_dialogue_view")
@@ -381,6 +426,22 @@ def _(spark, folder):
     return structure.apply_axis_labels(demo.cells(spark, folder), demo.axis_roles(spark, folder))
 
 
+@_query("t8_labelled_guide")
+def _(spark, folder):
+    cells = demo.cells(spark, folder)
+    guide = structure.labelled_guide(cells, demo.axis_roles(spark, folder), tables.build_schema(cells))
+    entries = F.map_entries("data_types")
+    return guide.select(
+        "record_id",
+        "structure",
+        F.col("guide")["structure"].alias("headline"),
+        F.coalesce(F.col("guide")["columns"], F.col("guide")["organization"]).alias("times"),
+        F.col("guide")["rows"].alias("metrics"),
+        F.col("guide")["reading_guide"].alias("reading_guide"),
+        _joined(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]))).alias("data_types"),
+    )
+
+
 @_query("t8_labelled_axes")
 def _(spark, folder):
     return structure.labelled_axes(demo.cells(spark, folder), demo.axis_roles(spark, folder))
@@ -683,6 +744,7 @@ def _(spark, folder):
         "*",
         *[programs.call(F.lit(n), a, b)["value"].alias(n) for n in ("subtract", "add", "multiply", "greater")],
         quotient["value"].alias("divide"),
+        F.round(programs.call(F.lit("exp"), b, F.lit(None).cast("double"))["value"], 6).alias("exponential"),
         quotient["status"].alias("divide_status"),
         programs.constant(F.concat(F.lit("const_"), F.col("percent").cast("int").cast("string"))).alias("constant"),
     )

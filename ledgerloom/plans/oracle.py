@@ -413,6 +413,24 @@ def oracle_sql() -> dict[str, str]:
 
     add("s1_corpus_scan", """SELECT count(*) FILTER (split = 'train') AS train_records,
         count(*) FILTER (split = 'dev') AS dev_records, count(*) AS total_records FROM keys""")
+    add("s1_corpus_fields", """, columns_ AS (
+          SELECT rec_ord, col_ord, col_name || '{' || string_agg(row_name || '=' || raw, ';' ORDER BY row_ord) || '}' AS text
+          FROM cells GROUP BY rec_ord, col_ord, col_name),
+        grids AS (SELECT rec_ord, string_agg(text, ';' ORDER BY col_ord) AS text FROM columns_ GROUP BY rec_ord),
+        said AS (
+          SELECT rec_ord, string_agg(question, '|' ORDER BY turn) AS conv_questions, string_agg(answer, '|' ORDER BY turn) AS conv_answers,
+            string_agg(program, '|' ORDER BY turn) AS turn_program, string_agg(executed_answer, '|' ORDER BY turn) AS executed_answers,
+            string_agg(CAST(turn % 2 = 0 AS VARCHAR), '|' ORDER BY turn) AS qa_split FROM turns GROUP BY rec_ord)
+        SELECT k.split, k.rec_ord, k.record_id AS id, coalesce(d.text, '') AS pre_text, 'segment ' || c.c_mktsegment AS post_text,
+          coalesce(g.text, '') AS table_text, s.conv_questions, s.conv_answers, s.turn_program, s.executed_answers, s.qa_split,
+          CASE WHEN k.rec_ord % 3 = 0 THEN 'true' ELSE 'false' END AS has_type2_question
+        FROM keys k JOIN customer c ON c.c_custkey = k.rec_ord LEFT JOIN documents d ON d.doc_id = k.rec_ord
+        LEFT JOIN grids g ON g.rec_ord = k.rec_ord LEFT JOIN said s ON s.rec_ord = k.rec_ord""")
+    add("j5_unequal_turn_lists", """, numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY rec_ord ORDER BY turn) AS n, count(*) OVER (PARTITION BY rec_ord) AS total FROM turns)
+        SELECT rec_ord, record_id, n AS turn, question, answer, CASE WHEN n <= total - rec_ord % 7 THEN program END AS program,
+          executed_answer, CASE WHEN n <= total - rec_ord % 2 THEN turn % 2 = 0 END AS qa_split
+        FROM numbered WHERE n <= total - rec_ord % 3 AND n <= total - rec_ord % 5""")
     # Row order: labels in the order they first appear, column by column.
     add("s2_normalize_cells", """, seen AS (
           SELECT rec_ord, row_name, min((col_ord, row_ord)) AS first_seen FROM cells GROUP BY ALL),
@@ -505,6 +523,7 @@ def oracle_sql() -> dict[str, str]:
                s.structure, p.data
         FROM packed p JOIN heads h USING (rec_ord) JOIN structures s USING (rec_ord)
         JOIN customer c ON c.c_custkey = p.rec_ord LEFT JOIN documents d ON d.doc_id = p.rec_ord""")
+    sql["p4_table_cards_json"] = sql["p4_table_cards"]
     add("p5_dialogue_view", f"""SELECT record_id, turn, {_short('question', 80)} AS question,
         {_short('answer', 30)} AS answer, {_short('program', 50)} AS program FROM turns""")
 
@@ -555,6 +574,35 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN times_in_columns THEN column_count ELSE 0 END AS time_columns,
           CASE WHEN metrics_in_rows THEN row_count ELSE 0 END AS metric_rows, coalesce(r.confidence, 0.3) AS confidence
         FROM shapes s LEFT JOIN roles r ON r.rec_ord = s.rec_ord""")
+    add("t8_labelled_guide", roles + """, told AS (
+          SELECT s.*, coalesce(r.table_type, 'unknown') AS kind, coalesce(r.times_in_columns, false) AS in_cols,
+            coalesce(r.metrics_in_rows, false) AS in_rows,
+            (SELECT string_agg(label, ', ' ORDER BY ord) FROM axes a WHERE a.rec_ord = s.rec_ord AND axis = 'col') AS all_cols,
+            (SELECT string_agg(label, ', ' ORDER BY ord) FROM (SELECT label, ord, row_number() OVER (ORDER BY ord) AS i FROM axes a
+               WHERE a.rec_ord = s.rec_ord AND axis = 'col') WHERE i <= 3) AS three_cols,
+            (SELECT string_agg(label, ', ' ORDER BY ord) FROM (SELECT label, ord, row_number() OVER (ORDER BY ord) AS i FROM axes a
+               WHERE a.rec_ord = s.rec_ord AND axis = 'row') WHERE i <= 3) AS three_rows,
+            (SELECT string_agg(col_name || ':' || column_type, '|' ORDER BY col_ord) FROM catalog t WHERE t.rec_ord = s.rec_ord) AS data_types
+          FROM shapes s LEFT JOIN roles r ON r.rec_ord = s.rec_ord),
+        sized AS (
+          SELECT *, CASE WHEN in_cols THEN column_count ELSE 0 END AS times, CASE WHEN in_rows THEN row_count ELSE 0 END AS metrics FROM told)
+        SELECT record_id, kind AS structure,
+          CASE kind WHEN 'time_series' THEN 'Time series financial data with ' || times || ' time periods and ' || metrics || ' identified metrics'
+            WHEN 'metrics_by_categories' THEN 'Categorical financial data with ' || column_count || ' categories and ' || row_count || ' data points'
+            ELSE 'Table structure not automatically recognized (' || row_count || ' rows, ' || column_count || ' columns)' END AS headline,
+          CASE kind WHEN 'time_series' THEN 'Columns represent time periods: ' || CASE WHEN in_cols THEN three_cols ELSE '' END
+              || CASE WHEN times > 3 THEN '...' ELSE '' END
+            WHEN 'metrics_by_categories' THEN 'Data is organized by categories rather than time periods'
+            ELSE 'Unable to determine standard financial table patterns' END AS times,
+          CASE kind WHEN 'time_series' THEN 'Rows represent financial metrics: ' || CASE WHEN in_rows THEN three_rows ELSE '' END
+              || CASE WHEN metrics > 3 THEN '...' ELSE '' END
+            WHEN 'metrics_by_categories' THEN CASE WHEN metrics > 0 THEN 'Contains ' || metrics || ' identified financial metrics'
+              ELSE 'Contains various data points' END END AS metrics,
+          CASE kind WHEN 'time_series' THEN 'Each cell shows the value of a financial metric for a specific time period'
+            WHEN 'metrics_by_categories' THEN 'Each cell shows the value of a metric for a specific category'
+            ELSE 'Refer to the document context (pre_text and post_text) to understand data organization' END AS reading_guide,
+          data_types
+        FROM sized""")
     add("t8_labelled_axes", roles + """
         SELECT a.rec_ord, a.record_id, CASE axis WHEN 'col' THEN 'time' ELSE 'metric' END AS role, a.ord, a.label
         FROM axes a JOIN roles r ON r.rec_ord = a.rec_ord
@@ -713,7 +761,7 @@ def oracle_sql() -> dict[str, str]:
     sql["f10_arithmetic"] = f"""WITH items AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity,
         CAST(floor(l_discount * 100 + 0.5) AS DOUBLE) AS percent FROM lineitem)
         SELECT *, l_quantity - percent AS subtract, l_quantity + percent AS "add", l_quantity * percent AS multiply,
-        CASE WHEN l_quantity > percent THEN 1.0 ELSE 0.0 END::DOUBLE AS greater, l_quantity / nullif(percent, 0) AS divide,
+        CASE WHEN l_quantity > percent THEN 1.0 ELSE 0.0 END::DOUBLE AS greater, l_quantity / nullif(percent, 0) AS divide, round(exp(percent), 6) AS exponential,
         CASE WHEN percent = 0 THEN 'DIV_ZERO' ELSE 'OK' END AS divide_status,
         CASE 'const_' || CAST(CAST(percent AS INT) AS VARCHAR) {constants} END::DOUBLE AS constant FROM items"""
     add("f11_programs", r""", parts AS (
