@@ -230,7 +230,8 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFram
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.sum(stray.cast("int")) / BLOCK).cast("int").alias("stray_blocks"),
     )
-    rows = members.join(blocks, "body").join(texts, "node")
+    # The largest family may hold most of the texts: its members are dealt out where they meet its counts.
+    rows = salted_left(members, blocks, "body", F.xxhash64("node")).join(texts, "node")
     place = F.xxhash64("node", F.lit("place"))
     columns = ["body", "node", "label", "text"]
     targets = rows.select(
