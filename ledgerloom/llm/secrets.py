@@ -2,9 +2,9 @@
 
 Strong kinds (assignments, access keys, long hex runs) are always reported. Weak kinds (key ids, 40-character
 tokens, endpoints) are reported only when a complementary part lies within their scope: an identifier needs a
-secret, a secret needs an identifier, an endpoint needs a secret. Parts of one text are joined as intervals: each
-part covers its span and ``SCOPE`` code points on both sides, cut into buckets of ``SCOPE``; parts meet on equal
-buckets, and those that meet are compared exactly.
+secret, a secret needs an identifier, an endpoint needs a secret. Parts of one text are joined as intervals, each with
+``SCOPE`` code points on both sides: the parts of a role are ordered by start and kept in runs with the least start and
+largest end of each, a candidate looks at the runs that reach it, and is compared exactly with the parts of those.
 
 Offsets are code points of the original text, end exclusive. Matches are leftmost and do not overlap within a kind;
 a weak candidate that touches a strong span is dropped. Defined results: a null text counts as empty; a text
@@ -14,6 +14,7 @@ than those kept are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,134 +69,173 @@ NEEDS = {IDENTIFIER: SECRET, SECRET: IDENTIFIER, ENDPOINT: SECRET}
 RUN = 64
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: as the element of an array it is not copied into what refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _with_places(df: DataFrame, order: int, kind: Kind) -> DataFrame:
-    """Add ``_at_<name>``: array of (start, kind, end) of the matches of one kind, in order."""
-    p = f"_{kind.name}"
-    pattern = F.lit(kind.pattern)
-    some = F.col("_text").rlike(kind.pattern)
-    none = F.array().cast("array<string>")
-    df = df.withColumn(f"{p}_found", some).withColumn(
-        f"{p}_all", F.when(F.col(f"{p}_found"), F.regexp_extract_all("_text", pattern, 0)).otherwise(none)
-    )
-    df = df.withColumn(
-        f"{p}_gaps", F.when(F.col(f"{p}_found"), F.split("_text", kind.pattern, -1)).otherwise(none)
-    )
-    if kind.group:
-        df = df.withColumn(
-            f"{p}_part",
-            F.when(F.col(f"{p}_found"), F.regexp_extract_all("_text", pattern, kind.group)).otherwise(none),
-        )
-    # Way from the start of the match before (or the start of the text) to the start of each match.
-    df = df.withColumn(
-        f"{p}_way",
-        F.transform(
-            f"{p}_all",
-            lambda m, i: (
-                F.char_length(F.get(f"{p}_gaps", i))
-                + F.coalesce(F.char_length(F.get(f"{p}_all", i - 1)), F.lit(0))
-            ).cast("long"),
-        ),
-    )
-    blocks = F.sequence(F.lit(0), F.floor(F.size(f"{p}_way") / RUN).cast("int"))
-    df = df.withColumn(f"{p}_block", F.transform(blocks, lambda b: _total(F.slice(f"{p}_way", b * RUN + 1, RUN))))
-    df = df.withColumn(
-        f"{p}_before", F.transform(f"{p}_block", lambda x, b: _total(F.slice(f"{p}_block", F.lit(1), b)))
-    )
-    df = df.withColumn(
-        f"{p}_start",
-        F.transform(
-            f"{p}_way",
-            lambda x, i: F.get(f"{p}_before", F.floor(i / RUN).cast("int"))
-            + _total(F.slice(f"{p}_way", F.floor(i / RUN).cast("int") * RUN + 1, i % RUN + 1)),
-        ),
+def _lengths(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.char_length(x).cast("long"))
+
+
+def _running(way: Column) -> Column:
+    """Running sums."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(way) / RUN).cast("int")), lambda b: _total(F.slice(way, b * RUN + 1, RUN))
     )
-    spans = F.transform(
-        f"{p}_all",
-        lambda m, i: F.struct(
-            F.get(f"{p}_start", i).alias("start"),
-            F.lit(order).alias("kind"),
-            (F.get(f"{p}_start", i) + F.char_length(m)).alias("end"),
-            F.char_length(F.get(f"{p}_part", i) if kind.group else m).alias("long"),
-        ),
+
+    def sums(before: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            block = F.floor(i / RUN).cast("int")
+            return F.get(before, block) + _total(F.slice(way, block * RUN + 1, i % RUN + 1))
+
+        return F.transform(way, at)
+
+    return _let(
+        blocks, lambda found: _let(F.transform(found, lambda x, b: _total(F.slice(found, F.lit(1), b))), sums)
     )
-    whole = F.filter(spans, lambda s: s["long"] >= kind.least)
-    out = F.transform(whole, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    return df.withColumn(f"_at_{kind.name}", out).drop(
-        *[f"{p}_{x}" for x in ("found", "all", "gaps", "part", "way", "block", "before", "start")]
+
+
+def _places(order: int, kind: Kind) -> Column:
+    """Array of (start, kind, end) of the matches of one kind, in order."""
+    pattern = F.lit(kind.pattern)
+    matches = F.struct(
+        _lengths(F.regexp_extract_all("_text", pattern, 0)).alias("all"),
+        _lengths(F.split("_text", kind.pattern, -1)).alias("gaps"),
+        _lengths(F.regexp_extract_all("_text", pattern, kind.group)).alias("held"),
     )
 
+    def spans(m: Column) -> Column:
+        n = F.size(m["all"])
+        # Way from the start of the match before (or the start of the text) to the start of each match.
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(m["all"], F.lit(1), n - 1))
+        way = F.zip_with(F.slice(m["gaps"], F.lit(1), n), before, lambda a, b: a + b)
+        found = _let(way, _running)
+        every = F.transform(
+            F.arrays_zip(found.alias("start"), m["all"].alias("all"), m["held"].alias("held")),
+            lambda x: F.struct(
+                x["start"].alias("start"), F.lit(order).alias("kind"), (x["start"] + x["all"]).alias("end"), x["held"].alias("held")
+            ),
+        )
+        whole = F.filter(every, lambda x: x["held"] >= kind.least)
+        return F.transform(whole, lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    return F.when(F.col("_text").rlike(kind.pattern), _let(matches, spans)).otherwise(none)
+
 
 def _touches(x: Column, y: Column, margin: int) -> Column:
     return (y["start"] < x["end"] + margin) & (x["start"] < y["end"] + margin)
 
 
-def _buckets(spans: Column, margin: int) -> Column:
-    covered = F.transform(
-        spans,
-        lambda s: F.sequence(
-            F.floor((s["start"] - margin) / SCOPE), F.floor((s["end"] + margin) / SCOPE)
+def _runs(spans: Column) -> Column:
+    """Runs of ``RUN`` spans ordered by start: struct(start, end, at), the first start, largest end and place of the first."""
+    places = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+    runs = F.transform(
+        places,
+        lambda b: F.struct(
+            F.get(spans, b * RUN)["start"].alias("start"),
+            F.array_max(F.transform(F.slice(spans, b * RUN + 1, RUN), lambda s: s["end"])).alias("end"),
+            (b * RUN + 1).alias("at"),
         ),
     )
-    return F.array_distinct(F.flatten(covered))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,at:int>>")
+    return F.when(F.size(spans) > 0, runs).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``strong`` and ``spans`` (strong and linked weak ones): arrays of (start, kind, end).
+def _held(spans: Column, name: str) -> list[Column]:
+    return [spans.alias(name), _runs(spans).alias(f"{name}_runs")]
 
-    ``kind`` is the place of the kind in ``KINDS``; both arrays are ordered by start, then kind.
-    """
-    df = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    for order, kind in enumerate(KINDS):
-        df = _with_places(df, order, kind)
-    strong = [f"_at_{k.name}" for k in KINDS if k.strong]
-    weak = [f"_at_{k.name}" for k in KINDS if not k.strong]
-    df = df.select(
-        *keep,
-        F.sort_array(F.concat(*strong)).alias("strong"),
-        F.concat(*weak).alias("_weak"),
+
+def _any_near(w: Column, held: Column, name: str, margin: int) -> Column:
+    """Whether one of the spans ``name`` of ``held``, which has their runs too, lies within ``margin`` of a span."""
+    return F.exists(
+        held[f"{name}_runs"],
+        lambda r: _touches(w, r, margin) & F.exists(F.slice(held[name], r["at"], RUN), lambda s: _touches(w, s, margin)),
     )
-    df = df.withColumn(
-        "_weak", F.filter("_weak", lambda w: ~F.exists("strong", lambda s: _touches(w, s, 0)))
-    ).withColumn("_parts", F.concat("strong", "_weak"))
-    df = df.withColumns({f"_{role}": _of_role("_parts", role) for role in (IDENTIFIER, SECRET)})
-    df = df.withColumns({f"_{role}_buckets": _buckets(F.col(f"_{role}"), SCOPE) for role in (IDENTIFIER, SECRET)})
-    linked = F.filter("_weak", _is_linked)
-    return df.select(*keep, "strong", F.sort_array(F.concat("strong", linked)).alias("spans"))
 
 
-def _of_role(parts: str, role: str) -> Column:
+def _of_role(parts: Column, role: str) -> Column:
     orders = [i for i, k in enumerate(KINDS) if k.role == role]
     return F.filter(parts, lambda s: s["kind"].isin(orders))
 
 
-def _is_linked(w: Column) -> Column:
+def _is_linked(w: Column, held: Column) -> Column:
     out = F.lit(False)
     for order, kind in enumerate(KINDS):
         if not kind.strong:
-            other = NEEDS[kind.role]
-            buckets = F.sequence(F.floor(w["start"] / SCOPE), F.floor(w["end"] / SCOPE))
-            meet = F.arrays_overlap(f"_{other}_buckets", buckets)
-            near = F.exists(f"_{other}", lambda y: _touches(w, y, SCOPE))
-            out = F.when(w["kind"] == order, meet & near).otherwise(out)
+            out = F.when(w["kind"] == order, _any_near(w, held, NEEDS[kind.role], SCOPE)).otherwise(out)
     return out
 
 
-def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text with ``mark`` in place of the spans (ordered by start); spans that overlap share one mark."""
+def _with_linked(strong: Column, weak: Column) -> Column:
+    """struct(strong, spans): the strong parts, and these with the weak ones that are linked."""
+
+    def linked(own: Column) -> Column:
+        parts = F.sort_array(F.concat(strong, own))
+        held = F.struct(*[c for role in (IDENTIFIER, SECRET) for c in _held(_of_role(parts, role), role)])
+        found = _let(held, lambda h: F.filter(own, lambda w: _is_linked(w, h)))
+        return F.struct(strong.alias("strong"), F.sort_array(F.concat(strong, found)).alias("spans"))
+
+    alone = _let(F.struct(*_held(strong, "strong")), lambda h: F.filter(weak, lambda w: ~_any_near(w, h, "strong", 0)))
+    return _let(alone, linked)
 
-    def step(done: Column, s: Column) -> Column:
-        apart = s["start"] >= done["at"]
-        gap = F.substr(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        added = F.when(apart, F.concat(done["text"], gap, F.lit(mark))).otherwise(done["text"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), added.alias("text"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    rest = lambda done: F.concat(done["text"], F.substr(text, (done["at"] + 1).cast("int")))
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.aggregate(spans, start, step, rest))
+def find_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, ``strong`` and ``spans`` (strong and linked weak ones): arrays of (start, kind, end).
+
+    ``kind`` is the place of the kind in ``KINDS``; both arrays are ordered by start, then kind. Keeping a column with the
+    name of an output is refused with a ValueError.
+    """
+    if clash := set(keep) & {"strong", "spans", "_text", "_found"}:
+        raise ValueError(f"kept columns have names of outputs: {sorted(clash)}")
+    df = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    places = {True: [], False: []}
+    for order, kind in enumerate(KINDS):
+        places[kind.strong].append(_places(order, kind))
+    each = F.struct(F.sort_array(F.concat(*places[True])).alias("strong"), F.concat(*places[False]).alias("weak"))
+    found = _let(each, lambda x: _with_linked(x["strong"], x["weak"]))
+    return df.select(*keep, found.alias("_found")).select(*keep, "_found.strong", "_found.spans")
+
+
+def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
+    """The text with ``mark`` in place of the spans (ordered by start); spans that overlap share one mark.
+
+    The text is cut in stretches, one for each run of spans, and each stretch is rewritten on its own, so no step but the
+    cutting goes through the whole text.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def reached(runs: Column, upto: Column) -> Column:
+        """The largest end in the runs before a place."""
+        ends = F.transform(F.slice(runs, F.lit(1), upto), lambda r: r["end"])
+        return F.greatest(zero, F.coalesce(F.array_max(ends), zero))
+
+    def stretch(runs: Column, r: Column, b: Column) -> Column:
+        base = reached(runs, b)
+        piece = F.substr(text, (base + 1).cast("int"), (reached(runs, b + 1) - base).cast("int"))
+        return F.struct(F.slice(spans, r["at"], RUN).alias("own"), base.alias("base"), piece.alias("text"))
+
+    def rewritten(x: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            before = F.array_max(F.transform(F.slice(x["own"], F.lit(1), i), lambda y: y["end"]))
+            at = F.greatest(x["base"], before)
+            gap = F.substr(x["text"], (at - x["base"] + 1).cast("int"), (s["start"] - at).cast("int"))
+            return F.when(s["start"] >= at, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(x["own"], step), "")
+
+    def rebuilt(runs: Column) -> Column:
+        stretches = F.transform(runs, lambda r, b: stretch(runs, r, b))
+        rest = F.substr(text, (reached(runs, F.size(runs)) + 1).cast("int"))
+        return F.concat(F.array_join(F.transform(stretches, rewritten), ""), rest)
+
+    whole = _let(_runs(F.col(spans)), rebuilt)
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(whole)
 
 
 def listed(spans: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
     "das dem den der des die ein eine für im ist mit nicht sich und von zu auf auch "
@@ -92,6 +94,13 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
 _GIVEN = r"""[""\x27]?\x20*[:=]\x20*[""\x27]?""".replace('""', '"')
+
+
+def _either(words: str) -> str:
+    """The words of a pattern in any case."""
+    return re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", words)
+
+
 # kind, role, pattern, group, least characters of the group
 _SECRETS = (
     (
@@ -115,7 +124,8 @@ _SECRETS = (
     (
         "endpoint",
         "endpoint",
-        r"""(?:https?|jdbc:[a-z]+|redis|mongodb|postgresql|mysql|amqp|s3)://[^\x00-\x20"\x27<>]+""",
+        f"(?:{_either('https')}?|{_either('jdbc')}:[A-Za-z]+|{_either('redis|mongodb|postgresql|mysql|amqp|s3')})"
+        + r"""://[^\x00-\x20"\x27<>]+""",
         0,
         1,
     ),

@@ -195,3 +195,21 @@ def test_secret_names_in_any_case(spark):
     spans = spark.createDataFrame([("password=hunter22 JDBC:MySQL://host/db",)], "text string")
     (row,) = secrets.find_secrets(spans, []).collect()
     assert [secrets.KINDS[s.kind].name for s in row.spans] == ["assign", "endpoint"]
+
+
+def test_many_parts_repeated_rows_and_names(spark):
+    """A text of thousands of parts, twice: the same spans as its paragraphs have alone, moved by what stands before."""
+    parts = [f"token=abcdef{i}" if i % 3 == 0 else f"clientId: user{i}" if i % 3 == 1 else "A1b2C3d4E5" * 4 for i in range(900)]
+    paragraphs = [" ".join(parts[i : i + 9]) + " . " * 250 for i in range(0, 900, 9)]
+    docs = spark.createDataFrame([(1, "".join(paragraphs)), (1, "".join(paragraphs))], "doc_id long, text string")
+    found = secrets.find_secrets(docs, ["doc_id", "text"]).withColumn("clean", secrets.redacted("text", "spans")).collect()
+    alone = secrets.find_secrets(spark.createDataFrame(list(enumerate(paragraphs)), "i long, text string"), ["i", "text"])
+    expected, at = [], 0
+    for row in alone.withColumn("clean", secrets.redacted("text", "spans")).orderBy("i").collect():
+        expected += [(s.start + at, s.kind, s.end + at) for s in row.spans]
+        at += len(row.text)
+        assert len(row.spans) == 9 and "abcdef" not in row.clean and row.clean.count("[SECRET]") == 9
+    assert len(found) == 2 and all([tuple(s) for s in r.spans] == expected for r in found)
+    assert all(r.clean.count("[SECRET]") == 900 and "user" not in r.clean for r in found)
+    with pytest.raises(ValueError, match="spans"):
+        secrets.find_secrets(docs.withColumn("spans", docs.text), ["spans"])
