@@ -42,6 +42,14 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> Sp
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, else in the warehouse.
+
+    A warehouse on the driver's own disk is no such place for a cluster and is refused there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        on_disk = base.startswith(("file:", "/")) and "://" not in base.removeprefix("file://")
+        if on_disk and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
