@@ -182,6 +182,7 @@ def expected_format(answer: Column, question: Column) -> Column:
         return _any_of([F.contains(text, F.lit(w)) for w in words])
 
     decimals = F.length(F.substring_index(a, ".", -1)) >= 2
+    # The words looked for and the formats.
     return (
         F.when(a.endswith("%") | says(a, "percent"), "percentage as decimal (e.g., 0.1083 for 10.83%)")
         .when(a.startswith("$") | says(a, "dollar", "million"), "currency amount as number")

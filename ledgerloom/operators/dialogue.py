@@ -13,6 +13,7 @@ from ledgerloom.functions.text import entities, shorten
 from ledgerloom.operators.ordered import SLICE_ROWS, carry_forward, number_rows, with_previous
 
 SESSION = ["session_id"]
+# Fixed value: the context of a first turn.
 EMPTY_CONTEXT = "This is the start of a new conversation."
 
 
@@ -66,6 +67,7 @@ def recent_context(log: DataFrame, depth: int = 5, slice_rows: int = SLICE_ROWS)
             "computation_results",
         )
     )
+    # The words of contexts, here and below.
     reply = F.concat(F.lit("\nAssistant: "), F.col("assistant_response"))
     line = F.concat(F.lit("User: "), F.col("user_message"), F.coalesce(reply, F.lit("")))
     seen = with_previous(numbered, SESSION, "turn_no", depth, line, "_lines", slice_rows, keep_slice=True)
