@@ -27,7 +27,7 @@ def pass_through(
     """Apply ``work`` to every Arrow batch and add its columns to those of ``rows``; no shuffle.
 
     ``work`` sees all columns of ``rows`` and returns one value per row for each output. ``drop`` names columns
-    that are not handed on. With ``sliced_by``, ``work`` gets slices of a batch in which these text columns have at most
+    that are not handed on; a kept column with the name of an output is refused with a ValueError. With ``sliced_by``, ``work`` gets slices of a batch in which these text columns have at most
     ``SLICE_BYTES`` bytes together, so that its arrays stay small whatever the batches are.
     """
     spark = rows.sparkSession
@@ -36,6 +36,8 @@ def pass_through(
     kept = [f for f in rows.schema if f.name not in drop]
     schema = T.StructType([*kept, *outputs])
     names = [f.name for f in kept]
+    if clash := set(names) & set(outputs.names):
+        raise ValueError(f"kept columns have names of outputs: {sorted(clash)}")
     from pyspark.sql.pandas.types import to_arrow_type
 
     added = [(f.name, to_arrow_type(f.dataType)) for f in outputs]

@@ -71,6 +71,8 @@ def test_encode_keeps_offsets_and_decodes(spark, ranks, library):
         ends = [*row.starts[1:], len(data)]
         lengths = [len(library.decode_single_token_bytes(i)) for i in row.ids]
         assert [b - a for a, b in zip(row.starts, ends, strict=False)] == lengths
+    with pytest.raises(ValueError, match="ids"):
+        bytebpe.encode(docs, PATH, ["ids"])
     both = bytebpe.round_trip(docs, PATH, ["doc_id"]).orderBy("doc_id").collect()
     assert [(r.ids, r.decoded) for r in both] == [(r.ids, r.decoded) for r in rows]
     assert bytebpe.decode(bytebpe.encode(docs.limit(0), PATH, ["doc_id"]), PATH).count() == 0
