@@ -92,6 +92,16 @@ def _closest(needle: Column) -> Column:
     )
 
 
+def _meet(rows: DataFrame, slices: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the label slices of their key where ``_open`` is true, once and without labels elsewhere.
+
+    Rows that need no labels keep their own key: a null instead would bring all of them to one task.
+    """
+    keys = {key: f"_{key}" for key in on}
+    same = [F.col(key) == F.col(own) for key, own in keys.items()]
+    return rows.join(slices.withColumnsRenamed(keys), [F.col("_open"), *same], "left").drop("_open", *keys.values())
+
+
 def _names(labels: str | Column) -> Column:
     return F.transform(labels, lambda l: l["label"])
 
@@ -117,9 +127,7 @@ def _staged(requests: DataFrame, cells: DataFrame, needles: dict[str, dict[str,
     # Settled by an equal label, unless overlaps come first and go by another text; an empty text finds nothing.
     settled = F.col("_equal").isNotNull() & F.coalesce(F.col("_close") == F.col("needle"), F.lit(True))
     blank = (F.coalesce("needle", F.lit("")) == "") & (F.coalesce("_close", F.lit("")) == "")
-    open_ = asked.withColumn("_open", F.when(~settled & ~blank, F.col("record_id")))
-    slices = label_slices(cells, axes).withColumnRenamed("record_id", "_open")
-    tried = open_.join(slices, ["_open", "axis"], "left")
+    tried = _meet(asked.withColumn("_open", ~settled & ~blank), label_slices(cells, axes), ["record_id", "axis"])
     needle = F.when(F.col("needle") != "", F.col("needle"))
     found = tried.select(
         *names, "axis", "_equal", "slice",
@@ -263,8 +271,8 @@ def _with_similar(staged: DataFrame, cells: DataFrame) -> DataFrame:
     needle = F.lower(strip(F.col("row_identifier")))
     close = F.coalesce(F.col("row_near.rank") < -MIN_OVERLAP, F.lit(False))
     open_ = F.col("row_equal").isNull() & F.col("row_part").isNull() & ~close & (needle != "")
-    slices = label_slices(cells, ("row",)).select(F.col("record_id").alias("_open"), "slice", "labels")
-    tried = staged.withColumn("_open", F.when(open_, F.col("record_id"))).join(slices, "_open", "left")
+    slices = label_slices(cells, ("row",)).drop("axis")
+    tried = _meet(staged.withColumn("_open", open_), slices, ["record_id"])
     possible = F.filter("labels", lambda l: _may_be_similar(needle, l["low"]))
     bounded = tried.select(*names, "slice", needle.alias("_needle"), possible.alias("_possible"))
     best = _add_most_similar(bounded, "_needle", "_possible", "_similar")

@@ -7,7 +7,7 @@ orders, customers, events, conversations and documents it is derived from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.dialogue import pair_messages
@@ -36,29 +36,41 @@ def _row_name() -> Column:
     )
 
 
-def yearly(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per customer and priority with its years: rec_ord, record_id, row_ord, row_name, years."""
+def _amounts(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """One row per customer, priority and year: rec_ord, record_id, priority, row_ord, row_name, yr, amt and ``more``."""
+    # One shuffle by customer serves the aggregate, windows and the join. Hardly two orders share a customer, priority and
+    # year, so combining them before the shuffle would only hold as many groups as a task reads orders.
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("rec_ord"),
         F.col("o_orderpriority").alias("priority"),
         F.year("o_orderdate").alias("yr"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
-    )
-    years = (
-        orders.groupBy("rec_ord", "priority", "yr")
-        .agg(F.sum("price").alias("amt"))
-        .groupBy("rec_ord", "priority")
-        .agg(F.array_sort(F.collect_list(F.struct("yr", "amt"))).alias("years"))
-    )
+    ).repartition("rec_ord")
+    amounts = orders.groupBy("rec_ord", "priority", "yr").agg(F.sum("price").alias("amt")).select("*", *more)
     names = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("rec_ord"), F.col("c_name").alias("record_id")
     )
-    return years.join(names, "rec_ord").select(
+    return amounts.join(names, "rec_ord").select(
         "rec_ord",
         "record_id",
+        "priority",
         (F.substring("priority", 1, 1).cast("int") - 1).alias("row_ord"),
         _row_name().alias("row_name"),
-        "years",
+        *[c for c in amounts.columns if c not in ("rec_ord", "priority")],
+    )
+
+
+def _years() -> WindowSpec:
+    return Window.partitionBy("rec_ord", "priority").orderBy("yr")
+
+
+def yearly(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer and priority with its years: rec_ord, record_id, row_ord, row_name, years."""
+    return (
+        _amounts(spark, folder)
+        .groupBy("rec_ord", "record_id", "priority", "row_ord", "row_name")
+        .agg(F.array_sort(F.collect_list(F.struct("yr", "amt"))).alias("years"))
+        .drop("priority")
     )
 
 
@@ -87,31 +99,36 @@ def _as_of() -> Column:
     )
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    def cell(order: Column, name: Column, raw: Column) -> Column:
-        return F.struct(order.cast("int").alias("col_ord"), name.alias("col_name"), raw.alias("raw"))
+def _cell(order: Column, name: Column, raw: Column) -> Column:
+    return F.struct(order.cast("int").alias("col_ord"), name.alias("col_name"), raw.alias("raw"))
 
-    values = F.transform(
-        "years", lambda y: cell(y["yr"], y["yr"].cast("string"), _formatted(y["yr"], y["amt"]))
-    )
+
+def _amount_cell() -> Column:
+    yr = F.col("yr")
+    return _cell(yr, yr.cast("string"), _formatted(yr, F.col("amt")))
+
+
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """A cell per year; the first year of a row brings the row's other two cells along."""
     extra = F.array(
-        cell(F.lit(9998), F.lit("as_of"), _as_of()),
-        cell(F.lit(9999), F.lit("note"), _text("see ", F.col("row_name"))),
+        _cell(F.lit(9998), F.lit("as_of"), _as_of()),
+        _cell(F.lit(9999), F.lit("note"), _text("see ", F.col("row_name"))),
     )
-    return yearly(spark, folder).select(
-        "rec_ord", "record_id", "row_ord", "row_name", F.inline(F.concat(values, extra))
+    values = F.array(_amount_cell())
+    opens = (F.row_number().over(_years()) == 1).alias("_opens")
+    return _amounts(spark, folder, opens).select(
+        "rec_ord", "record_id", "row_ord", "row_name",
+        F.inline(F.when(F.col("_opens"), F.concat(values, extra)).otherwise(values)),
     )
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Three questions per row and pair of adjacent years: a lookup, a change, a percentage change."""
+    following = [F.lead(c).over(_years()).alias(name) for c, name in (("yr", "_next"), ("amt", "new"))]
     pairs = (
-        yearly(spark, folder)
-        .select("rec_ord", "record_id", "row_ord", "row_name", "years", F.explode("years").alias("year"))
-        .withColumn("yr", F.col("year.yr"))
-        .withColumn("old", F.col("year.amt"))
-        .withColumn("new", F.get(F.filter("years", lambda y: y["yr"] == F.col("yr") + 1), F.lit(0))["amt"])
-        .filter("old IS NOT NULL AND new IS NOT NULL")
+        _amounts(spark, folder, *following)
+        .withColumn("old", F.col("amt"))
+        .filter("_next = yr + 1 AND old IS NOT NULL AND new IS NOT NULL")
     )
     old, new = F.col("old").cast("string"), F.col("new").cast("string")
     since, until = F.col("yr").cast("string"), (F.col("yr") + 1).cast("string")
@@ -225,7 +242,9 @@ def id_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _amount_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return cells(spark, folder).filter("col_ord < 9000")
+    return _amounts(spark, folder).filter("yr < 9000").select(
+        "rec_ord", "record_id", "row_ord", "row_name", F.inline(F.array(_amount_cell()))
+    )
 
 
 def value_requests(spark: SparkSession, folder: str) -> DataFrame:
