@@ -1,9 +1,9 @@
 """Finding table labels and cells from approximate row and column names, in stages.
 
 First an equality join on (record, label in lower case) answers every request that names a label outright. Only the others
-have a key for the second join, which brings the table's labels in bounded arrays (LABELS_PER_SLICE) for the substring
-rules; and only those still without an answer have one for the third, where built-in functions bound the similarity of
-each label from lengths and letter counts, and the similarity function sees the labels that may reach it. A request
+are open for the second join, which brings the table's labels in bounded arrays (LABELS_PER_SLICE) for the substring
+rules; and only those still without an answer meet them a third time, where built-in functions bound the similarity of
+each label from lengths and letters, and the similarity function sees the labels that may reach it. A request
 travels through the stages as one row, so its columns must be groupable (no maps).
 """
 
@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.numeric import strip, to_float
 
@@ -31,6 +30,8 @@ _SIMILAR = T.StructType(
 MIN_OVERLAP = 0.3
 MIN_SIMILARITY = 0.4
 MATCHERS_KEPT = 4096
+RATIOS_KEPT = 16_384
+_PLACED = pa.struct([("rank", pa.float64()), ("place", pa.int32())])
 #: Rows that are listed for a request that finds none.
 LISTED_ROWS = 10
 
@@ -225,44 +226,53 @@ def closest_label(requests: DataFrame, cells: DataFrame, axis: str = "row") -> D
 def _add_most_similar(rows: DataFrame, needle: str, possible: str, out: str) -> DataFrame:
     """Replace ``needle`` and ``possible`` (labels of a slice) by the label with the highest similarity ratio above the
     threshold, the first of equals; its rank is the negative ratio."""
-    kept = [f for f in rows.schema if f.name not in (needle, possible)]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A matcher indexes its label once; labels recur across tables, so matchers are kept while they are few.
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Per text and list of labels the negative ratio and the place of the first label that is most similar."""
+        # A matcher indexes its label once, and texts and labels recur across tables, so both are kept while they are few.
         matchers: dict[str, SequenceMatcher] = {}
-        for batch in batches:
+        ratios: dict[tuple[str, str], float] = {}
+
+        def ratio(text: str, low: str) -> float:
+            matcher = matchers.get(low)
+            if matcher is None:
+                if len(matchers) >= MATCHERS_KEPT:
+                    matchers.clear()
+                matcher = matchers[low] = SequenceMatcher(None, "", low)
+            matcher.set_seq1(text)
+            return matcher.ratio() if matcher.quick_ratio() > MIN_SIMILARITY else 0.0
+
+        for texts, lists in batches:
             found = []
-            for text, labels in zip(batch[needle].to_pylist(), batch[possible].to_pylist(), strict=True):
+            for text, labels in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
                 best, score = None, MIN_SIMILARITY
-                for item in labels or ():
-                    low = item["low"]
-                    matcher = matchers.get(low)
-                    if matcher is None:
-                        if len(matchers) >= MATCHERS_KEPT:
-                            matchers.clear()
-                        matcher = matchers[low] = SequenceMatcher(None, "", low)
-                    matcher.set_seq1(text)
-                    ratio = matcher.ratio()
-                    if ratio > score:
-                        score, best = ratio, {"rank": -ratio, "ord": item["ord"], "label": item["label"]}
+                for place, low in enumerate(labels or ()):
+                    known = ratios.get((text, low))
+                    if known is None:
+                        if len(ratios) >= RATIOS_KEPT:
+                            ratios.clear()
+                        known = ratios[text, low] = ratio(text, low)
+                    if known > score:
+                        score, best = known, {"rank": -known, "place": place}
                 found.append(best)
-            columns = [batch[f.name] for f in kept] + [pa.array(found, to_arrow_type(_SIMILAR))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], out])
+            yield pa.array(found, _PLACED)
 
-    return rows.mapInArrow(compare, T.StructType([*kept, T.StructField(out, _SIMILAR)]))
+    lows = F.transform(possible, lambda l: l["low"])
+    placed = rows.withColumn("_placed", F.arrow_udf(compare, "rank double, place int")(F.col(needle), lows))
+    label = F.get(F.col(possible), F.col("_placed.place"))
+    similar = F.struct(F.col("_placed.rank").alias("rank"), label["ord"].cast("long").alias("ord"), label["label"].alias("label"))
+    return placed.withColumn(out, F.when(F.col("_placed.place").isNotNull(), similar)).drop("_placed", needle, possible)
 
 
 def _may_be_similar(needle: Column, low: Column) -> Column:
-    """Whether the similarity of two texts can exceed the threshold: twice the letters that they share, by their length."""
+    """Whether the similarity of two texts can exceed the threshold: twice the letters that each has of the other, by their length."""
     total = F.length(needle) + F.length(low)
-    letters = F.array_distinct(F.filter(F.split(needle, ""), lambda c: c != ""))
 
-    def count(text: Column, letter: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    def shared(text: Column, other: Column) -> Column:
+        return F.length(text) - F.length(F.call_function("translate", text, other, F.lit("")))
 
-    shared = F.aggregate(letters, F.lit(0), lambda held, c: held + F.least(count(needle, c), count(low, c)))
     by_length = 2 * F.least(F.length(needle), F.length(low)) > MIN_SIMILARITY * total
-    return by_length & (2 * shared > MIN_SIMILARITY * total)
+    return by_length & (2 * F.least(shared(needle, low), shared(low, needle)) > MIN_SIMILARITY * total)
 
 
 def _with_similar(staged: DataFrame, cells: DataFrame) -> DataFrame:
