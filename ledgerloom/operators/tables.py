@@ -405,36 +405,49 @@ def column_totals(
 ) -> DataFrame:
     """``{column}_total`` per requested numeric column; one error row listing the numeric columns otherwise.
 
-    Every request has a row, also one on an unknown table or without a list of columns. Columns are summed once each before they meet the requests. ``types`` needs KEY, col_ord, col_name and
-    column_type.
+    Every request has a row, also one on an unknown table or without a list of columns. ``types`` needs KEY, col_ord,
+    col_name and column_type; where it has ``total`` too, as ``column_facts`` returns, the cells are not read again. A
+    request meets one list of its table's numeric columns.
     """
-    wanted = _targets(requests)
-    sums = column_sums(cells, types, faithful).select("record_id", "col_name", "total")
-    hit = F.struct("target_pos", F.concat("col_name", F.lit("_total")).alias("total_name"), "total")
+    numeric = types.filter("column_type = 'numeric'")
+    if faithful or "total" not in types.columns:
+        sums = column_sums(cells, types, faithful)
+        numeric = numeric.drop("total").join(sums, ["record_id", "col_ord", "col_name"])
+    available = numeric.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.struct("col_ord", "col_name", "total"))).alias("_columns")
+    )
+    names, columns = F.array_distinct("target_columns"), F.col("_columns")
+    hits = F.flatten(
+        F.transform(
+            names,
+            lambda name: F.transform(
+                F.filter(columns, lambda c: c["col_name"] == name),
+                lambda c: F.struct(
+                    (F.array_position("target_columns", name) - 1).cast("int").alias("target_pos"),
+                    F.concat(c["col_name"], F.lit("_total")).alias("total_name"),
+                    c["total"].alias("total"),
+                ),
+            ),
+        )
+    )
     none = F.struct(
         F.lit(0).alias("target_pos"),
         F.lit(None).cast("string").alias("total_name"),
         F.lit(None).cast("double").alias("total"),
     )
-    hits = (
-        wanted.join(sums, ["record_id", "col_name"])
-        .groupBy("request_id")
-        .agg(F.collect_list(F.when(F.col("total").isNotNull(), hit)).alias("_hits"))
-    )
-    per_request = requests.select("request_id", "record_id").join(hits, "request_id", "left")
-    available = (
-        types.filter("column_type = 'numeric'")
-        .groupBy("record_id")
-        .agg(F.array_sort(F.collect_list(F.struct("col_ord", "col_name"))).alias("_names"))
-    )
     missed = F.coalesce(F.size("_hits"), F.lit(0)) <= 0
-    listed = F.coalesce(F.array_join(F.transform("_names", lambda s: s["col_name"]), ", "), F.lit(""))
-    return per_request.join(available, "record_id", "left").select(
-        "request_id",
-        "record_id",
-        F.inline(F.when(missed, F.array(none)).otherwise(F.col("_hits"))),
-        F.when(missed, "NO_NUMERIC_COLUMNS").otherwise("OK").alias("status"),
-        F.when(missed, listed).alias("numeric_columns"),
+    listed = F.coalesce(F.array_join(F.transform("_columns", lambda c: c["col_name"]), ", "), F.lit(""))
+    return (
+        requests.select("request_id", "record_id", "target_columns")
+        .join(available, "record_id", "left")
+        .withColumn("_hits", hits)
+        .select(
+            "request_id",
+            "record_id",
+            F.inline(F.when(missed, F.array(none)).otherwise(F.col("_hits"))),
+            F.when(missed, "NO_NUMERIC_COLUMNS").otherwise("OK").alias("status"),
+            F.when(missed, listed).alias("numeric_columns"),
+        )
     )
 
 

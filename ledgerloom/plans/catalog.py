@@ -535,8 +535,8 @@ def _(spark, folder):
 @_query("a1_column_totals")
 def _(spark, folder):
     cells = demo.cells(spark, folder)
-    types = tables.infer_column_types(cells)
-    return tables.column_totals(demo.column_requests(spark, folder), cells, types).select("request_id", "total_name", "total", "status", "numeric_columns")
+    facts = tables.column_facts(cells)
+    return tables.column_totals(demo.column_requests(spark, folder), cells, facts).select("request_id", "total_name", "total", "status", "numeric_columns")
 
 
 @_query("a2_first_numeric_sum")

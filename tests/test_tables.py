@@ -155,6 +155,21 @@ def test_totals(spark):
     assert firsts == {1: "c3", 2: None, 3: "c1"}
 
 
+def test_totals_read_the_cells_once(spark):
+    """Facts that have totals give the same rows as types without, from one pass over the cells."""
+    cells = grid(spark, {"c1": {"a": "1.1", "b": "2.2"}, "c2": {"a": "x"}, "c3": {"a": "$5", "b": "(2)"}})
+    wanted = spark.createDataFrame(
+        [(1, "r", ["c3", None, "c1", "c3", "nope"]), (2, "r", ["c2"]), (3, "r", []), (4, "r", None), (5, "none", ["c1"])],
+        "request_id long, record_id string, target_columns array<string>",
+    )
+    facts = tables.column_totals(wanted, cells, tables.column_facts(cells))
+    assert facts._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    rows = sorted(facts.collect(), key=str)
+    assert rows == sorted(tables.column_totals(wanted, cells, tables.infer_column_types(cells)).collect(), key=str)
+    assert {(r.request_id, r.target_pos, r.total_name) for r in rows if r.status == "OK"} == {(1, 0, "c3_total"), (1, 2, "c1_total")}
+    assert {r.request_id: r.numeric_columns for r in rows if r.status != "OK"} == {2: "c1, c3", 3: "c1, c3", 4: "c1, c3", 5: ""}
+
+
 def test_selection_and_head(spark):
     cells = grid(spark, {"c1": {f"r{i}": str(i) for i in range(6)}, "c2": {"r0": "x"}})
     wanted = spark.createDataFrame(
