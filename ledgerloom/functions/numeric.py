@@ -140,7 +140,9 @@ def answers_match(actual: Column, expected: Column, policy: str = "basic") -> Co
     """Whether an answer is right under the ``primary``, ``basic`` or ``normalized`` policy; never null."""
     present = (F.coalesce(actual, F.lit("")) != "") & (F.coalesce(expected, F.lit("")) != "")
     if policy == "primary":
-        hit = numeric_match(primary_number(actual), primary_number(expected))
+        # A comparison names its sides several times; bound to one struct, each number is searched for once.
+        sides = F.struct(primary_number(actual).alias("actual"), primary_number(expected).alias("expected"))
+        hit = F.get(F.transform(F.array(sides), lambda s: numeric_match(s["actual"], s["expected"])), F.lit(0))
     elif policy == "basic":
         hit = F.abs(
             last_number(actual).try_cast("double") - last_number(expected).try_cast("double")

@@ -213,3 +213,9 @@ def test_loose_pattern_equals_removing_signs_first():
         plain = re.findall(r"-?\d+\.?\d*", value.replace("$", "").replace(",", ""))
         loose = [m.replace("$", "").replace(",", "") for m in re.findall(numeric._LOOSE_NUMBER, value)]
         assert plain == loose, value
+
+
+def test_a_comparison_searches_each_side_once(spark):
+    frame = spark.createDataFrame([("the answer is 12", "12")], "a string, b string")
+    plan = frame.select(numeric.answers_match(F.col("a"), F.col("b"), "primary").alias("hit"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("final_answer") == 2
